@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op2_byte_bpe
+from .chat_format import OP4_SQL, op4_chat_format
+from .media import op7_media_columns
 from .near_dedup import op5_near_dedup
+from .pii import op1_pii
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_chat_format": op4_chat_format,
     "op5_near_dedup": op5_near_dedup,
+    "op7_media_columns": op7_media_columns,
+    "op9_toxicity": op9_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_chat_format": OP4_SQL,
+}
