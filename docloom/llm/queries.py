@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
 from .chat_format import OP4_SQL, op4_chat_format
+from .decontaminate import op8_decontaminate
 from .media import op7_media_columns
 from .near_dedup import op5_near_dedup
 from .pii import op1_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_near_dedup": op5_near_dedup,
     "op7_media_columns": op7_media_columns,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
 }
 
