@@ -7,12 +7,14 @@ from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import op8_decontaminate
 from .media import op7_media_columns
 from .near_dedup import op5_near_dedup
+from .packing import op3_packing
 from .pii import op1_pii
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_packing": op3_packing,
     "op4_chat_format": op4_chat_format,
     "op5_near_dedup": op5_near_dedup,
     "op7_media_columns": op7_media_columns,
