@@ -1,4 +1,8 @@
-"""Corpus pipeline: near-duplicate removal (further stages follow)."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but
+the last return the columns of documents. Rows with a null doc_id pass the filters.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +10,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm._common import Workspace, table
+from docloom.llm.byte_bpe import byte_bpe
+from docloom.llm.decontaminate import decontaminate
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.pii import redact
+from docloom.llm.toxicity import toxicity
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs whose doc_id is not among those found."""
+    return docs.join(found.where("doc_id is not null").select(F.col("doc_id").alias("_found_id")).distinct(), F.col("doc_id") == F.col("_found_id"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon rejects go."""
+    return _without(docs, toxicity(spark, docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one of the smallest doc_id."""
-    kept = near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return _without(docs, near_duplicates(spark, docs).where("not kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, decontaminate(spark, docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found spans are replaced by their kind; n_chars follows."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with digests of the ids and of the decoded bytes."""
+    return byte_bpe(spark, docs, with_ids=True)
 
 
-STAGES = [("near_dedup", drop_near_duplicates)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("byte_bpe", tokenize),
+]
 
+#: Near-duplicate groups, EM and BPE merges are beyond SQL; the tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     docs = table(spark, sf_dir, "documents")
+    last = len(STAGES) - 1
     for k, (name, stage) in enumerate(STAGES):
-        docs = ws.save(stage(spark, docs, sf_dir), f"{k}_{name}")
+        docs = stage(spark, docs, sf_dir)
+        if k < last:
+            docs = ws.save(docs, f"{k}_{name}")
     return docs

@@ -5,10 +5,12 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import op8_decontaminate
+from .langid import op6_langid
 from .media import op7_media_columns
 from .near_dedup import op5_near_dedup
 from .packing import op3_packing
 from .pii import op1_pii
+from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_chat_format": op4_chat_format,
     "op5_near_dedup": op5_near_dedup,
+    "op6_langid": op6_langid,
     "op7_media_columns": op7_media_columns,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
