@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,7 @@ class Workspace:
 
     def release(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of finished steps."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
 

@@ -2,9 +2,9 @@
 
 A byte goes when a 100-byte string that covers it also starts earlier (in a smaller
 doc_id, or earlier in the same document). Every 100-byte window holds a selected
-suffix: the one whose 20-byte head has the least fingerprint among the window's (its
+suffix: the one whose 36-byte head has the least fingerprint among the window's (its
 leftmost on ties). The choice depends on the window's bytes alone, so equal windows
-select equal suffixes at equal distances. About one suffix in forty is selected.
+select equal suffixes at equal distances. About one suffix in 33 is selected; heads are long enough that unrelated texts rarely share one.
 
 A selected suffix stands for the run of windows that select it. Its sort key is a
 sequence of tokens: the fingerprint of its head, then that of the run's whole context
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import Workspace, mix64, prefix_hash, short_batches, slices, span_hash, table, text_bytes
 
 WINDOW = 100
-HEAD = 20
+HEAD = 36
 GRAMS = WINDOW - HEAD + 1
 #: Windows of one record at each level.
 BLOCKS = (GRAMS, 8, 1)
@@ -369,6 +369,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         rows = given.join(busy, "doc_id").mapInArrow(_own_runs, "doc_id long, text string, runs array<long>")
         repeats, opened = _level(ws, spark, lambda s, b=block: _next_level(b, s), rows, min(1.0, 4 * share), f"level{k}")
         runs = runs.union(repeats)
+        ws.release()
     cut = _join_runs(given, runs, "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
 
