@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, ingest, search  # noqa: F401  they register their queries
+from . import answers, chunks, ingest, search  # noqa: F401  they register their queries
 from .base import QUERIES, SQL, Query
 
 
