@@ -38,7 +38,7 @@ def cumulative(turns: DataFrame, found: Column, name: str) -> DataFrame:
 def sessions(events: DataFrame, minutes: int = DEFAULTS.session_ttl_minutes) -> DataFrame:
     """Runs of a user's events with no gap over the time to live: user_id, first, last, n."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
+    gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")
     marked = events.withColumn("_new", (F.coalesce(gap, F.lit(0.0)) > minutes * 60).cast("int"))
     numbered = marked.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("user_id", "session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
