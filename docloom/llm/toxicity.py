@@ -10,6 +10,7 @@ sum of weights, alone and over the length of the text, is calibrated to a score.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ from ._common import Workspace, short_batches, table
 #: Labelled rows to learn from, chosen by a hash of doc_id: at most about this many of each label.
 TRAIN_ROWS = 5000
 LEXICON_SIZE = 5000
+#: Toxic training documents that hold an entry: this many, or an eighth of them, three at least, where that is less.
 MIN_DOCS = 8
 MIN_WEIGHT = 3.0
 PREFIXES = (4, 5, 6, 7)
@@ -48,11 +50,15 @@ def _fold_table() -> dict[int, str]:
 
 
 _FOLD = _fold_table()
+_SHOUT = re.compile(r"!+(?!\w)")
 
 
 def fold(text: str | None) -> str:
-    """The folded text between spaces; a final ``!`` of a word is no letter."""
-    return f" {(text or '').lower().replace('! ', '  ').translate(_FOLD)} "
+    """The folded text between spaces; ``!`` stands for a letter only before another."""
+    low = (text or "").lower()
+    if "!" in low:
+        low = _SHOUT.sub(" ", low)
+    return f" {low.translate(_FOLD)} "
 
 
 @dataclass(frozen=True)
@@ -174,7 +180,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Lexicon:
     shape = "entry string, toxic int, n long"
     tally = lambda work: sample.mapInArrow(work, shape).groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (totals[1] + 1)) - F.log((F.col("good") + 0.5) / (totals[0] + 1))
-    ranked = tally(_entries).where(F.col("bad") >= MIN_DOCS).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("bad"), F.length("entry"), "entry").limit(LEXICON_SIZE).collect()
+    ranked = tally(_entries).where(F.col("bad") >= min(MIN_DOCS, max(3, totals[1] // 8))).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("bad"), F.length("entry"), "entry").limit(LEXICON_SIZE).collect()
     weights: dict[str, float] = {}
     for r in ranked:
         if not any(r["entry"][:k] in weights for k in range(2, len(r["entry"]))):
