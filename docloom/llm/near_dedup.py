@@ -34,6 +34,8 @@ KEY_SLOTS = 6
 MIN_DEPTH = 2
 #: Neighbours before a row that are looked at in one order.
 WINDOW = 4
+#: And before its component's run, where a pass looks across borders; the exact completion needs one meeting only.
+CROSSING = 1
 #: Sketches (4 bits a slot) must suggest this similarity; 4.3 standard deviations below PERCENT.
 SKETCH_LEAST = 0.5
 #: Passes over the forest; those after the first look across component borders.
@@ -210,10 +212,11 @@ def _neighbours(crossing: bool, window: int, edges: bool):
 def _candidates(ws: Workspace, reps: DataFrame, parts: int, crossing: bool, name: str) -> DataFrame:
     """Candidate pairs (a, b) from all trees; sampled splitters range-partition every order."""
     rows = _forest(reps, ["comp"])
+    window = CROSSING if crossing else WINDOW
     dealt = rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    near = ws.save(dealt.mapInArrow(_neighbours(crossing, WINDOW, True), _PAIRS), f"{name}_near")
+    near = ws.save(dealt.mapInArrow(_neighbours(crossing, window, True), _PAIRS), f"{name}_near")
     rims = near.where("id is not null").select("tree", "key", "id", "sketch", "comp").distinct().coalesce(1).sortWithinPartitions("tree", "key", "id")
-    return near.where("a is not null").select("a", "b").union(rims.mapInArrow(_neighbours(crossing, WINDOW, False), _PAIRS).select("a", "b")).distinct()
+    return near.where("a is not null").select("a", "b").union(rims.mapInArrow(_neighbours(crossing, window, False), _PAIRS).select("a", "b")).distinct()
 
 
 def _confirm(batches):
