@@ -23,7 +23,7 @@ from ._common import short_batches, table, text_bytes
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words that one partition remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Rows of one Arrow batch.
 ROWS = 1024
 #: DuckDB's memory in one Python worker.
@@ -99,7 +99,7 @@ class Encoder:
         rank = {token: i for i, token in enumerate(self.tokens) if token}
         merges = [(rank[t[:k]], rank[t[k:]], i) for t, i in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank]
         self.byte_ids = np.array([rank[bytes([b])] for b in range(256)], np.int32)
-        self.whole = {t: i for t, i in rank.items() if len(t) > 1}
+        self.whole = rank
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         left, right, merged = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
         self._fill("merges", pa.table({"l": left, "r": right, "merged": merged}))
@@ -114,18 +114,22 @@ class Encoder:
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
-        self.bounds = [0]
-
-    def _keep(self, word: bytes, ids: np.ndarray) -> None:
-        end = self.bounds[-1] + len(ids)
-        if end > len(self.ids):
+        self.bounds = np.zeros(1 << 14, np.int64)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds words with their ids, one after another."""
+        n = len(self.place)
+        ends = self.bounds[n] + np.cumsum(sizes)
+        if n + len(words) + 1 > len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros(max(len(self.bounds), len(words)), np.int64)))
+        if self.bounds[n] + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)))
-        self.ids[self.bounds[-1] : end] = ids
-        self.place[word] = len(self.bounds) - 1
-        self.bounds.append(end)
+        self.ids[self.bounds[n] : self.bounds[n] + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(words)] = ends
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def contract(self, words: list[bytes], query: str = CONTRACT) -> list[np.ndarray]:
-        """Ids of each word by the recursive query."""
+    def contract(self, words: list[bytes], query: str = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and their number in each, by the recursive query."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -133,26 +137,23 @@ class Encoder:
         position = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32)
         self._fill("start", pa.table({"w": rows, "pos": position, "id": self.byte_ids[data]}))
         got = self.db.execute(query).fetchnumpy()
-        cuts = np.searchsorted(got["w"], np.arange(len(words) + 1))
-        return [got["id"][a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return got["id"], np.bincount(got["w"], minlength=len(words))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Where ``ids`` and ``bounds`` hold each word; new ones are contracted first."""
         if len(self.place) + len(words) > REMEMBERED:
             self.forget()
-        new = [w for w in words if w not in self.place]
-        short, long = [], []
-        for word in new:
-            if (whole := self.whole.get(word)) is not None or len(word) == 1:
-                self._keep(word, np.array([self.byte_ids[word[0]] if whole is None else whole], np.int32))
-            else:
-                (long if len(word) > LONG else short).append(word)
+        whole, short, long = [], [], []
+        for word in words:
+            if word not in self.place:
+                (whole if word in self.whole else long if len(word) > LONG else short).append(word)
+        if whole:
+            self._keep(whole, np.fromiter((self.whole[w] for w in whole), np.int32, len(whole)), np.ones(len(whole), np.int64))
         for some, query, step in ((short, CONTRACT, 50_000), (long, CONTRACT_LONG, 1_000)):
             for lo in range(0, len(some), step):
                 part = some[lo : lo + step]
-                for word, ids in zip(part, self.contract(part, query), strict=True):
-                    self._keep(word, ids)
-        return np.fromiter((self.place[w] for w in words), np.int64, len(words))
+                self._keep(part, *self.contract(part, query))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def encode(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the n + 1 bounds of each row's part."""
@@ -163,9 +164,9 @@ class Encoder:
         data, offsets = text_bytes(flat.dictionary)
         raw = data.tobytes()
         at = self.places([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-        bounds = np.array(self.bounds)
         chosen = at[flat.indices.to_numpy()]
-        first, size = bounds[chosen], bounds[chosen + 1] - bounds[chosen]
+        first = self.bounds[chosen]
+        size = self.bounds[chosen + 1] - first
         ends = np.cumsum(size)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends + size, size)]
         return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(row_words)))]

@@ -84,12 +84,14 @@ class FastEncoder(Encoder):
         self.tokens = read_ranks(path)
         rank = {token: i for i, token in enumerate(self.tokens) if token}
         self.byte_ids = np.array([rank[bytes([b])] for b in range(256)], np.int32)
-        self.whole = {t: i for t, i in rank.items() if len(t) > 1}
+        self.whole = rank
         self.core = tiktoken.Encoding("packing", pat_str=pattern(), mergeable_ranks=rank, special_tokens={})._core_bpe
         self.forget()
 
-    def contract(self, words: list[bytes], query: str = "") -> list[np.ndarray]:
-        return [np.array(self.core.encode_single_piece(w), np.int32) for w in words]
+    def contract(self, words: list[bytes], query: str = "") -> tuple[np.ndarray, np.ndarray]:
+        found = [self.core.encode_single_piece(w) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
 
 
 _encoders: dict[str, FastEncoder] = {}
