@@ -156,3 +156,21 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     plain = lambda b: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"(?i)<br\s*/?>", " "), "<[^>]*>", ""), r"\s+", " "))
     rows = pages.select("page_id", F.posexplode(F.arrays_zip(kinds.alias("kind"), F.transform(bodies, plain).alias("text"))).alias("ord", "b"))
     return rows.select("page_id", "ord", F.lower(F.col("b.kind")).alias("kind"), F.col("b.text").alias("text")).where("text <> ''")
+
+
+def word_lines(found: DataFrame, snap: float = 3.0) -> DataFrame:
+    """Words (page, ord, x0, y, text) clustered to lines: a word joins the first line within ``snap`` of its height, else opens one.
+
+    Heights are rounded to a tenth; lines come out by height, their words by x0.
+    """
+    grouped = found.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", "x0", F.round("y", 1).alias("y"), "text"))).alias("w"))
+    start = F.struct(F.array().cast("array<double>").alias("lines"), F.array().cast("array<double>").alias("of"))
+
+    def step(s: Column, w: Column) -> Column:
+        near = F.get(F.filter(s["lines"], lambda y: F.abs(y - w["y"]) <= snap), F.lit(0))
+        return F.struct(F.when(near.isNull(), F.concat(s["lines"], F.array(w["y"]))).otherwise(s["lines"]).alias("lines"), F.concat(s["of"], F.array(F.coalesce(near, w["y"]))).alias("of"))
+
+    placed = grouped.withColumn("of", F.aggregate("w", start, step, lambda s: s["of"]))
+    rows = placed.select("page", F.explode(F.arrays_zip("w", "of")).alias("z")).select("page", F.col("z.of").alias("y"), F.struct(F.col("z.w.x0").alias("x0"), F.col("z.w.ord").alias("ord"), F.col("z.w.text").alias("text")).alias("t"))
+    lines = rows.groupBy("page", "y").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return lines.select("page", "y", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))

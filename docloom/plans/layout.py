@@ -234,3 +234,12 @@ def chk2(spark, d):
     rows = P.html_blocks(table(spark, d, "pages"))
     line = F.when(F.startswith("kind", F.lit("h")), F.concat(F.repeat(F.lit("#"), F.substring("kind", 2, 1).try_cast("int")), F.lit(" "), "text")).when(F.col("kind") == "li", F.concat(F.lit("- "), "text")).otherwise(F.col("text"))
     return rows.withColumn("line", line).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l")).select("page_id", F.md5(F.array_join(F.transform("l", lambda z: z["line"]), "\n\n")).alias("digest"))
+
+
+LAID = "(1, 1, 10.0, 100.04, 'Hello'), (1, 2, 60.0, 101.5, 'world'), (1, 3, 10.0, 103.0, 'near'), (1, 4, 10.0, 104.2, 'next'), (2, 1, 30.0, 5.0, 'b'), (2, 2, 10.0, 5.0, 'a')"
+
+
+@query("PRS11")
+def prs11(spark, d):
+    rows = inline(spark, LAID, "page, ord, x0, y, text")
+    return P.word_lines(rows.withColumns({"x0": F.col("x0").cast("double"), "y": F.col("y").cast("double")}))

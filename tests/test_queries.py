@@ -111,3 +111,19 @@ def test_settings():
     with pytest.raises(ValueError):
         Settings(confidence_min=1.5)
     assert lookup({"a": {"b": 3}}, "a.b") == 3 and lookup({"a": 1}, "a.b", 7) == 7
+
+
+def test_words_snap_to_the_first_line_within_reach(spark, data):
+    got = {(r.page, r.y, r.text) for r in catalog.queries()["PRS11"](spark, data).collect()}
+    assert got == {(1, 100.0, "Hello near world"), (1, 104.2, "next"), (2, 5.0, "a b")}
+
+
+def test_near_copies_are_apart_and_removal_is_idempotent(spark, data):
+    from docloom.functions.text import cosine
+    from docloom.plans import search
+
+    rows = catalog.queries()["CMP1"](spark, data).join(search.corpus_dense(spark, data).select("id", "vec"), "id")
+    left, right = rows.alias("l"), rows.alias("r")
+    close = left.join(right, (F.col("l.query_id") == F.col("r.query_id")) & (F.col("l.id") < F.col("r.id"))).where(cosine(F.col("l.vec"), F.col("r.vec")) >= search.NEAR)
+    assert close.count() == 0
+    assert S.near_distinct(rows, search.NEAR).count() == rows.count()
