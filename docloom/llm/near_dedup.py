@@ -10,7 +10,9 @@ connected components follow from the confirmed links. Later rounds look, in the
 orders, only across the borders of components found so far. Where candidates between
 two components all failed, and one has many members, an exact completion compares the
 members of the smaller with those of the larger in blocks, so that no window size
-decides whether an outlier of a large group is linked.
+decides whether an outlier of a large group is linked. Runs of equal prefix that are
+longer than the window are settled last: all their rows of different components meet,
+tile by tile, and are compared on the full sets, whatever the components' sizes.
 """
 
 from __future__ import annotations
@@ -247,35 +249,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    """Links between the outsiders and the members of one block, on full sets."""
-    group = group.combine_chunks()
-    sets = []
-    column = group.column("text").combine_chunks()
+def _full_sets(column) -> list[np.ndarray]:
     data, offsets = text_bytes(column)
+    sets = []
     for lo, hi in slices(offsets, 1 << 20):
         hashes, bounds = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         sets += [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)]
+    return sets
+
+
+def _linked(sets: list[np.ndarray], members: np.ndarray, outsiders: np.ndarray):
+    """(outsider, the members it is linked with) for each outsider with a link."""
+    if not len(members) or not len(outsiders):
+        return
+    joined = np.concatenate([sets[m] for m in members])
+    known = np.unique(joined)
+    if not len(known):
+        return
+    sizes = np.array([len(sets[m]) for m in members])
+    owner = np.repeat(np.arange(len(members)), sizes)
+    at = np.searchsorted(known, joined)
+    order = np.argsort(at, kind="stable")
+    owner, starts = owner[order], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(known)))))
+    for o in outsiders:
+        x = sets[o]
+        pos = np.searchsorted(known, x)
+        pos = pos[known[np.minimum(pos, len(known) - 1)] == x]
+        picks = np.concatenate([owner[starts[k] : starts[k + 1]] for k in pos]) if len(pos) else np.zeros(0, np.int64)
+        common = np.bincount(picks, minlength=len(members))
+        good = np.flatnonzero((common > 0) & (100 * common >= PERCENT * (sizes + len(x) - common)))
+        if len(good):
+            yield o, members[good]
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    """Links between the outsiders and the members of one block, on full sets."""
+    group = group.combine_chunks()
+    sets = _full_sets(group.column("text").combine_chunks())
     ids, inside = group.column("id").to_numpy(), group.column("member").to_numpy()
-    members, outsiders = np.flatnonzero(inside), np.flatnonzero(~inside)
     left, right = [], []
-    if len(members) and len(outsiders):
-        known = np.unique(np.concatenate([sets[m] for m in members]))
-        sizes = np.array([len(sets[m]) for m in members])
-        owner = np.repeat(np.arange(len(members)), sizes)
-        at = np.searchsorted(known, np.concatenate([sets[m] for m in members]))
-        order = np.argsort(at, kind="stable")
-        owner, starts = owner[order], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(known)))))
-        for o in outsiders:
-            x = sets[o]
-            pos = np.searchsorted(known, x)
-            pos = pos[known[np.minimum(pos, len(known) - 1)] == x]
-            picks = np.concatenate([owner[starts[k] : starts[k + 1]] for k in pos]) if len(pos) else np.zeros(0, np.int64)
-            common = np.bincount(picks, minlength=len(members))
-            good = np.flatnonzero(100 * common >= PERCENT * (sizes + len(x) - common))
-            if len(good):
-                left.append(ids[o])
-                right.append(ids[members[good[0]]])
+    for o, good in _linked(sets, np.flatnonzero(inside), np.flatnonzero(~inside)):
+        left.append(ids[o])
+        right.append(ids[good[0]])
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
@@ -300,6 +315,76 @@ def _completion(ws: Workspace, reps: DataFrame, known: DataFrame, failed: DataFr
     return rows.groupBy("large", "block", "out_block").applyInArrow(_settle, "a long, b long")
 
 
+_OPEN = pa.schema([("run", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("id", pa.int64()), ("comp", pa.int64())])
+
+
+def _unsettled(group: pa.Table) -> pa.Table:
+    """The rows of a tile that have a partner of another component: like sketches and sizes, not compared before."""
+    group = group.combine_chunks()
+    block, comp, part, n = (group.column(c).to_numpy() for c in ("block", "comp", "part", "n_shingles"))
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    sketch, done = _fixed(group.column("sketch").combine_chunks(), SLOTS // 2, np.uint8), group.column("done").to_pylist()
+    right = np.flatnonzero(block == j)
+    barred = {int(r): np.array(done[r], np.int64) for r in right if done[r]}
+    busy = np.zeros(len(block), bool)
+    for r in np.flatnonzero(block == i):
+        to = right[(comp[right] != comp[r]) & (100 * np.minimum(n[right], n[r]) >= PERCENT * np.maximum(n[right], n[r]))]
+        to = to[_alike(sketch[to], sketch[r]) >= SKETCH_LEAST]
+        if len(to) and done[r]:
+            to = to[~np.isin(part[to], done[r])]
+        if len(to) and barred:
+            to = to[[int(t) not in barred or part[r] not in barred[int(t)] for t in to]]
+        busy[to] = True
+        busy[r] |= len(to) > 0
+    return group.select(_OPEN.names).filter(pa.array(busy)).cast(_OPEN)
+
+
+def _settle_tile(group: pa.Table) -> pa.Table:
+    """Links between rows of a tile's two blocks, on full sets: of each row one to every other component."""
+    group = group.combine_chunks()
+    sets = _full_sets(group.column("text").combine_chunks())
+    ids, block, comp = (group.column(c).to_numpy() for c in ("id", "block", "comp"))
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    left, right = [], []
+    for o, good in _linked(sets, np.flatnonzero(block == i), np.flatnonzero(block == j)):
+        good = good[comp[good] != comp[o]]
+        for g in good[np.unique(comp[good], return_index=True)[1]]:
+            left.append(ids[o])
+            right.append(ids[g])
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _crowded(ws: Workspace, reps: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) in the runs of equal prefix that are longer than the window.
+
+    Shorter runs have met whole in the first pass. In a longer one, the rows of its
+    largest component fill the first blocks, all others the next; every two blocks but
+    those of the largest component meet. Pairs of components that the exact completion
+    has compared (its tables comp_now and open) are not compared again.
+    """
+    part = ws.spark.read.parquet(ws.path("comp_now")).select("id", F.col("comp").alias("part"))
+    done = ws.spark.read.parquet(ws.path("open")).groupBy("small").agg(F.collect_set("large").alias("done"))
+    comp = ws.save(part.join(known, F.col("id") == F.col("node"), "left").select("id", "part", F.coalesce("component", "id").alias("comp")), "comp_rest")
+    size = comp.groupBy("comp").agg(F.count("id").alias("size"))
+    marked = reps.join(comp, "id").join(size, "comp")
+    rows = _forest(marked, ["n_shingles", "comp", "part", "size"]).withColumn("run", F.xxhash64("tree", F.substring("key", 1, 4 * MIN_DEPTH)))
+    runs = rows.groupBy("run").agg(F.count("id").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.struct("size", "comp"))["comp"].alias("top"))
+    long = ws.save(runs.where((F.col("n") > WINDOW + 1) & (F.col("least") != F.col("most"))).select("run", "top"), "long_runs")
+    inside = ws.save(rows.join(long, "run").select("run", "id", "n_shingles", "sketch", "comp", "part", (F.col("comp") == F.col("top")).alias("of_top")), "run_rows")
+    blocks = lambda flag: F.ceil(F.count_if(flag) / BLOCK).cast("int")
+    sides = inside.groupBy("run").agg(blocks(F.col("of_top")).alias("t"), blocks(~F.col("of_top")).alias("r"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    dealt = inside.join(sides, "run").withColumn("block", F.when(F.col("of_top"), deal(F.col("t"))).otherwise(F.col("t") + deal(F.col("r"))))
+    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    here, last = F.col("block"), F.col("t") + F.col("r") - 1
+    after = F.transform(F.sequence(F.when(F.col("of_top"), F.col("t")).otherwise(here), last), lambda j: tile(here, j))
+    before = F.transform(F.filter(F.sequence(F.lit(0), last), lambda i: ~F.col("of_top") & (i < here)), lambda i: tile(i, here))
+    tiles = dealt.withColumn("at", F.explode(F.concat(before, after))).join(done, F.col("part") == F.col("small"), "left")
+    tiles = tiles.select("run", "at.i", "at.j", "block", "id", "n_shingles", "sketch", "comp", "part", "done")
+    busy = ws.save(tiles.groupBy("run", "i", "j").applyInArrow(_unsettled, "run long, i int, j int, block int, id long, comp long").distinct(), "run_busy")
+    return busy.join(texts, "id").select("run", "i", "j", "block", "id", "comp", "text").groupBy("run", "i", "j").applyInArrow(_settle_tile, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
 
@@ -315,7 +400,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     real = signed.where("doc_id is not null and n_shingles > 0")
     classes = ws.save(real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     sketch = F.unhex(F.concat(*[F.substring(F.hex(F.substring("sig", 4 * p + 4, 1)), 2, 1) for p in range(SLOTS)]))
-    reps = classes.select("id", "sig", sketch.alias("sketch"))
+    reps = classes.select("id", "sig", sketch.alias("sketch"), "n_shingles")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     links, known, tried = None, None, None
@@ -328,7 +413,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         known = connected_components(ws, links, f"cc{turn}")
     rest = ws.save(_completion(ws, reps, known, tried, texts), "links_rest")
-    known = connected_components(ws, known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "cc_all")
+    known = connected_components(ws, known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "cc_rest")
+    crowd = ws.save(_crowded(ws, reps, known, texts), "links_crowd")
+    known = connected_components(ws, known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(crowd), "cc_all")
     of_class = classes.join(known, F.col("id") == F.col("node"), "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -1,5 +1,6 @@
 import random
 
+from docloom.llm import near_dedup
 from docloom.llm.near_dedup import near_duplicates
 
 from .helpers import AWKWARD, LONG, docs, empty, plain
@@ -85,3 +86,29 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark, empty(spark)).collect() == []
+
+
+def template_region(seed, n=600, width=100):
+    """Texts that share a long template at 0.6 to 0.74, unlinked, and a few pairs among them at 0.75 and more."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(width)]
+    out = []
+    for i in range(n):
+        words = base[:82] + [f"x{i}_{k}" for k in range(width - 82)]
+        out.append((i, " ".join(words)))
+        if i % 10 == 0:
+            twin = list(words)
+            twin[rng.randrange(82)] = f"y{i}"
+            twin[rng.randrange(85, width)] = f"z{i}"
+            out.append((n + i, " ".join(twin)))
+    rng.shuffle(out)
+    return out
+
+
+def test_pairs_in_a_template_region(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 128)
+    pairs = template_region(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, plain(spark, pairs)).collect()}
+    want = brute(pairs)
+    assert len({c for _, c in want.values()}) == 600
+    assert got == want
