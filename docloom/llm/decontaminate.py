@@ -6,7 +6,9 @@ each term knows its largest impact in every block. Passages (overlapping windows
 words) of every document query the index: sums of block maxima, computed for all
 passages of a batch at once, rule out almost every block; in the remaining ones WAND
 walks the postings document at a time. Every item above the threshold is retrieved and
-verified by the overlap of its question and answer parts with the passage.
+verified by the overlap of its question and answer parts with the passage. Items longer
+than a passage's step form classes by length, each with passages and steps twice as long
+as the class before, so that every item fits whole into a passage wherever it stands.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from ._common import prefix_hash, short_batches, slices, span_hash, table, text_
 K1, B = 1.2, 0.75
 #: Least BM25 score of a passage, as a share of the item's score for itself.
 THRESHOLD = 0.6
-#: Words of a passage, and from one start to the next; items of up to the difference fit into one passage.
+#: Words of a passage, and from one start to the next; items of up to the difference fit into one passage. Doubled for each class of longer items.
 PASSAGE, STEP = 128, 64
 #: Shares of the question's and the answer's word 3-grams that must occur in the passage.
 QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.6
@@ -88,12 +90,19 @@ class Index:
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
     #: Question and answer of each item, as words.
     parts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: (class, first item, last item + 1): items stand by class, and class c fits steps of STEP << c words.
+    classes: list[tuple[int, int, int]] = field(default_factory=list)
+
+
+def _class(n_words: int) -> int:
+    """The least c with n_words <= STEP << c."""
+    return (-(-n_words // STEP) - 1).bit_length()
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
     """Items (id, text); those without a word are left out."""
     read = [(i, text_words(t), t) for i, t in sorted(items, key=lambda x: (x[0], x[1]))]
-    read = [r for r in read if len(r[1])]
+    read = sorted((r for r in read if len(r[1])), key=lambda r: _class(len(r[1])))
     if not read:
         return Index()
     terms, where = np.unique(np.concatenate([w for _, w, _ in read]), return_inverse=True)
@@ -110,7 +119,9 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     np.maximum.at(top, (term, item // BLOCK), impact.astype(np.float32))
     top[top > 0] += 1e-6
     parts = [tuple(text_words(p) for p in split_item(t)) for _, _, t in read]
-    return Index([i for i, _, _ in read], terms, np.concatenate(([0], np.cumsum(frequency))), item, impact, top, parts)
+    of = np.array([_class(len(w)) for _, w, _ in read])
+    classes = [(int(c), int(np.searchsorted(of, c)), int(np.searchsorted(of, c, side="right"))) for c in np.unique(of)]
+    return Index([i for i, _, _ in read], terms, np.concatenate(([0], np.cumsum(frequency))), item, impact, top, parts, classes)
 
 
 def wand(index: Index, query: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
@@ -172,33 +183,41 @@ def matches(index: Index, words: np.ndarray, rows: np.ndarray, n_rows: int) -> d
     at = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
     term = np.where(index.terms[at] == words, at, len(index.terms))
     first = np.searchsorted(rows, np.arange(n_rows + 1))
-    size = np.diff(first)
-    count = np.where(size > 0, np.maximum(1, -(-(size - (PASSAGE - STEP)) // STEP)), 0)
+    for grade, lo, hi in index.classes:
+        _match_class(index, words, term, first, PASSAGE << grade, STEP << grade, lo, hi, out)
+    return {r: own for r, own in out.items() if own}
+
+
+def _match_class(index: Index, words: np.ndarray, term: np.ndarray, first: np.ndarray, passage_words: int, step: int, lo: int, hi: int, out: dict[int, dict[int, float]]) -> None:
+    """Adds the verified items from lo to hi, by passages of their class, to out."""
+    n_rows, size = len(first) - 1, np.diff(first)
+    count = np.where(size > 0, np.maximum(1, -(-(size - (passage_words - step)) // step)), 0)
     owner = np.repeat(np.arange(n_rows), count)
-    start = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STEP
-    end = np.minimum(start + PASSAGE, first[owner + 1])
+    start = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * step
+    end = np.minimum(start + passage_words, first[owner + 1])
     # Each passage's distinct terms, passage by passage.
     length = end - start
     word = np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
     pair = np.repeat(np.arange(len(start)), length) * (len(index.terms) + 1) + term[word]
     pair = np.unique(pair[term[word] < len(index.terms)])
     if not len(pair):
-        return out
+        return
     passage, known = pair // (len(index.terms) + 1), pair % (len(index.terms) + 1)
     begin = np.searchsorted(passage, np.arange(len(start) + 1))
-    bound = np.zeros((len(start), index.block_max.shape[1]), np.float32)
+    block_max = index.block_max[:, lo // BLOCK : -(-hi // BLOCK)]
+    bound = np.zeros((len(start), block_max.shape[1]), np.float32)
     filled = np.flatnonzero(np.diff(begin) > 0)
-    bound[filled] = np.add.reduceat(index.block_max[known], begin[filled], axis=0)
+    bound[filled] = np.add.reduceat(block_max[known], begin[filled], axis=0)
     for p, block in zip(*np.nonzero(bound >= THRESHOLD), strict=True):
-        found = wand(index, known[begin[p] : begin[p + 1]], int(block), THRESHOLD)
+        found = wand(index, known[begin[p] : begin[p + 1]], lo // BLOCK + int(block), THRESHOLD)
+        found = [(item, score) for item, score in found if lo <= item < hi]
         if found:
-            passage_words = words[start[p] : end[p]]
+            held = words[start[p] : end[p]]
             own = out.setdefault(int(owner[p]), {})
             for item, score in found:
                 question, answer = index.parts[item]
-                if _share(question, passage_words) >= QUESTION_SHARE and _share(answer, passage_words) >= ANSWER_SHARE:
+                if _share(question, held) >= QUESTION_SHARE and _share(answer, held) >= ANSWER_SHARE:
                     own[item] = max(own.get(item, 0.0), score)
-    return {r: own for r, own in out.items() if own}
 
 
 _SHAPE = "doc_id long, n_items long, item_ids array<long>, best_score double, contaminated boolean"

@@ -31,6 +31,22 @@ def test_decontamination_finds_planted_items(spark):
     assert got == {d: want.get(d, []) for d, _ in pairs}
 
 
+def test_long_items_are_found_at_every_place(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(n))
+    item = lambda n: say(n - 12) + ". " + say(12) + "?"
+    bench = [(n, item(n)) for n in (30, 64, 65, 100, 128, 129, 200, 500, 513)]
+    pairs, want = [], {}
+    for n, text in bench:
+        for lead in range(0, 512 if n > 256 else 256, 3 if n > 256 else 1):
+            pairs.append((len(pairs), f"{say(lead)} {text} {say(rng.randrange(600))}"))
+            want[len(pairs) - 1] = [n]
+    pairs.append((len(pairs), say(3000)))
+    rows = items(spark, [(i, t, 1, True) for i, t in bench])
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate(spark, plain(spark, pairs), rows).collect()}
+    assert got == {d: want.get(d, []) for d, _ in pairs}
+
+
 def test_wand_retrieves_all_above_threshold():
     rng = random.Random(2)
     bench = [(i, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.randrange(1, 15)))) for i in range(50)]
