@@ -182,4 +182,4 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark, table(spark, sf_dir, "documents"), with_arrays=False).drop("ids", "positions")
+    return pack(spark, table(spark, sf_dir, "documents"))

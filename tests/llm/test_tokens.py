@@ -53,6 +53,14 @@ def test_best_fit_decreasing_equals_a_scan():
         assert sorted(rooms) == sorted(20 - sum(lengths[i] for i in r) for r in rows)
 
 
+def test_packing_query_returns_ids_and_positions(spark, data):
+    for r in packing.op3_packing(spark, data).limit(20).collect():
+        ids, positions = np.frombuffer(r.ids, "<i4"), np.frombuffer(r.positions, "<i4")
+        assert len(ids) == len(positions) == packing.ROW_TOKENS
+        assert hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and hashlib.sha256(r.positions).hexdigest() == r.positions_sha256
+        assert all(positions[a] == 0 and (np.diff(positions[a:b]) == 1).all() for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]))
+
+
 def test_packing_is_lossless(spark, tmp_path):
     packed = packing.pack(spark, docs(spark), capacity=512)
     back = {}
