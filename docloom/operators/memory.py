@@ -35,6 +35,15 @@ def cumulative(turns: DataFrame, found: Column, name: str) -> DataFrame:
     return turns.withColumn(name, F.array_sort(F.array_distinct(F.flatten(F.collect_list(found).over(w)))))
 
 
+def memory(turns: DataFrame, lists: dict[str, tuple[str, ...]], found: Column, kinds: list[str], n: int) -> DataFrame:
+    """Each conversation's memory after each turn: its last n turns, entities of every kind, topics; blank texts leave it as it was."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = topics(turns.where("trim(text) <> ''"), lists).withColumn("_found", found)
+    for kind in kinds:
+        rows = cumulative(rows, F.col("_found")[kind], kind)
+    return rows.withColumn("short_term", F.collect_list(F.struct("turn", "role", "text")).over(w.rowsBetween(1 - n, 0))).drop("_found")
+
+
 def sessions(events: DataFrame, minutes: int = DEFAULTS.session_ttl_minutes) -> DataFrame:
     """Runs of a user's events with no gap over the time to live: user_id, first, last, n."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -137,6 +137,17 @@ def str7(spark, d):
     return table(spark, d, "conversations").where("trim(text) <> ''").groupBy("conv_id").agg(F.count(F.lit(1)).alias("remembered"), F.max("turn").alias("last_turn"))
 
 
+_SO_FAR = ", ".join(f"coalesce((SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM (SELECT unnest({_found(k)}) AS v FROM {MSG} b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn)), '') AS {k}" for k in _KINDS)
+_RECENT = f"SELECT conv_id, turn, array_to_string(list(turn || ' ' || role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {2 * DEFAULTS.short_term_turns - 1} PRECEDING AND CURRENT ROW), chr(10)) AS short_term FROM {MSG} WHERE trim(text) <> ''"
+
+
+@query("STR7_MEMORY", f"SELECT a.conv_id, a.turn, r.short_term, a.active, coalesce((SELECT string_agg(gone, ',' ORDER BY first) FROM (SELECT gone, min(turn) AS first FROM ({_LEFT}) b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND gone IS NOT NULL GROUP BY gone)), '') AS history, {_SO_FAR} FROM ({_ACTIVE}) a JOIN ({_RECENT}) r ON r.conv_id = a.conv_id AND r.turn = a.turn")
+def str7_memory(spark, d):
+    rows = M.memory(messages(spark), TOPIC_KEYWORDS, T.entities(F.col("text")), _KINDS, 2 * DEFAULTS.short_term_turns)
+    line = lambda x: F.concat(x["turn"].cast("string"), F.lit(" "), x["role"], F.lit(": "), x["text"])
+    return rows.select("conv_id", "turn", F.array_join(F.transform("short_term", line), "\n").alias("short_term"), "active", *[F.array_join(c, ",").alias(c) for c in ("history", *_KINDS)])
+
+
 def history(rows, n: int, line):
     """Lines of the last n turns of each conversation, in order."""
     kept = M.last_turns(rows, n).withColumn("line", line)

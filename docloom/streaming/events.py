@@ -1,4 +1,4 @@
-"""Structured Streaming: windowed counts, sessions, deduplication, rate limits, conversation memory, ingestion."""
+"""Structured Streaming: windowed counts, sessions, deduplication, rate limits, ingestion."""
 
 from __future__ import annotations
 
