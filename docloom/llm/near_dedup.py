@@ -12,7 +12,8 @@ two components all failed, and one has many members, an exact completion compare
 members of the smaller with those of the larger in blocks, so that no window size
 decides whether an outlier of a large group is linked. Runs of equal prefix that are
 longer than the window are settled last: all their rows of different components meet,
-tile by tile, and are compared on the full sets, whatever the components' sizes.
+tile by tile, and those with like sketches are compared on the full sets, whatever the
+components' sizes.
 """
 
 from __future__ import annotations
