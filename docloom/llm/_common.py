@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -30,37 +29,47 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Shuffle files go when the statement that made them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Intermediate tables in the folder the cluster shares (``spark.checkpoint.dir``).
 
     A saved table cuts lineage and survives the loss of executors. Without that
-    setting (plain tests) a folder of this machine is used.
+    setting a local session uses a folder of its machine, and any other fails.
+    Tables that a result still reads stay until ``close``.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
-        self.root = f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        self.root = f"{(base or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
-        self.release()
+        schema, before = df.schema, self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        self._delete(self.root)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished steps."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

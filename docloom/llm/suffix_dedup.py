@@ -34,8 +34,11 @@ GRAMS = WINDOW - HEAD + 1
 BLOCKS = (GRAMS, 8, 1)
 #: Suffixes of one bucket, on average, at most; a bucket is sorted in memory.
 BUCKET_ROWS = 1 << 20
-#: Documents sampled for splitters, at least.
-SAMPLE_DOCS = 600
+#: Documents sampled for splitters, at least, one record in ``SAMPLE_THIN`` of each; with many buckets, about
+#: ``PER_BUCKET`` sampled records for each of them.
+SAMPLE_DOCS = 6000
+SAMPLE_THIN = 64
+PER_BUCKET = 64
 #: Bytes of a row that are looked at in one piece.
 PIECE = 1 << 22
 _MASK = np.uint64((1 << 24) - 1)
@@ -205,8 +208,12 @@ REPEAT, OPEN, FIRST, LAST = range(4)
 
 
 def _rows(kind, bucket, keys, at, single=False):
+    """Rows of one kind; repeats and open records need no more than their document and place."""
     n = len(at)
-    return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), *[pa.array(k[at]) for k in keys], pa.array(np.full(n, single))], schema=_OUT)
+    head, context, doc, place = [pa.array(k[at]) for k in keys]
+    if kind in (REPEAT, OPEN):
+        return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), doc, place, pa.nulls(n, pa.bool_())], schema=_OUT)
+    return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), head, context, doc, place, pa.array(np.full(n, single))], schema=_OUT)
 
 
 def _bucket(bucket: int, keys: list[np.ndarray]):
@@ -288,8 +295,8 @@ def _splitters(rows: DataFrame, buckets: int) -> list[np.ndarray]:
 def _level(ws: Workspace, spark: SparkSession, work, rows: DataFrame, share: float, name: str) -> tuple[DataFrame, DataFrame]:
     """Repeats and open records of one level. work(splitters) makes records from rows."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = ws.save(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(work(None), _RECORD).where(F.pmod(F.xxhash64("context", "place"), F.lit(8)) == 0), f"{name}_sample")
-    total = sample.count() * 8 / share
+    sample = ws.save(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).mapInArrow(work(None), _RECORD).where(F.pmod(F.xxhash64("context", "place"), F.lit(SAMPLE_THIN)) == 0), f"{name}_sample")
+    total = sample.count() * SAMPLE_THIN / share
     buckets = max(parts, int(total / BUCKET_ROWS) + 1)
     splitters = _splitters(sample, buckets)
     ws.drop(f"{name}_sample")
@@ -360,16 +367,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     none = -(1 << 63)
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = given.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
+    share = min(1.0, max(SAMPLE_DOCS / max(n, 1), PER_BUCKET * SAMPLE_THIN / BUCKET_ROWS))
     repeats, opened = _level(ws, spark, _first_level, given, share, "level0")
     runs = repeats
     for k, block in enumerate(BLOCKS[1:], 1):
         opened = ws.save(opened, f"open{k}")
         busy = opened.groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
         rows = given.join(busy, "doc_id").mapInArrow(_own_runs, "doc_id long, text string, runs array<long>")
-        repeats, opened = _level(ws, spark, lambda s, b=block: _next_level(b, s), rows, min(1.0, 4 * share), f"level{k}")
+        repeats, opened = _level(ws, spark, lambda s, b=block: _next_level(b, s), rows, min(1.0, 2 * share), f"level{k}")
+        ws.drop(f"open{k}")
         runs = runs.union(repeats)
-        ws.release()
     cut = _join_runs(given, runs, "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
 

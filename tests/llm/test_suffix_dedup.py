@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from docloom.llm import suffix_dedup
 from docloom.llm.suffix_dedup import multikey_order, remove_repeats
 
 from .helpers import AWKWARD, docs, empty, plain
@@ -75,3 +76,14 @@ def test_multikey_order():
     keys = [rng.integers(0, 4, 500), rng.integers(0, 4, 500), rng.integers(0, 10**6, 500)]
     order = multikey_order(keys)
     assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*[k.tolist() for k in keys]))
+
+
+def test_text_longer_than_a_piece(spark):
+    """A passage across the border of two pieces comes again at the end, and whole in another document."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(suffix_dedup.PIECE + 30_000))
+    part = text[suffix_dedup.PIECE - 700 : suffix_dedup.PIECE + 500]
+    got = {r.doc_id: r for r in remove_repeats(spark, plain(spark, [(1, text + "#" + part), (2, "~" + part + "~"), (3, "~" * 90)])).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (len(text) + 1201, 1200, 1)
+    assert got[1].kept_sha256 == hashlib.sha256((text + "#").encode()).hexdigest()
+    assert (got[2].n_removed, got[2].kept_sha256) == (1200, hashlib.sha256(b"~~").hexdigest()) and got[3].n_removed == 0
