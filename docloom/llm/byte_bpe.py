@@ -4,8 +4,15 @@ Spark's own regular expressions split texts into words. A partition keeps one Du
 connection with the merge table: (left id, right id) -> merged id, whose rank is the
 id. Distinct words that are new to it become token-position rows; a recursive query
 joins neighbours with the merge table and contracts each word's leftmost pair of
-least rank until no word has a pair left. Decoding joins ids with the vocabulary and
-aggregates the bytes in order of position.
+least rank until no word has a pair left. A word that is a token itself has that one
+id, as in the tiktoken library, and needs no query. Decoding joins ids with the
+vocabulary and aggregates the bytes in order of position, some tokens at a time.
+
+A word of more than ``LONG`` bytes is contracted in overlapping windows. Tokens are the
+word's encoding exactly if every two neighbours, contracted together, stay the same two
+tokens: inside a window they do, and where the left window's tokens give way to the
+right one's, the query says so for the two that meet. Where windows have no common border,
+or their tokens do not stand side by side, wider windows take their place.
 """
 
 from __future__ import annotations
@@ -28,10 +35,18 @@ REMEMBERED = 1_000_000
 ROWS = 1024
 #: DuckDB's memory in one Python worker.
 MEMORY = "160MB"
-#: Words of more bytes are contracted in place.
+#: Bytes of a window in which a longer word is contracted; the next one starts half a window later.
 LONG = 64
-
-# Words in ``start`` (w, pos, id) up to LONG bytes: every step holds the whole word, its rows are unnested.
+#: Bytes of words that one query contracts.
+STEP_BYTES = 1 << 20
+#: Tokens that are decoded or printed at once.
+STEP_TOKENS = 1 << 18
+#: Texts of more characters are split into words in Python, so that no JVM row holds millions of words.
+LONG_TEXT = 1 << 18
+#: Characters of a long text that are split at once.
+STEP_TEXT = 1 << 16
+
+# Words in ``start`` (w, pos, id): every step holds the whole word, its rows are unnested.
 CONTRACT = """
 WITH RECURSIVE t(w, ids) AS (
   SELECT w, list(id ORDER BY pos) FROM start GROUP BY w
@@ -46,24 +61,9 @@ SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
 FROM (SELECT w, arg_min(ids, len(ids)) AS ids FROM t GROUP BY w) ORDER BY w, pos
 """
 
-# Longer words: recurring.t is the state of all positions, t what the last step changed, so memory stays linear.
-CONTRACT_LONG = """
-WITH RECURSIVE t(w, pos, id, next) USING KEY (w, pos) AS (
-  SELECT w, pos, id, pos + 1 FROM start
-  UNION
-  (WITH live AS (SELECT s.w, s.pos, s.id, s.next FROM recurring.t s WHERE s.id >= 0 AND s.w IN (SELECT w FROM t)),
-   best AS (
-     SELECT a.w, min({'id': m.merged, 'pos': a.pos, 'gone': a.next, 'next': b.next}) AS b
-     FROM live a JOIN live b ON a.w = b.w AND a.next = b.pos JOIN merges m ON a.id = m.l AND b.id = m.r GROUP BY a.w)
-   SELECT w, b.pos, b.id, b.next FROM best
-   UNION ALL
-   SELECT w, b.gone, -1, -1 FROM best))
-SELECT w, id FROM t WHERE id >= 0 ORDER BY w, pos
-"""
-
 DECODE = """
-SELECT doc, sha256(unhex(string_agg(v.hex, '' ORDER BY pos))) AS sha
-FROM tokens JOIN vocabulary v USING (id) GROUP BY doc
+SELECT doc, unhex(string_agg(v.hex, '' ORDER BY pos)) AS part
+FROM tokens JOIN vocabulary v USING (id) GROUP BY doc ORDER BY doc
 """
 
 
@@ -100,6 +100,7 @@ class Encoder:
         merges = [(rank[t[:k]], rank[t[k:]], i) for t, i in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank]
         self.byte_ids = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         self.whole = rank
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         left, right, merged = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
         self._fill("merges", pa.table({"l": left, "r": right, "merged": merged}))
@@ -128,16 +129,100 @@ class Encoder:
         self.bounds[n + 1 : n + 1 + len(words)] = ends
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def contract(self, words: list[bytes], query: str = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and their number in each, by the recursive query."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        rows = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        position = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32)
-        self._fill("start", pa.table({"w": rows, "pos": position, "id": self.byte_ids[data]}))
-        got = self.db.execute(query).fetchnumpy()
-        return got["id"], np.bincount(got["w"], minlength=len(words))
+        ids, counts, lo = [], [], 0
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        while lo < len(words):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP_BYTES, side="right")))
+            part = words[lo:hi]
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            data = np.frombuffer(b"".join(part), np.uint8)
+            rows = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
+            position = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            self._fill("start", pa.table({"w": rows, "pos": position, "id": self.byte_ids[data]}))
+            got = self.db.execute(CONTRACT).fetchnumpy()
+            ids.append(got["id"])
+            counts.append(np.bincount(got["w"], minlength=len(part)))
+            lo = hi
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of distinct short words: the remembered ones, and new ones by the query."""
+        new = list({w: None for w in words})
+        ids, sizes = self.contract(new)
+        return dict(zip(new, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)) if new else {}
+
+    def contract_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word, from windows that are joined where two of them agree."""
+        windows = [(at, min(at + LONG, len(word))) for at in range(0, max(1, len(word) - LONG // 2), LONG // 2)]
+        known: dict[bytes, np.ndarray] = {}
+        while True:
+            known |= self._encoded([w for w in {word[a:b] for a, b in windows} if w not in known])
+            joined, bad = self._join(word, windows, known)
+            if not bad:
+                return joined
+            again: list[tuple[int, int]] = []
+            k = 0
+            while k < len(windows):
+                if k not in bad:
+                    again.append(windows[k])
+                    k += 1
+                    continue
+                stop = k
+                while stop in bad:
+                    stop += 1
+                size = 2 * max(b - a for a, b in windows[k:stop])
+                again += self._tiles(word, windows[k][0], windows[stop - 1][1], size, known)
+                k = stop
+            windows = again
+
+    def _tiles(self, word: bytes, at: int, end: int, size: int, known: dict[bytes, np.ndarray]) -> list[tuple[int, int]]:
+        """Windows of about ``size`` bytes from at to end, each starting at a token's border in the one before: repeated strings stay in step."""
+        tiles = []
+        while True:
+            stop = min(at + size, end)
+            tiles.append((at, stop))
+            if stop == end:
+                return tiles
+            part = word[at:stop]
+            if part not in known:
+                known |= self._encoded([part])
+            borders = at + np.cumsum(self.sizes[known[part]])[:-1]
+            if len(borders):
+                at = int(borders[np.argmin(np.abs(borders - (at + stop) / 2))])
+            else:
+                tiles.pop()
+                size *= 2
+
+    def _join(self, word: bytes, windows: list[tuple[int, int]], known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, set[int]]:
+        """The windows' tokens side by side, or the numbers of windows that can't be joined with the one before."""
+        ids = [known[word[a:b]] for a, b in windows]
+        ends = [a + np.cumsum(self.sizes[own]) for (a, _), own in zip(windows, ids, strict=True)]
+        meets: list[list[tuple[int, int]]] = []
+        for k in range(1, len(windows)):
+            left, right = ends[k - 1], ends[k]
+            # Common borders, middle of the overlap first; the last token's end and the first one's start are cuts, not borders.
+            both = np.intersect1d(left[:-1], right[:-1])
+            middle = (windows[k][0] + windows[k - 1][1]) / 2
+            meets.append(sorted(zip(np.searchsorted(left, both).tolist(), np.searchsorted(right, both).tolist(), strict=True), key=lambda m: abs(left[m[0]] - middle)))
+        pairs = {(int(ids[k][i]), int(ids[k + 1][j + 1])) for k, own in enumerate(meets) for i, j in own}
+        text = {p: self.tokens[p[0]] + self.tokens[p[1]] for p in pairs}
+        done = self._encoded(list(text.values()))
+        stands = {p for p, t in text.items() if done[t].tolist() == list(p)}
+        first, out, bad = 0, [], set()
+        for k, own in enumerate(ids):
+            if k + 1 == len(ids):
+                out.append(own[first:])
+                break
+            good = next(((i, j) for i, j in meets[k] if i >= first and (int(own[i]), int(ids[k + 1][j + 1])) in stands), None)
+            if good is None:
+                bad |= {k, k + 1}
+                first = 0
+                continue
+            out.append(own[first : good[0] + 1])
+            first = good[1] + 1
+        return (np.concatenate(out) if not bad else np.zeros(0, np.int32)), bad
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Where ``ids`` and ``bounds`` hold each word; new ones are contracted first."""
@@ -149,10 +234,11 @@ class Encoder:
                 (whole if word in self.whole else long if len(word) > LONG else short).append(word)
         if whole:
             self._keep(whole, np.fromiter((self.whole[w] for w in whole), np.int32, len(whole)), np.ones(len(whole), np.int64))
-        for some, query, step in ((short, CONTRACT, 50_000), (long, CONTRACT_LONG, 1_000)):
-            for lo in range(0, len(some), step):
-                part = some[lo : lo + step]
-                self._keep(part, *self.contract(part, query))
+        if short:
+            self._keep(short, *self.contract(short))
+        for word in long:
+            ids = self.contract_long(word)
+            self._keep([word], ids, np.array([len(ids)]))
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def encode(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,14 +257,50 @@ class Encoder:
         ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends + size, size)]
         return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(row_words)))]
 
+    def encode_text(self, text: str) -> np.ndarray:
+        """Ids of one long text, some words at a time."""
+        own = [self.encode(pa.array([words], pa.list_(pa.string())))[0] for words in word_groups(text)]
+        return np.concatenate(own) if own else np.zeros(0, np.int32)
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray):
+        """(row, bytes) in order: each row's decoded bytes, in one piece or several."""
+        for lo in range(0, len(ids), STEP_TOKENS):
+            part = ids[lo : lo + STEP_TOKENS]
+            place = np.arange(lo, lo + len(part))
+            row = np.searchsorted(bounds, place, side="right") - 1
+            self.db.register("tokens", pa.table({"doc": row.astype(np.int32), "pos": (place - lo).astype(np.int32), "id": part}))
+            yield from self.db.execute(DECODE).fetchall()
+            self.db.unregister("tokens")
+
     def decoded_sha256(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """SHA-256 of each row's decoded bytes; a row without ids decodes to nothing."""
-        out = [hashlib.sha256(b"").hexdigest()] * (len(bounds) - 1)
-        self.db.register("tokens", pa.table({"doc": np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds)), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-        for doc, sha in self.db.execute(DECODE).fetchall():
-            out[doc] = sha
-        self.db.unregister("tokens")
-        return out
+        digests = [hashlib.sha256() for _ in range(len(bounds) - 1)]
+        for row, part in self.decoded(ids, bounds):
+            digests[row].update(part)
+        return [d.hexdigest() for d in digests]
+
+
+def ids_sha256(ids: np.ndarray) -> str:
+    """SHA-256 of the decimal ids with a space between them."""
+    digest = hashlib.sha256()
+    for lo in range(0, len(ids), STEP_TOKENS):
+        digest.update((" " * bool(lo) + " ".join(map(str, ids[lo : lo + STEP_TOKENS].tolist()))).encode())
+    return digest.hexdigest()
+
+
+def word_groups(text: str):
+    """The pattern's matches in order, in lists of about ``STEP_TEXT`` characters."""
+    import regex
+
+    group, size = [], 0
+    for match in regex.finditer(pattern(), text):
+        group.append(match.group())
+        size += match.end() - match.start()
+        if size >= STEP_TEXT:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 _encoders: dict[str, Encoder] = {}
@@ -192,25 +314,38 @@ def encoder(path: str) -> Encoder:
 
 
 def split_words(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, and words: the matches of the tokenizer's pattern in the text (null: none)."""
-    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("(?U)" + pattern()), F.lit(0))
-    return docs.select(*keep, words.alias("words"))
+    """keep, then words: the matches of the tokenizer's pattern in the text (null: none), and long: a long text instead."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    long = F.length(text) > LONG_TEXT
+    words = F.regexp_extract_all(F.when(long, "").otherwise(text), F.lit("(?U)" + pattern()), F.lit(0))
+    return docs.select(*keep, words.alias("words"), F.when(long, text).alias("long"))
+
+
+def encoded(own: Encoder, words: pa.ListArray, long: pa.Array):
+    """(first row, ids, bounds) for groups of rows; a row with a long text is a group of its own."""
+    alone = np.flatnonzero(long.is_valid().to_numpy(zero_copy_only=False))
+    at = 0
+    for stop in [*alone.tolist(), len(words)]:
+        if stop > at:
+            yield at, *own.encode(words.slice(at, stop - at))
+        if stop < len(words):
+            ids = own.encode_text(long[stop].as_py())
+            yield stop, ids, np.array([0, len(ids)])
+        at = stop + 1
 
 
 def _work(path: str, with_ids: bool):
     def work(batches):
         own = encoder(path)
         for batch in batches:
-            ids, bounds = own.encode(batch.column(1))
-            text = [" ".join(map(str, ids[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            hashes = [hashlib.sha256(t.encode()).hexdigest() for t in text]
-            decoded = own.decoded_sha256(ids, bounds)
-            cols = [batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
-                names.append("token_ids")
-            yield pa.record_batch(cols, names=names)
+            for lo, ids, bounds in encoded(own, batch.column(1), batch.column(2)):
+                hashes = [ids_sha256(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                cols = [batch.column(0).slice(lo, len(hashes)), pa.array(np.diff(bounds), pa.int64()), pa.array(hashes, pa.string()), pa.array(own.decoded_sha256(ids, bounds), pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+                    names.append("token_ids")
+                yield pa.record_batch(cols, names=names)
 
     return work
 
@@ -220,6 +355,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, path: str | None = None, with
 
     ``with_ids`` adds token_ids. Null or empty text: no token. Repeated rows give
     repeated results; a null doc_id stays null; an empty table gives an empty result.
+    Of a pair that stands several times at the least rank, the leftmost is contracted.
+    Long texts are split, encoded and decoded piece by piece; with with_ids their ids
+    are one value. Other columns are not read, whatever their names.
     """
     short_batches(spark, ROWS)
     rows = split_words(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"])
@@ -233,4 +371,5 @@ def decode_ids(ids: list[int], path: str | None = None) -> bytes:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; nulls, empty and long texts as in ``byte_bpe``."""
     return byte_bpe(spark, table(spark, sf_dir, "documents"))

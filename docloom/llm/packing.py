@@ -1,7 +1,7 @@
 """Token-id packing: best-fit decreasing into fixed-length rows.
 
-Documents are dealt to buckets by a hash of doc_id, so any number of tasks packs at
-once and a lost task is redone alone. In a bucket, documents longer than a row are cut
+Documents are dealt to buckets by a hash of id, text and row, so any number of tasks
+packs at once, a lost task is redone alone, and copies of one row are spread too. In a bucket, documents longer than a row are cut
 into pieces without loss; pieces go, longest first, into the open row with the least
 room that still holds them, which a segment tree over capacities finds in O(log row).
 Each row is written as an id vector, cumulative segment lengths and positions that
@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import short_batches, table
-from .byte_bpe import ROWS, Encoder, pattern, read_ranks, split_words, vocabulary_path
+from .byte_bpe import ROWS, Encoder, encoded, pattern, read_ranks, split_words, vocabulary_path
 
 ROW_TOKENS = 2048
 PAD = 50256
 #: Documents of one bucket, on average.
 BUCKET_DOCS = 4096
+#: Tokens that are packed together at most, beyond one document; a bucket of more goes in several parts.
+HELD_TOKENS = 1 << 24
 
 
 class CapacityTree:
@@ -85,18 +87,29 @@ class FastEncoder(Encoder):
         rank = {token: i for i, token in enumerate(self.tokens) if token}
         self.byte_ids = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         self.whole = rank
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.core = tiktoken.Encoding("packing", pat_str=pattern(), mergeable_ranks=rank, special_tokens={})._core_bpe
         self.forget()
 
-    def contract(self, words: list[bytes], query: str = "") -> tuple[np.ndarray, np.ndarray]:
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.core.encode_single_piece(w) for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
 
+    def contract_long(self, word: bytes) -> np.ndarray:
+        return np.array(self.core.encode_single_piece(word), np.int32)
+
 
 _encoders: dict[str, FastEncoder] = {}
 
 
+def fast_encoder(path: str) -> FastEncoder:
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = FastEncoder(path)
+    return _encoders[path]
+
+
 def _pieces(ids: list[tuple[int | None, np.ndarray]], capacity: int) -> list[tuple[int | None, int, np.ndarray]]:
     """(doc_id, first token, ids) of documents, cut at multiples of capacity."""
     return [(doc, at, own[at : at + capacity]) for doc, own in ids for at in range(0, len(own), capacity)]
@@ -111,10 +124,11 @@ def _npy(array: np.ndarray) -> bytes:
 _SHAPE = pa.schema([("bucket", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("positions_sha256", pa.string()), ("ids", pa.binary()), ("positions", pa.binary())])
 
 
-def pack_bucket(bucket: int, ids: list[tuple[int | None, np.ndarray]], capacity: int, with_arrays: bool) -> pa.RecordBatch:
+def pack_bucket(bucket: int, first: int, ids: list[tuple[int | None, np.ndarray]], capacity: int, with_arrays: bool) -> pa.RecordBatch:
+    """The rows of a bucket, or of a part of it, numbered from ``first``."""
     pieces = _pieces(ids, capacity)
     out = []
-    for number, members in enumerate(best_fit_decreasing([len(p[2]) for p in pieces], capacity)):
+    for number, members in enumerate(best_fit_decreasing([len(p[2]) for p in pieces], capacity), first):
         row, positions = np.full(capacity, PAD, "<i4"), np.zeros(capacity, "<i4")
         bounds = [0]
         for m in members:
@@ -129,22 +143,29 @@ def pack_bucket(bucket: int, ids: list[tuple[int | None, np.ndarray]], capacity:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SHAPE, strict=True)], schema=_SHAPE)
 
 
+def _slim(packed: pa.RecordBatch):
+    """Batches of ROWS rows."""
+    for lo in range(0, packed.num_rows, ROWS):
+        yield packed.slice(lo, ROWS)
+
+
 def _work(path: str, capacity: int, with_arrays: bool):
     def work(batches):
-        if path not in _encoders:
-            _encoders.clear()
-            _encoders[path] = FastEncoder(path)
-        own, bucket, held = _encoders[path], None, []
+        own, bucket, first, held, tokens = fast_encoder(path), None, 0, [], 0
         for batch in batches:
-            ids, bounds = own.encode(batch.column(2))
-            for i, (at, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if at != bucket:
-                    if held:
-                        yield pack_bucket(bucket, held, capacity, with_arrays)
-                    bucket, held = at, []
-                held.append((doc, ids[bounds[i] : bounds[i + 1]]))
+            buckets, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, ids, bounds in encoded(own, batch.column(2), batch.column(3)):
+                for i in range(len(bounds) - 1):
+                    at, size = buckets[lo + i], int(bounds[i + 1] - bounds[i])
+                    if held and (at != bucket or tokens + size > HELD_TOKENS):
+                        packed = pack_bucket(bucket, first, held, capacity, with_arrays)
+                        yield from _slim(packed)
+                        first, held, tokens = first + packed.num_rows if at == bucket else 0, [], 0
+                    bucket = at
+                    held.append((docs[lo + i], ids[bounds[i] : bounds[i + 1]].copy()))
+                    tokens += size
         if held:
-            yield pack_bucket(bucket, held, capacity, with_arrays)
+            yield from _slim(pack_bucket(bucket, first, held, capacity, with_arrays))
 
     return work
 
@@ -154,14 +175,15 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = ROW_TOKENS, path:
 
     doc_ids and starts name each segment's document and its first token there, so the
     documents can be put together again. Null and empty texts have no token and no
-    segment; repeated rows are all packed; null ids share a bucket and stay null; an
-    empty table gives an empty result. ids and positions are little-endian int32
-    vectors of ``capacity`` tokens, padded.
+    segment; repeated rows are all packed; null ids stay null; an empty table gives an
+    empty result; other columns are not read. Texts of any length are cut without loss.
+    Of documents of equal length the one of the smaller id goes first. ids and positions
+    are little-endian int32 vectors of ``capacity`` tokens, padded.
     """
     short_batches(spark, ROWS)
     buckets = max(1, -(-docs.count() // BUCKET_DOCS))
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("bucket", key)
+    key = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(buckets))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", key.alias("bucket"))
     parts = max(1, min(buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = rows.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "doc_id", "text")
     shape = "bucket long, row long, n_tokens long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_sha256 string, positions_sha256 string, ids binary, positions binary"
@@ -182,4 +204,5 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows of all documents, id and position vectors included; awkward rows as in ``pack``."""
     return pack(spark, table(spark, sf_dir, "documents"))
