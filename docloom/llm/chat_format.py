@@ -6,10 +6,12 @@ A conversation is rendered as a sequence of turns
     <s><<SYS>>role<</SYS>>[INST]text[/INST]</s>        for all other roles
 
 and read back by a deterministic parser (split at the turn end, then fixed marks).
-A conversation whose recovered turns differ from the source is rendered again with
-its conflicting strings escaped, one level deeper each time, until both are
-identical. Escaping puts a caret behind the first character of a control string,
-``</s>`` -> ``<^/s>`` -> ``<^^/s>``, so one level always undoes one level.
+A conversation whose recovered turns differ from the source, or whose texts hold a
+control string, is rendered again with these strings escaped. Escaping puts a caret
+behind the first character of a control string, ``</s>`` -> ``<^/s>``, and one more
+where carets stand already, ``<^/s>`` -> ``<^^/s>``; no control string is left and
+taking one caret away restores every text. So the first escaped rendering reads back
+identically, and there are two levels: plain and escaped.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ ASSISTANT = "assistant"
 OPEN, CLOSE = "<s><<SYS>>", "</s>"
 ROLE_END = "<</SYS>>"
 ASK, ASK_END = "[INST]", "[/INST]"
-#: First line of a rendering whose texts are escaped, for each level.
-LEVELS = 2
+#: Renderings whose texts are escaped follow the plain one; their first line names the level.
+LEVELS = 1
 _CONTROL = r"(/?s>|/?INST\]|</?SYS>>)"
 PROBE_ID, PROBE_TEXT = -1, "</s>[INST] ok [/INST]"
 _TURNS = "array<struct<role:string,text:string>>"
@@ -42,6 +44,10 @@ def unescape(text: Column, levels: int) -> Column:
     return text
 
 
+def holds_control(text: Column) -> Column:
+    return text.rlike(r"[<\[]" + _CONTROL)
+
+
 def head(level: int) -> str:
     return f"#{level}\n"
 
@@ -79,13 +85,16 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     Turns are ordered by turn (null first), ties by role and text, so that repeated
     rows stay and their order is defined. Null roles and texts count as empty; a null
-    conv_id is a conversation of its own; an empty table gives an empty result.
+    conv_id is a conversation of its own; an empty table gives an empty result. Texts
+    of any length are one value each, as is a conversation; other columns are not read.
     """
     clean = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     whole = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).cast(_TURNS).alias("source"))
     level, formatted = F.lit(LEVELS), render(F.col("source"), LEVELS)
     for k in reversed(range(LEVELS)):
         fits = F.coalesce(parse(render(F.col("source"), k), k) == F.col("source"), F.lit(False))
+        if not k:
+            fits = fits & ~F.exists("source", lambda t: holds_control(t["text"]) | holds_control(t["role"]))
         level = F.when(fits, F.lit(k)).otherwise(level)
     whole = whole.withColumn("level", level)
     for k in reversed(range(LEVELS)):
@@ -104,6 +113,7 @@ def with_probe(rows: DataFrame) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and the probe, read back from their renderings; awkward rows as in ``format_conversations``."""
     done = format_conversations(with_probe(table(spark, sf_dir, "conversations")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
@@ -112,7 +122,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TEXT = "coalesce(text, '')"
 _ALL = f"(SELECT conv_id, turn, coalesce(role, '') AS role, {_TEXT} AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{PROBE_TEXT}'), (-1, 1, 'assistant', '{PROBE_TEXT}'))"
-#: Escapes are needed where a control string or, at a text's border, a mark's beginning meets the template.
+#: A conversation is escaped where one of its texts or roles holds a control string.
 OP4_SQL = f"""
 WITH rows AS (
   SELECT conv_id, turn, role, text,
@@ -123,7 +133,7 @@ WITH rows AS (
   SELECT conv_id, count(*) AS n_turns,
          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-         max(CASE WHEN contains(text, '</s>') OR contains(role, '</s>') OR contains(role, '<</SYS>>') THEN 1 ELSE 0 END) AS level,
+         max(CASE WHEN length(role_1) + length(text_1) > length(role) + length(text) AND regexp_matches(role || chr(10) || text, '[<\\[](/?s>|/?INST\\]|</?SYS>>)') THEN 1 ELSE 0 END) AS level,
          sum(length(role) + length(text) + CASE WHEN role = 'assistant' THEN 22 ELSE 35 END) AS chars_0,
          sum(length(role_1) + length(text_1) + CASE WHEN role = 'assistant' THEN 22 ELSE 35 END) AS chars_1
   FROM rows GROUP BY conv_id

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -32,6 +33,43 @@ def test_bpe_equals_the_library(spark, library):
         assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+@pytest.fixture(scope="module")
+def own():
+    return byte_bpe.Encoder(byte_bpe.vocabulary_path())
+
+
+def test_bpe_of_long_words(own, library):
+    rng = random.Random(6)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    words = [c * n for c in "a-=_.0 *#" for n in (65, 96, 129, 1000)] + [letters[:n] for n in (65, 300, 200_000)]
+    words += ["-=" * 500, "中文" * 300, "thequickbrownfox" * 50, ("-" * 70 + "=" * 33) * 20, "-" * 37 + "_" * 900 + "#" * 900, "é" * 999]
+    words += ["".join(rng.choice(["-", "=", "ab", "-" * 16, "_" * 7, "é", "x"]) for _ in range(rng.randrange(60, 400))) for _ in range(60)]
+    for word in words:
+        assert own.contract_long(word.encode()).tolist() == library._core_bpe.encode_single_piece(word.encode()), word[:40]
+
+
+def test_bpe_of_long_texts(spark, library):
+    """One text beyond every step's size, and many of 50 kB in one batch."""
+    rng = random.Random(8)
+    stock = [rng.choice(["the", "Haus", "été", "x1", "12345", "\n\n", "don't", "😀", "  "]) + str(rng.randrange(3000)) for _ in range(5000)]
+    say = lambda n: " ".join(rng.choice(stock) for _ in range(n))
+    texts = [say(700_000), "a" * 1_000_000, *[say(6_000) for _ in range(40)]]
+    assert len(texts[0]) > 10 * byte_bpe.LONG_TEXT and len(texts[5]) < byte_bpe.LONG_TEXT
+    for r in byte_bpe.byte_bpe(spark, plain(spark, list(enumerate(texts)))).collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_bpe_decodes_in_steps(own):
+    """Many documents and one of several steps share the decoder's memory."""
+    ids = np.arange(50_000, dtype=np.int32)
+    ids = np.concatenate([ids] * 60)
+    bounds = np.array([0, 0, 10, 2_999_990, 3_000_000])
+    want = [hashlib.sha256(b"".join(own.tokens[i] for i in ids[a:b].tolist())).hexdigest() for a, b in zip(bounds, bounds[1:])]
+    assert own.decoded_sha256(ids, bounds) == want
+
+
 def test_bpe_awkward(spark):
     assert byte_bpe.byte_bpe(spark, docs(spark)).count() == len(AWKWARD)
     assert byte_bpe.byte_bpe(spark, empty(spark)).collect() == []
@@ -79,6 +117,29 @@ def test_packing_is_lossless(spark, tmp_path):
     assert packing.pack(spark, empty(spark)).collect() == []
 
 
+def test_packing_parts_of_a_bucket(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "HELD_TOKENS", 64)
+    texts = ["one two three " * n for n in (1, 9, 30, 2, 2, 9, 4, 0, 5)]
+    work = packing._work(byte_bpe.vocabulary_path(), 16, True)
+    words = [[w for g in byte_bpe.word_groups(t) for w in g] for t in texts]
+    batch = pa.record_batch([pa.array([0] * 5 + [3] * 4), pa.array(list(range(9))), pa.array(words, pa.list_(pa.string())), pa.array([None] * 9, pa.string())], names=["bucket", "doc_id", "words", "long"])
+    rows = [r for b in work(iter([batch])) for r in b.to_pylist()]
+    for bucket in (0, 3):
+        assert [r["row"] for r in rows if r["bucket"] == bucket] == list(range(sum(r["bucket"] == bucket for r in rows)))
+    segments = sorted((d, s, r["ids"][4 * a : 4 * b]) for r in rows for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]))
+    tokens = byte_bpe.read_ranks(byte_bpe.vocabulary_path())
+    for doc, text in enumerate(texts):
+        assert b"".join(tokens[i] for d, _, part in segments if d == doc for i in np.frombuffer(part, "<i4")).decode() == text
+
+
+def test_repeated_rows_share_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_DOCS", 50)
+    packed = packing.pack(spark, plain(spark, [(1, "same words here")] * 400), capacity=64)
+    assert packed.select("bucket").distinct().count() > 4 and packed.selectExpr("sum(size(doc_ids))").first()[0] == 400
+
+
 def chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level int, source string, t int")
 
@@ -91,7 +152,11 @@ def test_chat_round_trip_of_control_strings(spark):
     got = {r.conv_id: r for r in chat_format.format_conversations(chats(spark, rows)).collect()}
     for c in {r[0] for r in rows}:
         assert got[c].round_trip
-        assert [(t.role, t.text) for t in got[c].turns] == [(r[2], r[3]) for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
+        own = [(r[2], r[3]) for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
+        assert [(t.role, t.text) for t in got[c].turns] == own
+        # Every control string in the rendering is a mark of the template.
+        marks = [m for role, _ in own for m in ("<s>", "<<SYS>>", "<</SYS>>", *(["[INST]", "[/INST]"] if role != "assistant" else []), "</s>")]
+        assert re.findall(r"</?s>|\[/?INST\]|<</?SYS>>", got[c].formatted) == marks
 
 
 def test_chat_awkward(spark):
