@@ -9,6 +9,8 @@ sum of weights, alone and over the length of the text, is calibrated to a score.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -17,16 +19,15 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Workspace, short_batches, table
 
 #: Labelled rows to learn from, chosen by a hash of doc_id: at most about this many of each label.
 TRAIN_ROWS = 5000
-LEXICON_SIZE = 5000
-#: Toxic training documents that hold an entry: this many, or an eighth of them, three at least, where that is less.
-MIN_DOCS = 8
+#: An entry's count among toxic and clean training documents must be this far from chance (likelihood ratio, one degree of freedom, p = 0.001).
+LEAST_SURPRISE = 10.83
 MIN_WEIGHT = 3.0
 PREFIXES = (4, 5, 6, 7)
 #: A phrase is an exception with this many clean documents and at most a twentieth as many toxic ones.
@@ -85,14 +86,20 @@ def hits(automaton, folded: str) -> list[tuple[int, int, float]]:
     if not len(automaton):
         return []
     best: dict[int, tuple[int, float]] = {}
-    spared = []
+    spared: list[tuple[int, int]] = []
     for last, (size, weight) in automaton.iter(folded):
         start = last + 1 - size
         if weight is None:
             spared.append((start, last + 1))
         elif start not in best or best[start][1] < weight:
             best[start] = (last + 1, weight)
-    return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b + 1 for a, b in spared)]
+    if not spared:
+        return [(s, e, w) for s, (e, w) in sorted(best.items())]
+    # By start, and how far the phrases that start no later reach.
+    spared.sort()
+    begin, reach = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+    inside = lambda s, e: (k := bisect.bisect_right(begin, s)) > 0 and e <= reach[k - 1] + 1
+    return [(s, e, w) for s, (e, w) in sorted(best.items()) if not inside(s, e)]
 
 
 def features(found, folded: str) -> tuple[float, float]:
@@ -161,6 +168,13 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(b) for b in beta)
 
 
+def _surprise(bad: Column, good: Column, totals: dict[int, int]) -> Column:
+    """Likelihood ratio statistic of the counts against shares equal to the classes' sizes."""
+    n = totals[0] + totals[1]
+    part = lambda seen, total: F.when(seen > 0, seen * F.log(seen * n / ((bad + good) * total))).otherwise(0.0)
+    return 2 * (part(bad, totals[1]) + part(good, totals[0]))
+
+
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Lexicon:
     """A lexicon from the documents with a non-null label; without both labels, an empty one."""
     ws = Workspace(spark)
@@ -180,35 +194,36 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Lexicon:
     shape = "entry string, toxic int, n long"
     tally = lambda work: sample.mapInArrow(work, shape).groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (totals[1] + 1)) - F.log((F.col("good") + 0.5) / (totals[0] + 1))
-    ranked = tally(_entries).where(F.col("bad") >= min(MIN_DOCS, max(3, totals[1] // 8))).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("bad"), F.length("entry"), "entry").limit(LEXICON_SIZE).collect()
+    # What the sample's bounded number of documents says beyond chance; the whole list comes back.
+    ranked = tally(_entries).where(_surprise(F.col("bad"), F.col("good"), totals) >= LEAST_SURPRISE).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("bad"), F.length("entry"), "entry").collect()
     weights: dict[str, float] = {}
     for r in ranked:
         if not any(r["entry"][:k] in weights for k in range(2, len(r["entry"]))):
             weights[r["entry"]] = float(r["w"])
-    spared = tally(_phrases(weights)).where((F.col("good") >= EXCEPTION_DOCS) & (F.col("bad") * 20 <= F.col("good"))).orderBy(F.desc("good"), "entry").limit(LEXICON_SIZE).collect()
+    spared = tally(_phrases(weights)).where((F.col("good") >= EXCEPTION_DOCS) & (F.col("bad") * 20 <= F.col("good"))).orderBy(F.desc("good"), "entry").collect()
     lexicon = Lexicon(weights, tuple(r["entry"] for r in spared), (0.0, 0.0, 0.0))
     measured = sample.mapInArrow(_measured(lexicon), "a double, b double, toxic int").toPandas()
     ws.drop("sample")
     return Lexicon(weights, lexicon.exceptions, _calibrate(measured[["a", "b"]].to_numpy(), measured["toxic"].to_numpy().astype(float)))
 
 
-def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, score, n_hits; null and blank texts get the score of no hit."""
+def scorer(lexicon: Lexicon):
+    """A Column function: text -> struct(score, n_hits); null and blank texts get the score of no hit."""
 
-    def work(batches):
+    @F.arrow_udf("score double, n_hits long")
+    def score(texts: pa.Array) -> pa.Array:
         automaton = lexicon.matcher()
         c, a, b = lexicon.bias
-        for batch in batches:
-            scores, counts = [], []
-            for text in batch.column(1).to_pylist():
-                folded = fold(text)
-                found = hits(automaton, folded)
-                x, y = features(found, folded)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * x + b * y)))))
-                counts.append(len(found))
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())], names=["doc_id", "score", "n_hits"])
+        scores, counts = [], []
+        for text in texts.to_pylist():
+            folded = fold(text)
+            found = hits(automaton, folded)
+            x, y = features(found, folded)
+            scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * x + b * y)))))
+            counts.append(len(found))
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(counts, pa.int64())], names=["score", "n_hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, score double, n_hits long")
+    return score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,13 +232,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0; a null label
     or doc_id is not learned from. Rows with a null doc_id are scored, held_out false.
     Repeated rows are scored alike; an empty table gives an empty result; without
-    labels of both kinds every score is that of no hit.
+    labels of both kinds every score is that of no hit. Of entries that hit at one
+    place the heaviest counts; a document labelled twice is toxic if one label says so.
+    Long texts are one value each; other columns of both tables are not read.
     """
     short_batches(spark)
-    scored = score_texts(docs, learn(spark, docs, labels))
+    score = scorer(learn(spark, docs, labels))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("found"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+    return scored.select("doc_id", held.alias("held_out"), "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.n_hits")
+
+
+def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose text the lexicon does not reject, all columns as they were, null ids too."""
+    short_batches(spark)
+    score = scorer(learn(spark, docs, labels))
+    return docs.where(score(F.col("text").cast("string"))["score"] < 0.5)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls, empty and long texts as in ``toxicity``."""
     return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
