@@ -1,9 +1,8 @@
 """Media columns: bytes kept as Netpbm or BMP images, decoded to arrays, resized, hashed.
 
 A payload is a whole number of 192-byte rows, i.e. an image 64 samples wide with
-three channels. Images of up to ``BMP_ROWS`` rows are stored as BMP (rows from the
-bottom, blue first), larger ones as binary Netpbm (P6). Reading back parses the
-stored header and inverts that order. Features come from an area resize by integral
+three channels. The caller chooses the format, binary Netpbm (P6) or BMP (rows from
+the bottom, blue first). Reading back parses the stored header and inverts that order. Features come from an area resize by integral
 images to a 9 x 8 luma tile, written as NPY, and its difference hash.
 """
 
@@ -23,7 +22,6 @@ from ._common import short_batches, table, text_bytes
 
 WIDTH = 64
 ROW = 3 * WIDTH
-BMP_ROWS = 8
 TILE = (8, 9)
 
 
@@ -103,11 +101,14 @@ def difference_hash(tile: np.ndarray) -> str:
     return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
 
 
-def media_row(raw: bytes) -> tuple:
+FORMATS = {"ppm": encode_ppm, "bmp": encode_bmp}
+
+
+def media_row(raw: bytes, image: str = "ppm") -> tuple:
     """n_bytes, stored bytes, payload read back, NPY tile, feature."""
     payload = pad(raw)
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-    stored = encode_bmp(pixels) if len(pixels) <= BMP_ROWS else encode_ppm(pixels)
+    stored = FORMATS[image](pixels)
     back = decode(stored)
     luma = (back[:, :, 0].astype(np.float32) + 2 * back[:, :, 1] + back[:, :, 2]) / 4
     tile = np.rint(area_resize(luma, TILE)).astype(np.uint8)
@@ -117,15 +118,15 @@ def media_row(raw: bytes) -> tuple:
 _SHAPE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, npy_tile binary"
 
 
-def _work(with_media: bool):
+def _work(image: str):
     def work(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             whole = data.tobytes()
             out = []
             for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-                n, stored, back, tile, feature = media_row(whole[lo:hi])
-                out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, stored if with_media else None, tile if with_media else None))
+                n, stored, back, tile, feature = media_row(whole[lo:hi], image)
+                out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, stored, tile))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
             cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.record_batch([batch.column(0), *cols], names=[f.split()[0] for f in _SHAPE.split(", ")])
@@ -133,15 +134,32 @@ def _work(with_media: bool):
     return work
 
 
-def media_columns(spark: SparkSession, docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """One row for each row of docs (doc_id, text, ...): sizes, digests, feature, and the files themselves.
+def media_columns(spark: SparkSession, docs: DataFrame, image: str = "ppm") -> DataFrame:
+    """One row for each row of docs (doc_id, text, ...): sizes, digests, feature, the stored image and its NPY tile.
 
     A null text is empty and stored as one row of spaces. Equal texts give equal
-    values; a null doc_id stays null; an empty table gives an empty result.
+    values; a null doc_id stays null; an empty table gives an empty result. Texts of any
+    length are one image each; other columns are not read. Equal neighbours count as
+    not brighter in the difference hash. image: "ppm" or "bmp".
     """
+    if image not in FORMATS:
+        raise ValueError(f"image must be one of {', '.join(FORMATS)}")
     short_batches(spark)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_work(with_media), _SHAPE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_work(image), _SHAPE)
+
+
+def _stacked(batches):
+    for batch in batches:
+        tiles = [np.load(io.BytesIO(t), allow_pickle=False) for t in batch.column(1).to_pylist()]
+        if tiles:
+            yield pa.record_batch([pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([npy_tile(np.stack(tiles))])], names=["doc_ids", "tiles_npy"])
+
+
+def write_tiles(media: DataFrame, path: str) -> None:
+    """Parquet rows of one NPY array (tiles x height x width) for each batch of rows, with the ids in its order."""
+    media.select("doc_id", "npy_tile").mapInArrow(_stacked, "doc_ids array<long>, tiles_npy binary").write.mode("overwrite").parquet(path)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(spark, table(spark, sf_dir, "documents"), with_media=False).drop("media", "npy_tile")
+    """Images, tiles and features of all documents; awkward rows as in ``media_columns``."""
+    return media_columns(spark, table(spark, sf_dir, "documents"))
