@@ -1,14 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Trained in numpy by backpropagation through time on a bounded sample of labelled
-texts; at inference every byte of every text gets a distribution over the languages
-from the states of both directions, and a document's probability is their mean. Texts
-run through the network in segments of ``SEGMENT`` bytes, thousands of segments
-abreast, so a step is a few matrix operations whatever the length of a text.
+Trained in numpy by backpropagation through time on segments that are drawn from the
+whole texts of a bounded sample of labelled documents; at inference every byte of every
+text gets a distribution over the languages from the states of both directions, and a
+document's probability is their mean. Texts run through the network in segments of
+``SEGMENT`` bytes, at whose borders both directions start anew, thousands of segments
+abreast: a step is a few matrix operations whatever the length of a text.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +21,13 @@ from pyspark.sql import functions as F
 from ._common import short_batches, table, text_bytes
 
 HIDDEN = 8
-SEGMENT = 64
-#: Segments that step through the network together.
+SEGMENT = 128
+#: Segments that step through the network together, fewer with more than eight languages.
 ABREAST = 8192
 #: Labelled documents to learn from: about this many of each language, by a hash of doc_id.
 TRAIN_DOCS = 150
+#: Places in each of them, anywhere in its text, of two segments' length.
+TRAIN_PLACES = 32
 STEPS, BATCH, RATE = 260, 192, 0.02
 UNKNOWN = "und"
 
@@ -150,8 +154,9 @@ def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros((n_rows, classes))
     # Longest first, so that those still running at a step are the first columns.
     order = np.argsort(-length, kind="stable")
-    for lo in range(0, len(order), ABREAST):
-        part = order[lo : lo + ABREAST]
+    columns = max(64, ABREAST * 8 // max(8, classes))
+    for lo in range(0, len(order), columns):
+        part = order[lo : lo + columns]
         top = int(length[part[0]])
         live = np.searchsorted(-length[part], -np.arange(top), side="left")
         at = np.minimum(begin[part][:, None] + np.arange(top), len(data) - 1)
@@ -172,8 +177,31 @@ def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total / np.maximum(size, 1)[:, None]
 
 
-def learn(docs: DataFrame) -> Model | None:
-    """A model from documents with text and language whose crc32(doc_id) mod 4 is not 2; None without any."""
+def _places(count: int):
+    """Rows (doc_id, text, lang) -> lang and pieces of the text at ``count`` random places."""
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            langs, pieces = [], []
+            for i, (doc, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                raw = data[offsets[i] : offsets[i + 1]]
+                rng = np.random.default_rng(zlib.crc32(str(doc).encode()))
+                for at in sorted(set(rng.integers(0, max(1, len(raw) - SEGMENT), count).tolist())):
+                    langs.append(lang)
+                    pieces.append(raw[at : at + 2 * SEGMENT].tobytes())
+            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], names=["lang", "piece"])
+
+    return work
+
+
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, places: int = TRAIN_PLACES) -> Model | None:
+    """A model from documents with text and language whose crc32(doc_id) mod 4 is not 2; None without any.
+
+    train_docs bounds the labelled documents of each language, places the pieces of each
+    that come to the driver: 8 kB of a document at most, drawn from its whole text.
+    """
+    short_batches(docs.sparkSession)
     own = F.col("doc_id").cast("string")
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(F.crc32(own) % 4 != 2)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("doc_id").alias("n")).collect()}
@@ -181,12 +209,10 @@ def learn(docs: DataFrame) -> Model | None:
         return None
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, TRAIN_DOCS / n))).otherwise(share)
-    # About TRAIN_DOCS documents of each language, each given by at most 16 kB from its middle.
-    middle = F.greatest(F.lit(1), (F.length("text") / 2 - 8192).cast("int"))
-    sample = known.where(F.pmod(F.xxhash64(own), F.lit(1 << 20)) < share * (1 << 20)).select("doc_id", F.substring("text", middle, F.lit(16384)).alias("text"), "lang")
-    rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in sample.collect())
-    return train([(text.encode(), lang) for _, text, lang in rows]) if rows else None
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / n))).otherwise(share)
+    sample = known.where(F.pmod(F.xxhash64(own), F.lit(1 << 30)) < share * (1 << 30)).mapInArrow(_places(places), "lang string, piece binary")
+    rows = sorted((r["lang"], bytes(r["piece"])) for r in sample.collect())
+    return train([(piece, lang) for lang, piece in rows]) if rows else None
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
@@ -194,7 +220,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataF
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text
     without a model. A null doc_id stays null and is not held out; repeated rows get
-    equal results; an empty table gives an empty result.
+    equal results; an empty table gives an empty result. Of equally likely languages the
+    first by name is predicted. Texts of any length are read whole, a bounded number of
+    segments at a time; other columns are not read.
     """
     short_batches(spark, 1024)
 
@@ -218,5 +246,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataF
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; nulls, empty and long texts as in ``identify``."""
     docs = table(spark, sf_dir, "documents")
     return identify(spark, docs, learn(docs))

@@ -1,6 +1,7 @@
 """Toxicity, language identification, media, PII: fixtures with known answers and awkward rows."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -43,6 +44,59 @@ def test_toxicity_exceptions_spare_a_hit():
     assert len(hits("you idiot you")) == 1 and hits("you not idiot you") == [] and len(hits("1D10T!")) == 1
 
 
+def test_toxicity_hits_equal_plain_search():
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("ab  ") for _ in range(n))
+    for _ in range(200):
+        weights = {f" {say(rng.randrange(1, 4)).strip() or 'a'}{rng.choice(['', ' '])}": rng.choice([1.0, 2.0, 3.0]) for _ in range(4)}
+        exceptions = tuple(f" {say(rng.randrange(2, 7)).strip() or 'b'} " for _ in range(3))
+        exceptions = tuple(p for p in exceptions if p not in weights)
+        text = f" {say(40)} "
+        best = {}
+        for entry, weight in weights.items():
+            for at in range(len(text)):
+                if text.startswith(entry, at) and (at not in best or (weight, -len(entry)) > (best[at][1], -best[at][0])):
+                    best[at] = (len(entry), weight)
+        spared = [(at, at + len(p)) for p in exceptions for at in range(len(text)) if text.startswith(p, at)]
+        want = [(s, s + n, w) for s, (n, w) in sorted(best.items()) if not any(a <= s and s + n <= b + 1 for a, b in spared)]
+        assert toxicity.hits(toxicity.Lexicon(weights, exceptions, (0, 0, 0)).matcher(), text) == want
+
+
+def test_toxicity_many_hits_and_exceptions():
+    """A million places where a comparison of all hits with all phrases would not end."""
+    automaton = toxicity.Lexicon({" idiot ": 3.0}, (" not idiot ",), (0, 0, 0)).matcher()
+    assert len(toxicity.hits(automaton, toxicity.fold("not idiot so idiot and " * 100_000))) == 100_000
+
+
+def test_langid_equals_a_plain_loop():
+    rng = np.random.default_rng(1)
+    model = langid.new_model(["a", "b", "c"], 5)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 5, 0, 127, 128, 129, 500)]
+    gate = lambda x: np.clip(x / 4 + 0.5, 0, 1)
+    h = langid.HIDDEN
+
+    def states(k, codes):
+        state, out = np.zeros(h), []
+        for code in codes:
+            drive = model.inputs[k][:, code].astype(float)
+            z, r = gate(drive[:h] + model.recurrent[k][:h] @ state), gate(drive[h : 2 * h] + model.recurrent[k][h : 2 * h] @ state)
+            state = state + z * (np.tanh(drive[2 * h :] + model.recurrent[k][2 * h :] @ (r * state)) - state)
+            out.append(state)
+        return out
+
+    want = np.zeros((len(texts), 3))
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), langid.SEGMENT):
+            part = text[at : at + langid.SEGMENT]
+            for f, b in zip(states(0, part), reversed(states(1, part[::-1]))):
+                p = np.exp(model.output @ np.concatenate((f, b)) + model.bias)
+                want[i] += p / p.sum()
+        want[i] /= max(1, len(text))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = langid.predict(model, data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_langid_gradients():
     rng = np.random.default_rng(0)
     model = langid.new_model(["a", "b"], 3)
@@ -73,13 +127,13 @@ def test_langid_accuracy_and_awkward(spark, data):
     assert langid.identify(spark, empty(spark), langid.learn(empty(spark))).collect() == []
 
 
-def test_media_round_trip_and_awkward(spark):
-    for n in (0, 1, 191, 192, 193, 192 * 8, 192 * 9 + 5, 50_000):
+def test_media_round_trip_and_awkward(spark, tmp_path):
+    for n in (0, 1, 191, 192, 193, 192 * 8, 192 * 9 + 5, 50_000, 3_000_001):
         raw = bytes(i * 7 % 256 for i in range(n))
-        size, stored, back, tile, feature = media.media_row(raw)
-        assert back == media.pad(raw) and size == n and len(back) % 192 == 0 and back and len(feature) == 16
-        assert np.load(__import__("io").BytesIO(tile)).shape == media.TILE
-        assert stored[:2] == (b"BM" if len(back) <= 192 * media.BMP_ROWS else b"P6")
+        for image, mark in (("ppm", b"P6"), ("bmp", b"BM")):
+            size, stored, back, tile, feature = media.media_row(raw, image)
+            assert back == media.pad(raw) and size == n and len(back) % 192 == 0 and back and len(feature) == 16
+            assert np.load(io.BytesIO(tile)).shape == media.TILE and stored[:2] == mark
     gray = np.arange(40.0).reshape(5, 8)
     assert media.area_resize(gray, (1, 1))[0, 0] == pytest.approx(gray.mean())
     assert np.allclose(media.area_resize(gray, (5, 8)), gray)
@@ -87,7 +141,31 @@ def test_media_round_trip_and_awkward(spark):
     by = {r.doc_id: r for r in rows}
     assert len(rows) == len(AWKWARD) and by[2].payload_bytes == 192 and by[2].media_sha256 == by[3].media_sha256
     assert by[6].payload_sha256 == by[7].payload_sha256 == hashlib.sha256(media.pad(AWKWARD[6][1].encode())).hexdigest()
-    assert media.media_columns(spark, empty(spark)).collect() == []
+    for r in rows:
+        assert media.decode(r.media).tobytes()[: r.n_bytes] == (next(t for i, t, *_ in AWKWARD if i == r.doc_id) or "").encode()
+    assert media.media_columns(spark, empty(spark), "bmp").collect() == []
+    assert {r.feature for r in media.media_columns(spark, docs(spark), "bmp").collect()} == {r.feature for r in rows}
+    media.write_tiles(media.media_columns(spark, docs(spark)), str(tmp_path / "tiles"))
+    for r in spark.read.parquet(str(tmp_path / "tiles")).collect():
+        assert np.load(io.BytesIO(r.tiles_npy)).shape == (len(r.doc_ids), *media.TILE)
+
+
+def test_media_features_equal_plain_loops():
+    rng = random.Random(5)
+    for height, width, shape in ((7, 11, (3, 4)), (8, 9, (8, 9)), (3, 64, (8, 9)), (40, 64, (8, 9))):
+        gray = np.array([[rng.randrange(256) for _ in range(width)] for _ in range(height)], float)
+        got = media.area_resize(gray, shape)
+        for r in range(shape[0]):
+            for c in range(shape[1]):
+                top, bottom, left, right = r * height / shape[0], (r + 1) * height / shape[0], c * width / shape[1], (c + 1) * width / shape[1]
+                total = 0.0
+                for y in range(height):
+                    for x in range(width):
+                        total += gray[y, x] * max(0, min(y + 1, bottom) - max(y, top)) * max(0, min(x + 1, right) - max(x, left))
+                assert got[r, c] == pytest.approx(total / ((bottom - top) * (right - left)), abs=1e-6)
+    tile = np.array([[rng.randrange(256) for _ in range(9)] for _ in range(8)], np.uint8)
+    bits = "".join("1" if tile[r, c + 1] > tile[r, c] else "0" for r in range(8) for c in range(8))
+    assert media.difference_hash(tile) == f"{int(bits, 2):016x}"
 
 
 KINDS = [
