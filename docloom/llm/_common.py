@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores in front that no column of df has (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or f"{name}_next".lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Python stages get at most ``rows`` rows in one Arrow batch; their workers find this package."""
     home = str(Path(__file__).resolve().parents[2])

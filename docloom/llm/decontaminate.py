@@ -2,19 +2,22 @@
 
 The test items form an inverted index whose postings carry BM25 impacts divided by the
 item's score for itself, so one threshold serves all items. Items stand in blocks, and
-each term knows its largest impact in every block. Passages (overlapping windows of
-words) of every document query the index: sums of block maxima, computed for all
-passages of a batch at once, rule out almost every block; in the remaining ones WAND
-walks the postings document at a time. Every item above the threshold is retrieved and
+each term knows its largest impact in every block that has it. Passages (overlapping
+windows of words) of every document query the index: sums of the block maxima of a
+passage's terms rule out almost every block; in the remaining ones WAND walks the
+postings document at a time. Every item above the threshold is retrieved and
 verified by the overlap of its question and answer parts with the passage. Items longer
 than a passage's step form classes by length, each with passages and steps twice as long
 as the class before, so that every item fits whole into a passage wherever it stands.
+A large benchmark is indexed in shards of bounded size, each searched by all documents,
+with document frequencies and lengths counted over all of it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prefix_hash, short_batches, slices, span_hash, table, text_bytes, word_spans
+from ._common import Workspace, prefix_hash, short_batches, slices, span_hash, table, text_bytes, unused, word_spans
 
 K1, B = 1.2, 0.75
 #: Least BM25 score of a passage, as a share of the item's score for itself.
@@ -35,8 +38,10 @@ GRAM = 3
 ANSWER_WORDS = 5
 #: Items in a block of the index.
 BLOCK = 4
-#: The index goes to every executor; a larger benchmark than this many bytes of text is refused.
-MAX_BYTES = 64 << 20
+#: Bytes of test items in one index, which goes to every executor; more of them make more indexes, one pass each.
+SHARD_BYTES = 8 << 20
+#: Block maxima that are added up at once.
+AT_ONCE = 1 << 22
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -87,7 +92,10 @@ class Index:
     bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     impacts: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
+    #: Blocks of term t and its largest impacts there, from block_bounds[t] to block_bounds[t + 1].
+    block_bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
     #: Question and answer of each item, as words.
     parts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     #: (class, first item, last item + 1): items stand by class, and class c fits steps of STEP << c words.
@@ -99,8 +107,18 @@ def _class(n_words: int) -> int:
     return (-(-n_words // STEP) - 1).bit_length()
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """Items (id, text); those without a word are left out."""
+@dataclass
+class Counts:
+    """Items with words, their mean length, and in how many of them each term stands."""
+
+    items: int
+    mean_length: float
+    terms: np.ndarray
+    frequency: np.ndarray
+
+
+def build_index(items: list[tuple[int, str]], counts: Counts | None = None) -> Index:
+    """Items (id, text); those without a word are left out. counts, if the items are not all."""
     read = [(i, text_words(t), t) for i, t in sorted(items, key=lambda x: (x[0], x[1]))]
     read = sorted((r for r in read if len(r[1])), key=lambda r: _class(len(r[1])))
     if not read:
@@ -109,19 +127,24 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     owner = np.repeat(np.arange(len(read)), [len(w) for _, w, _ in read])
     pair, count = np.unique(where * len(read) + owner, return_counts=True)
     term, item = pair // len(read), pair % len(read)
-    frequency = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(read) - frequency + 0.5) / (frequency + 0.5))
+    own = np.bincount(term, minlength=len(terms))
     length = np.array([len(w) for _, w, _ in read], float)
-    impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[item] / length.mean()))
+    if counts is None:
+        counts = Counts(len(read), length.mean(), terms, own)
+    frequency = counts.frequency[np.searchsorted(counts.terms, terms)]
+    idf = np.log(1 + (counts.items - frequency + 0.5) / (frequency + 0.5))
+    impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[item] / counts.mean_length))
     impact /= np.bincount(item, weights=impact)[item]
-    blocks = -(-len(read) // BLOCK)
-    top = np.zeros((len(terms) + 1, blocks), np.float32)
-    np.maximum.at(top, (term, item // BLOCK), impact.astype(np.float32))
-    top[top > 0] += 1e-6
+    # Pairs stand by term and item, so those of one block are neighbours.
+    block = item // BLOCK
+    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+    top = np.maximum.reduceat(impact, first) + 1e-9
     parts = [tuple(text_words(p) for p in split_item(t)) for _, _, t in read]
     of = np.array([_class(len(w)) for _, w, _ in read])
     classes = [(int(c), int(np.searchsorted(of, c)), int(np.searchsorted(of, c, side="right"))) for c in np.unique(of)]
-    return Index([i for i, _, _ in read], terms, np.concatenate(([0], np.cumsum(frequency))), item, impact, top, parts, classes)
+    bounds = np.concatenate(([0], np.cumsum(own)))
+    block_bounds = np.searchsorted(first, bounds)
+    return Index([i for i, _, _ in read], terms, bounds, item, impact, block_bounds, block[first], top, parts, classes)
 
 
 def wand(index: Index, query: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
@@ -133,11 +156,14 @@ def wand(index: Index, query: np.ndarray, block: int, threshold: float) -> list[
     """
     lo, hi = block * BLOCK, (block + 1) * BLOCK
     cursors = []
-    for t in query[index.block_max[query, block] > 0]:
+    for t in query:
+        a, b = index.block_bounds[t], index.block_bounds[t + 1]
+        here = a + np.searchsorted(index.blocks[a:b], block)
+        if here == b or index.blocks[here] != block:
+            continue
         a, b = index.bounds[t], index.bounds[t + 1]
         begin, end = a + np.searchsorted(index.items[a:b], (lo, hi))
-        if begin < end:
-            cursors.append([int(index.items[begin]), float(index.block_max[t, block]), int(begin), int(end)])
+        cursors.append([int(index.items[begin]), float(index.block_max[here]), int(begin), int(end)])
     found = []
     while cursors:
         cursors.sort()
@@ -188,6 +214,30 @@ def matches(index: Index, words: np.ndarray, rows: np.ndarray, n_rows: int) -> d
     return {r: own for r, own in out.items() if own}
 
 
+def _open_blocks(index: Index, passage: np.ndarray, known: np.ndarray, lo: int, hi: int):
+    """(passage, block) with a sum of block maxima of at least the threshold, for pairs of passage and term, passages in order.
+
+    What is added up is one entry for each term and block that has it, some passages at a time.
+    """
+    size = index.block_bounds[known + 1] - index.block_bounds[known]
+    ends = np.cumsum(size)
+    first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+    first, n, at = np.append(first, len(passage)), len(first), 0
+    while at < n:
+        before = ends[first[at] - 1] if first[at] else 0
+        stop = int(np.searchsorted(ends[first[1:] - 1], before + AT_ONCE, side="right"))
+        stop = min(max(stop, at + 1), at + max(1, AT_ONCE // (hi - lo)))
+        own = slice(first[at], first[stop])
+        entry = np.arange(int(size[own].sum())) + np.repeat(index.block_bounds[known[own]] - (ends[own] - size[own] - before), size[own])
+        owner = np.repeat(np.repeat(np.arange(stop - at), np.diff(first[at : stop + 1])), size[own])
+        block = index.blocks[entry]
+        inside = (block >= lo) & (block < hi)
+        bound = np.bincount(owner[inside] * (hi - lo) + block[inside] - lo, weights=index.block_max[entry[inside]], minlength=(stop - at) * (hi - lo))
+        good = np.flatnonzero(bound >= THRESHOLD)
+        yield from zip(passage[first[at + good // (hi - lo)]].tolist(), (lo + good % (hi - lo)).tolist(), strict=True)
+        at = stop
+
+
 def _match_class(index: Index, words: np.ndarray, term: np.ndarray, first: np.ndarray, passage_words: int, step: int, lo: int, hi: int, out: dict[int, dict[int, float]]) -> None:
     """Adds the verified items from lo to hi, by passages of their class, to out."""
     n_rows, size = len(first) - 1, np.diff(first)
@@ -204,12 +254,8 @@ def _match_class(index: Index, words: np.ndarray, term: np.ndarray, first: np.nd
         return
     passage, known = pair // (len(index.terms) + 1), pair % (len(index.terms) + 1)
     begin = np.searchsorted(passage, np.arange(len(start) + 1))
-    block_max = index.block_max[:, lo // BLOCK : -(-hi // BLOCK)]
-    bound = np.zeros((len(start), block_max.shape[1]), np.float32)
-    filled = np.flatnonzero(np.diff(begin) > 0)
-    bound[filled] = np.add.reduceat(block_max[known], begin[filled], axis=0)
-    for p, block in zip(*np.nonzero(bound >= THRESHOLD), strict=True):
-        found = wand(index, known[begin[p] : begin[p + 1]], lo // BLOCK + int(block), THRESHOLD)
+    for p, block in _open_blocks(index, passage, known, lo // BLOCK, -(-hi // BLOCK)):
+        found = wand(index, known[begin[p] : begin[p + 1]], block, THRESHOLD)
         found = [(item, score) for item, score in found if lo <= item < hi]
         if found:
             held = words[start[p] : end[p]]
@@ -220,39 +266,98 @@ def _match_class(index: Index, words: np.ndarray, term: np.ndarray, first: np.nd
                     own[item] = max(own.get(item, 0.0), score)
 
 
-_SHAPE = "doc_id long, n_items long, item_ids array<long>, best_score double, contaminated boolean"
+def finder(index: Index):
+    """A Column function: text -> struct(item_ids, best_score) of the index's items."""
+
+    @F.arrow_udf("item_ids array<long>, best_score double")
+    def find(texts: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(texts)
+        rows: list[dict[int, float]] = []
+        for lo, hi in slices(offsets, 1 << 20):
+            words, owner = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            found = matches(index, words, owner, hi - lo)
+            rows += [found.get(i, {}) for i in range(hi - lo)]
+        ids = [sorted({index.item_ids[k] for k in r}) for r in rows]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array([max(r.values(), default=0.0) for r in rows], pa.float64())], names=["item_ids", "best_score"])
 
+    return find
 
-def _work(index: Index):
-    def work(batches):
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            rows: list[dict[int, float]] = []
-            for lo, hi in slices(offsets, 1 << 20):
-                words, owner = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                found = matches(index, words, owner, hi - lo)
-                rows += [found.get(i, {}) for i in range(hi - lo)]
-            ids = [sorted({index.item_ids[k] for k in r}) for r in rows]
-            yield pa.record_batch([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([max(r.values(), default=0.0) for r in rows], pa.float64()), pa.array([bool(i) for i in ids])], names=["doc_id", "n_items", "item_ids", "best_score", "contaminated"])
 
-    return work
+def _terms(batches):
+    """Each item's number of words, as term null, and its distinct terms."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(0))
+        words, rows = _words(data, offsets)
+        size = np.bincount(rows, minlength=batch.num_rows)
+        own = [np.unique(words[rows == i]) for i in np.flatnonzero(size)]
+        n = int((size > 0).sum())
+        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.array(size[size > 0], pa.int64())], names=["term", "n"])
+        if own:
+            terms = np.concatenate(own).astype(np.int64)
+            yield pa.record_batch([pa.array(terms), pa.array(np.ones(len(terms), np.int64))], names=["term", "n"])
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+def indexes(spark: SparkSession, items: DataFrame, shard_bytes: int = SHARD_BYTES):
+    """The indexes of the items' shards, one after another; a single one if the items are few."""
+    listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    read = lambda rows: [(r["item_id"], r["text"]) for r in rows.collect()]
+    size = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-size // shard_bytes)
+    if shards <= 1:
+        yield build_index(read(listed))
+        return
+    ws = Workspace(spark)
+    counted = ws.save(listed.select("text").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")), "terms")
+    total = counted.where("term is null").first()
+    for k in range(shards):
+        part = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        # A shard's items and their terms: bounded by its bytes.
+        own = counted.where("term is not null").join(part.select("text").mapInArrow(_terms, "term long, n long").select("term").distinct(), "term", "left_semi").toPandas()
+        terms, frequency = own["term"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(np.int64)
+        order = np.argsort(terms)
+        yield build_index(read(part), Counts(total["rows"], total["n"] / total["rows"], terms[order], frequency[order]))
+    ws.close()
+
+
+def with_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, name: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """docs with a column struct(item_ids, best_score) of that name; a pass over docs for each shard of the items."""
+    short_batches(spark)
+    ws, done = None, None
+    for index in indexes(spark, items, shard_bytes):
+        found = finder(index)(F.col("text").cast("string"))
+        if done is None:
+            done = docs.withColumn(name, found)
+            continue
+        ws = ws or Workspace(spark)
+        saved = ws.save(done, f"pass_{uuid.uuid4().hex}")
+        own = F.col(name)
+        done = saved.withColumn(f"{name}_next", found)
+        more = F.col(f"{name}_next")
+        both = F.struct(F.array_sort(F.array_distinct(F.concat(own["item_ids"], more["item_ids"]))).alias("item_ids"), F.greatest(own["best_score"], more["best_score"]).alias("best_score"))
+        done = done.withColumn(name, both).drop(f"{name}_next")
+    return done
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each row of docs: n_items, item_ids (ascending), best_score, contaminated.
 
     Null or blank texts match nothing; items with a null id or text are left out; equal
-    items are all reported. A null doc_id stays null; empty tables give no match or no
-    row. The benchmark's size is checked before it is collected.
+    items are all reported, in order of id. Repeated rows give equal results; a null
+    doc_id stays null; empty tables give no match or no row. Items and texts of any
+    length are read whole; other columns of both tables are not read. A benchmark of
+    more than shard_bytes is searched shard by shard.
     """
-    short_batches(spark)
-    listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; an index in memory holds {MAX_BYTES} at most")
-    index = build_index([(r["item_id"], r["text"]) for r in listed.collect()])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_work(index), _SHAPE)
+    found = with_matches(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, "found", shard_bytes)
+    ids = F.col("found.item_ids")
+    return found.select("doc_id", F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col("found.best_score").alias("best_score"), (F.size(ids) > 0).alias("contaminated"))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item, all columns as they were, null ids too."""
+    name = unused(docs, "found")
+    return with_matches(spark, docs, items, name).where(F.size(F.col(name)["item_ids"]) == 0).drop(name)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents; awkward rows as in ``decontaminate``."""
     return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

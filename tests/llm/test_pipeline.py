@@ -6,7 +6,7 @@ import duckdb
 
 import corpus_pipeline
 from docloom.llm import queries
-from docloom.llm.decontaminate import build_index, decontaminate, wand
+from docloom.llm.decontaminate import BLOCK, THRESHOLD, _open_blocks, build_index, decontaminate, split_item, uncontaminated, wand
 
 from .helpers import AWKWARD, docs, empty, plain
 
@@ -60,10 +60,84 @@ def test_wand_retrieves_all_above_threshold():
             for k in range(index.bounds[t], index.bounds[t + 1]):
                 exact[int(index.items[k])] = exact.get(int(index.items[k]), 0.0) + float(index.impacts[k])
         for threshold in (0.1, 0.4):
-            found = dict(p for b in range(index.block_max.shape[1]) for p in wand(index, query, b, threshold))
+            found = dict(p for b in range(-(-50 // BLOCK)) for p in wand(index, query, b, threshold))
             assert set(found) == {i for i, s in exact.items() if s >= threshold}
 
 
+def test_no_block_with_an_item_above_the_threshold_is_left_out():
+    import numpy as np
+
+    rng = random.Random(5)
+    bench = [(i, " ".join(f"t{min(rng.randrange(80), rng.randrange(80))}" for _ in range(rng.randrange(1, 12)))) for i in range(90)]
+    index = build_index(bench)
+    pairs, want = [], set()
+    for p in range(60):
+        query = np.unique([rng.randrange(len(index.terms)) for _ in range(rng.randrange(1, 30))])
+        score = np.zeros(90)
+        for t in query:
+            score[index.items[index.bounds[t] : index.bounds[t + 1]]] += index.impacts[index.bounds[t] : index.bounds[t + 1]]
+        want |= {(p, int(k) // BLOCK) for k in np.flatnonzero(score >= THRESHOLD)}
+        pairs += [(p, int(t)) for t in query]
+    passage, known = (np.array(c) for c in zip(*pairs))
+    opened = set(_open_blocks(index, passage, known, 0, -(-90 // BLOCK)))
+    assert want <= opened and len(opened) < 60 * 23
+
+
+def plain_matches(bench, texts):
+    """Items by the operator's rule, with dictionaries: BM25 share, then question and answer shares, passage by passage."""
+    import math
+    import re as regex
+
+    words = lambda t: regex.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    read = {i: words(t) for i, t in bench}
+    n, mean = len(read), sum(map(len, read.values())) / len(read)
+    df = {w: sum(w in own for own in read.values()) for own in read.values() for w in own}
+    idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in df.items()}
+    impact = {i: {w: idf[w] * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in own} for i, own in read.items()}
+    grams = lambda w, size: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+
+    def share(part, held):
+        size = min(3, len(part))
+        own = grams(part, size)
+        return len(own & grams(held, size)) / len(own) if size and own else 1.0
+
+    out = []
+    for text in texts:
+        own, found = words(text), set()
+        for i, t in bench:
+            step = 64
+            while len(read[i]) > step:
+                step *= 2
+            for at in range(0, max(1, len(own)), step):
+                held = own[at : at + 2 * step]
+                score = sum(v for w, v in impact[i].items() if w in set(held)) / sum(impact[i].values())
+                if score >= 0.6 and all(share(words(p), held) >= 0.6 for p in split_item(t)):
+                    found.add(i)
+        out.append(sorted(found))
+    return out
+
+
+def test_decontamination_equals_plain_loops(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"{rng.choice('abcdé')}{min(rng.randrange(60), rng.randrange(60))}" for _ in range(n))
+    bench = [(i, say(rng.choice([5, 8, 20, 50, 90, 150, 300])) + ". " + say(rng.randrange(1, 9)) + "?") for i in range(30)]
+    texts = []
+    for _ in range(60):
+        parts = [say(rng.randrange(0, 150))]
+        for _ in range(rng.randrange(3)):
+            kept = [w if rng.random() > rng.choice([0, 0.1, 0.3]) else "zz" for w in rng.choice(bench)[1].split(" ")]
+            parts += [" ".join(kept), say(rng.randrange(0, 100))]
+        texts.append("\n".join(parts))
+    want = plain_matches(bench, texts)
+    assert sum(map(bool, want)) > 10
+    rows = items(spark, [(i, t, 1, True) for i, t in bench])
+    table = plain(spark, list(enumerate(texts)))
+    for size in (1 << 20, 3000):
+        got = {r.doc_id: list(r.item_ids) for r in decontaminate(spark, table, rows, size).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert {r.doc_id for r in uncontaminated(spark, table.withColumn("found", table.text), rows).collect()} == {i for i, w in enumerate(want) if not w}
+
+
 def test_decontamination_awkward(spark):
     rows = items(spark, [(1, None, 1, True), (None, "a b c", 1, True), (2, "", 1, True), (3, "short", 1, True), (4, "short", 1, True)])
     got = {r.doc_id: list(r.item_ids) for r in decontaminate(spark, docs(spark), rows).collect()}
