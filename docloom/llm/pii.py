@@ -7,6 +7,11 @@ counts estimates how reliable each labeler is and how likely each pattern is per
 data, and a logistic span classifier is fitted to those posteriors with the spans'
 length and digit features. Its coefficients go back into a Column expression. Spans
 of the contract's patterns always stay; others need a probability of one half.
+
+Candidates are found once and kept as a table, from which the counts are taken and the
+accepted spans. Texts with many matches stay cheap: places are sums over runs of ``RUN``
+matches and then inside each run, and what a run of loose spans meets is looked up among
+the base spans that reach into it.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import Workspace, table, unused
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "name")
@@ -29,8 +34,14 @@ PATTERNS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Given names, domain ends, calling codes and cue words.
-GIVEN_NAMES = ("Anna", "David", "Elena", "James", "John", "Laura", "Maria", "Martin", "Michael", "Paul", "Peter", "Robert", "Sarah", "Thomas")
+# Given names, titles, domain ends, calling codes and cue words.
+GIVEN_NAMES = (
+    "Alice", "Andrea", "Anna", "Antonio", "Carlos", "Carmen", "Charles", "Christian", "Claire", "Daniel", "David", "Elena", "Elizabeth", "Emma", "Eric", "Felix",
+    "Francisco", "George", "Hans", "Helen", "Isabel", "Jacques", "James", "Jean", "Jennifer", "John", "Jose", "Joseph", "Juan", "Julia", "Karl", "Katharina", "Laura",
+    "Linda", "Louis", "Lucas", "Luis", "Manuel", "Maria", "Marie", "Martin", "Mary", "Michael", "Monika", "Nicolas", "Olivia", "Paul", "Pedro", "Peter", "Philippe",
+    "Pierre", "Richard", "Robert", "Sarah", "Sofia", "Sophie", "Stefan", "Susan", "Thomas", "Ursula", "Victor", "William", "Wolfgang",
+)
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk", "io", "eu")
 CALLING_CODES = ("1", "33", "34", "44", "49", "39", "41", "43", "91", "86", "81")
 CUES = {
@@ -49,10 +60,12 @@ LOOSE = [
     ("phone", r"(?<![\p{N}+)(] ?)\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{N}-])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("ssn", r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"),
-    ("name", r"(?<!\p{L})(?:" + "|".join(GIVEN_NAMES) + r") \p{Lu}\p{Ll}++(?!\p{L})"),
+    ("name", r"(?<!\p{L})(?=\p{Lu})(?:(?:" + "|".join(GIVEN_NAMES) + r") |(?<=(?<!\p{L})(?:" + "|".join(TITLES) + r")\.? )(?:\p{Lu}\p{Ll}++ )?)\p{Lu}\p{Ll}++(?!\p{L})"),
 ]
 LABELERS = ("shape", "gazetteer", "cue", "against", "edges")
 EM_ROUNDS = 40
+#: Matches of one run.
+RUN = 256
 _PART = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -85,7 +98,7 @@ def _votes(kind: str, match: Column, before: Column, after: Column) -> list[Colu
     gazetteer = {
         "email": F.when(F.lower(match).rlike(r"(?:" + "|".join(DOMAIN_ENDS) + ")$"), 1).otherwise(0),
         "phone": F.when(match.rlike(r"^\+(?:" + "|".join(CALLING_CODES) + ")"), 1).otherwise(0),
-        "name": F.lit(1),
+        "name": F.when(match.rlike(r"^(?:" + "|".join(GIVEN_NAMES) + ") "), 1).otherwise(0),
     }.get(kind, sure)
     cue = F.when(small.rlike(rf"(?<!\p{{L}})(?:{CUES[kind]})"), 1).otherwise(0)
     against = F.when(small.rlike(rf"(?<!\p{{L}})(?:{AGAINST})\p{{L}}*[ :#]*$"), -1).otherwise(0)
@@ -116,13 +129,48 @@ def _spans(text: Column, kind: str, pattern: str, base: bool) -> Column:
         grown = F.concat(state["found"], F.array(span))
         return F.struct(end.alias("at"), (F.when(valid(kind, match), grown).otherwise(state["found"]) if base else grown).alias("found"))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("match"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("after")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["found"])).otherwise(F.array().cast(empty))
+    rows = F.arrays_zip(matches.alias("match"), gaps.alias("gap"), F.slice(gaps, 2, 1 << 30).alias("after"))
+    pairs = F.filter(rows, lambda r: r["match"].isNotNull())
+    chars = lambda run: F.aggregate(run, F.lit(0), lambda n, p: n + F.length(p["match"]) + F.length(p["gap"]))
+    place = lambda at: F.struct(at.alias("at"), F.array().cast(empty).alias("found"))
+    found = F.flatten(F.transform(_offsets(_runs(pairs), chars), lambda r: F.aggregate(r["run"], place(r["at"]), step, lambda s: s["found"])))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(empty))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: inside a function of arrays an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """A non-empty array in runs of ``RUN``."""
+    return _let(items, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda k: F.slice(all_, k * RUN + 1, RUN)))
+
+
+def _offsets(runs: Column, size) -> Column:
+    """Each run with the sum of the sizes of those before it."""
+    begin = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+
+    def with_sums(all_: Column) -> Column:
+        sums = F.aggregate(F.transform(all_, size), begin, lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["all"], F.array(s["sum"])).alias("all")), lambda s: s["all"])
+        return F.arrays_zip(all_.alias("run"), sums.alias("at"))
+
+    return _let(runs, with_sums)
+
 
+def _apart(loose: Column, base: Column) -> Column:
+    """The loose spans that no base span overlaps; a run of them is compared with the base spans that reach into it."""
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with cands: base spans and loose ones that no base span overlaps."""
+    def kept(run: Column) -> Column:
+        limits = F.struct(F.array_min(F.transform(run, lambda x: x["start"])).alias("start"), F.array_max(F.transform(run, lambda x: x["end"])).alias("end"))
+        near = _let(limits, lambda w: F.filter(base, lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
+        return _let(near, lambda some: F.filter(run, lambda x: ~F.exists(some, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))))
+
+    return F.when((F.size(base) > 0) & (F.size(loose) > 0), F.flatten(F.transform(_runs(loose), kept))).otherwise(loose)
+
+
+def candidates(docs: DataFrame, name: str) -> DataFrame:
+    """docs with an array of that name: base spans and loose ones that no base span overlaps."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     signs = {"email": "@", "phone": "+"}
     none = F.array()
@@ -130,13 +178,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     for kind in BASE_KINDS:
         spans = _spans(text, kind, PATTERNS[kind], True)
         kept = F.when(F.contains(text, F.lit(signs[kind])), spans) if kind in signs else spans
-        out = out.withColumn(f"_pii_{kind}", kept)
+        out = out.withColumn(f"{name}_{kind}", kept)
     for k, (kind, pattern) in enumerate(LOOSE):
-        out = out.withColumn(f"_pii_loose_{k}", _spans(text, kind, pattern, False))
-    base = F.concat(*[F.coalesce(F.col(f"_pii_{k}"), none) for k in BASE_KINDS])
-    loose = F.concat(*[F.col(f"_pii_loose_{k}") for k in range(len(LOOSE))])
-    free = F.filter(loose, lambda x: ~F.exists(F.col("_pii_base"), lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return out.withColumn("_pii_base", base).withColumn("_pii_cands", F.concat("_pii_base", free)).drop(*[f"_pii_{k}" for k in BASE_KINDS], *[f"_pii_loose_{k}" for k in range(len(LOOSE))], "_pii_base")
+        out = out.withColumn(f"{name}_loose_{k}", _spans(text, kind, pattern, False))
+    base = F.concat(*[F.coalesce(F.col(f"{name}_{k}"), none) for k in BASE_KINDS])
+    out = out.withColumn(f"{name}_base", base)
+    free = [_apart(F.col(f"{name}_loose_{k}"), F.col(f"{name}_base")) for k in range(len(LOOSE))]
+    return out.withColumn(name, F.concat(f"{name}_base", *free)).select(*docs.columns, name)
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict, dict]:
@@ -192,10 +240,10 @@ def fit_classifier(groups: list[tuple[tuple[int, ...], int]]) -> list[float]:
     return beta
 
 
-def train(found: DataFrame) -> list[float]:
+def train(found: DataFrame, name: str) -> list[float]:
     """Coefficients from the candidates of all rows; what is collected is one row for each feature pattern."""
     fields = ["kind", *LABELERS, "size", "digits"]
-    one = found.where(F.size("_pii_cands") > 0).select(F.explode("_pii_cands").alias("c")).select(*[F.col(f"c.{f}") for f in fields])
+    one = found.where(F.size(name) > 0).select(F.explode(name).alias("c")).select(*[F.col(f"c.{f}") for f in fields])
     counted = one.groupBy(*fields).agg(F.count(F.lit(1)).alias("n")).collect()
     return fit_classifier([(tuple(r[f] for f in fields), r["n"]) for r in counted])
 
@@ -209,18 +257,22 @@ def probability(span: Column, beta: list[float]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """docs with pii: array of struct(kind, start, end, base), ordered by kind, then start.
+def find_pii(docs: DataFrame, name: str = "pii") -> DataFrame:
+    """docs with a column name: array of struct(kind, start, end, base), ordered by kind, then start.
 
     Null texts count as empty; null ids are kept; repeated rows get equal results; an
-    empty table gives an empty result. Of accepted loose spans that overlap, all stay.
-    Places are in code points, ends exclusive.
+    empty table gives an empty result. Of accepted loose spans that overlap, all stay;
+    a loose span that overlaps a base span never does. Places are in code points, ends
+    exclusive. Texts of any length are searched whole. A column of docs that already has
+    the name is replaced; all others stay, whatever their names.
     """
-    found = candidates(docs)
-    beta = train(candidates(docs.select("text")))
-    accepted = F.filter("_pii_cands", lambda s: s["base"] | (probability(s, beta) >= 0.5))
+    docs = docs.drop(name)
+    own = unused(docs, "_pii_found")
+    found = Workspace(docs.sparkSession).save(candidates(docs, own), "candidates")
+    beta = train(found, own)
+    accepted = F.filter(own, lambda s: s["base"] | (probability(s, beta) >= 0.5))
     slim = F.array_sort(F.transform(accepted, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
-    return found.withColumn("pii", slim).drop("_pii_cands")
+    return found.withColumn(name, slim).drop(own)
 
 
 def _listed(spans: Column) -> Column:
@@ -229,24 +281,45 @@ def _listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every found span of the text replaced by its kind in brackets; other columns as they were."""
-    columns = docs.columns
-    spans = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """docs with every found span of the text replaced by its kind in brackets; other columns as they were.
+
+    Overlapping spans are replaced from left to right, each as far as it reaches beyond
+    those before. Awkward rows as in ``find_pii``; a null text stays null.
+    """
+    name = unused(docs, "_pii_spans")
+    spans = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    reach = lambda run: F.array_max(F.transform(run, lambda s: s["end"]))
+
+    empty = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("parts"))
+    reached = lambda all_, e: F.concat(all_, F.array(F.greatest(e, F.element_at(all_, -1))))
+
+    def replaced(z: Column, text: Column) -> Column:
+        """The text of one run, which begins at z.at, with its spans replaced."""
+
+        def step(state: Column, s: Column) -> Column:
+            begun = F.greatest(s["start"], state["at"])
+            before = F.substring(text, state["at"] - z["at"] + 1, begun - state["at"])
+            piece = F.when(s["end"] > state["at"], F.concat(before, F.element_at(marks, s["kind"] + 1))).otherwise(F.lit(""))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(piece)).alias("parts"))
+
+        return F.aggregate(z["run"], empty(z["at"]), step, lambda s: F.array_join(s["parts"], ""))
 
-    def step(state: Column, s: Column) -> Column:
-        begun = F.greatest(s["start"], state["at"])
-        piece = F.when(s["end"] > state["at"], F.concat(F.substring(F.col("text"), state["at"] + 1, begun - state["at"]), F.element_at(marks, s["kind"] + 1))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(piece)).alias("parts"))
+    def pieces(runs: Column) -> Column:
+        # A run begins where the spans of all runs before it end at the latest.
+        ends = F.aggregate(F.transform(runs, reach), F.array(F.lit(0)), reached)
+        zipped = lambda at: F.filter(F.arrays_zip(runs.alias("run"), at.alias("at"), F.slice(at, 2, 1 << 30).alias("till")), lambda z: z["run"].isNotNull())
+        part = lambda z: _let(F.substring(F.col("text"), z["at"] + 1, z["till"] - z["at"]), lambda t: replaced(z, t))
+        rest = lambda at: F.substring(F.col("text"), F.element_at(at, -1) + 1, F.length("text"))
+        return _let(ends, lambda at: F.concat(F.array_join(F.transform(zipped(at), part), ""), rest(at)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return find_pii(docs).withColumn("text", F.when(F.size("pii") > 0, done).otherwise(F.col("text"))).select(*columns)
+    done = _let(_runs(spans), pieces)
+    return find_pii(docs, name).withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = find_pii(docs)
+    """Counts, digest and list of the spans of all documents; awkward rows as in ``find_pii``."""
+    spans = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
     n = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == KINDS.index(kind)))).cast("long").alias(f"n_{kind}")
     return spans.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import langid, media, pii, toxicity
 
@@ -205,7 +206,27 @@ def test_pii_awkward_and_redaction(spark):
     table = docs(spark, [row(1, "😀 write a@b.co, or 1.2.3.4!"), row(2, None), row(3, "clean")])
     clean = {r.doc_id: r for r in pii.redact(table).collect()}
     assert clean[1].text == "😀 write [EMAIL], or [IP]!" and clean[2].text is None and clean[3].text == "clean"
-    assert pii.redact(table).columns == table.columns
+    assert pii.redact(table).columns == table.columns and {r.pii for r in pii.redact(table).collect()} == {"z"}
+    clash = table.withColumn("_pii_found", F.lit(1)).withColumn("_pii_spans", F.lit(2)).withColumn("_pii_email", F.lit(3))
+    assert {(r._pii_found, r._pii_spans, r._pii_email, r.pii) for r in pii.redact(clash).collect()} == {(1, 2, 3, "z")}
+
+
+def test_pii_of_many_matches(spark):
+    """Places and redaction over several runs, in a text where a fold over all matches would copy 10^8 spans."""
+    unit = "mail a@b.co or 1.2.3.4, 123-45-6789 "
+    text = "é" + unit * 5_000
+    found = pii.find_pii(plain(spark, [(1, text)])).first().pii
+    own = [f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in found if s.base]
+    assert own == base(text) and len(own) == 10_000
+    marks = pii.redact(plain(spark, [(1, text)])).first().text
+    assert marks.count("[EMAIL]") == marks.count("[IP]") == 5_000 and marks.startswith("émail [EMAIL] or [IP], ") and not re.search("[0-9@]{2}", marks.replace("123-45-6789", ""))
+
+
+def test_pii_names_by_title_or_list(spark):
+    pairs = [(1, "we met Mr. Zyxel Quorn and Dr Vant."), (2, "so Anna Vant wrote"), (3, "Then Zyxel Quorn left")]
+    table = plain(spark, pairs).select("doc_id", "text")
+    got = {r.doc_id: [text[c.start : c.end] for c in r.c if pii.KINDS[c.kind] == "name"] for r in pii.candidates(table, "c").collect() for text in [r.text]}
+    assert got == {1: ["Zyxel Quorn", "Vant"], 2: ["Anna Vant"], 3: []}
 
 
 def test_pii_long_runs_stay_linear(spark):
