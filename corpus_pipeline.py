@@ -1,7 +1,10 @@
 """Corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but
-the last return the columns of documents. Rows with a null doc_id pass the filters.
+the last return the columns of documents. An empty table stays empty. Columns beyond
+those of documents are kept as they are, whatever their names; texts of any length are
+whole. A row without an id is filtered by its text; only as a near-duplicate, where ids
+decide which one stays, it always does.
 """
 
 from __future__ import annotations
@@ -9,41 +12,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm._common import Workspace, table
+from docloom.llm import toxicity
+from docloom.llm._common import Workspace, table, unused
 from docloom.llm.byte_bpe import byte_bpe
-from docloom.llm.decontaminate import decontaminate
+from docloom.llm.decontaminate import uncontaminated
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.pii import redact
-from docloom.llm.toxicity import toxicity
-
-
-def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among those found."""
-    return docs.join(found.where("doc_id is not null").select(F.col("doc_id").alias("_found_id")).distinct(), F.col("doc_id") == F.col("_found_id"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon rejects go."""
-    return _without(docs, toxicity(spark, docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Rows whose text the lexicon rejects go, null ids included; null and empty texts stay, repeated rows fare alike."""
+    return toxicity.clean(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest doc_id."""
-    return _without(docs, near_duplicates(spark, docs).where("not kept"))
+    """One document of each near-duplicate group stays, the one of the smallest doc_id.
+
+    Null and blank texts and rows without an id stay; rows that repeat the kept id all stay.
+    """
+    name = unused(docs, "found_id")
+    found = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate(spark, docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Rows that hold a benchmark item go, null ids included; null and empty texts stay, repeated rows fare alike."""
+    return uncontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found spans are replaced by their kind; n_chars follows."""
+    """Found spans are replaced by their kind; n_chars follows. Null texts stay null, with n_chars null."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with digests of the ids and of the decoded bytes."""
+    """Token ids of what is left, with digests of the ids and of the decoded bytes; null and empty texts have none."""
     return byte_bpe(spark, docs, with_ids=True)
 
 
@@ -55,7 +58,7 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: Near-duplicate groups, EM and BPE merges are beyond SQL; the tests compare each stage with a plain version.
+#: Near-duplicate groups, EM and BPE merges are beyond SQL; tests/llm/test_pipeline.py runs a plain version of every stage.
 ORACLE_SQL = None
 
 
