@@ -35,6 +35,8 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     if home not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # A union that claims its children's partitioning can lose the exchange before a grouping (Spark 4.1).
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 #: Shuffle files go when the statement that made them ends.
@@ -128,7 +130,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), _BASE_INV if inverse else _BASE, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) <= 1 << 22:
+        if len(have) <= (1 << 20) + 64:
             _powers[key] = have
     return have[:n]
 

@@ -38,9 +38,9 @@ MEMORY = "160MB"
 #: Bytes of a window in which a longer word is contracted; the next one starts half a window later.
 LONG = 64
 #: Bytes of words that one query contracts.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Tokens that are decoded or printed at once.
-STEP_TOKENS = 1 << 18
+STEP_TOKENS = 1 << 16
 #: Texts of more characters are split into words in Python, so that no JVM row holds millions of words.
 LONG_TEXT = 1 << 18
 #: Characters of a long text that are split at once.
