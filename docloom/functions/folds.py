@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from .text import cosine, estimate_tokens
 
 
-def pack_ids(tokens: Column, limit: int) -> Column:
-    """Group number (from 0) of each unit: a unit that would overflow a non-empty group opens the next."""
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+def pack_starts(tokens: Column, limit: int) -> Column:
+    """First place (from 1) of each group: a unit that would overflow a non-empty group opens the next.
+
+    The fold's array grows by groups, not by units.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, t: Column) -> Column:
-        over = (s["used"] + t > limit) & (s["used"] > 0)
-        group = s["group"] + over.cast("int")
-        return F.struct(group.alias("group"), (F.when(over, 0).otherwise(s["used"]) + t).cast("int").alias("used"), F.concat(s["out"], F.array(group)).alias("out"))
+        at = s["at"] + 1
+        opens = (at == 1) | ((s["used"] + t > limit) & (s["used"] > 0))
+        return F.struct(at.alias("at"), (F.when(opens, 0).otherwise(s["used"]) + t).cast("int").alias("used"), F.when(opens, F.concat(s["out"], F.array(at))).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(tokens, start, step, lambda s: s["out"])
 
 
+def pack_groups(units: Column, starts: Column) -> Column:
+    """The units of each group, in an array; both arguments are columns, not expressions."""
+    bounds = F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, 2, 1 << 30), F.array(F.size(units) + 1)).alias("b"))
+    return F.transform(F.filter(bounds, lambda z: z["a"].isNotNull()), lambda z: F.slice(units, z["a"], z["b"] - z["a"]))
+
+
 def _tail(parts: Column, overlap: int) -> Column:
     """Trailing parts whose tokens add up to ``overlap`` at most, scanned from the end until the first overflow."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("sum"), F.lit(False).alias("full"))

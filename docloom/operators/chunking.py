@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.folds import pack_ids, pack_with_overlap
+from ..functions.folds import pack_groups, pack_starts, pack_with_overlap
 from ..functions.text import estimate_tokens, sentences
 
 REQUIRED = ("doc_id", "doc_title", "source_url", "doc_category", "section_path", "chunk_type", "text")
@@ -19,16 +19,17 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def parents(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Lines packed to parents of parent_max_tokens: doc_id, chunk_no, text, token_count.
+    """Lines packed to parents of parent_max_tokens: doc_id, chunk_no, text, token_count."""
+    texts = F.transform("groups", lambda g: F.array_join(g, "\n\n"))
+    out = parent_lines(docs, s).select("doc_id", F.posexplode(texts).alias("chunk_no", "text"))
+    return out.withColumn("token_count", estimate_tokens(F.col("text")))
+
 
-    The packing runs on each document's array of token counts; texts are not carried.
-    """
+def parent_lines(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """doc_id and groups: the lines of each parent, in arrays; documents without a line are left out."""
     parts = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
-    packed = docs.select("doc_id", parts.alias("parts")).withColumn("groups", pack_ids(F.transform("parts", estimate_tokens), s.parent_max_tokens))
-    last = F.element_at("groups", -1)
-    texts = F.transform(F.sequence(F.lit(0), last), lambda g: F.array_join(F.transform(F.filter(F.arrays_zip("parts", "groups"), lambda z: z["groups"] == g), lambda z: z["parts"]), "\n\n"))
-    out = packed.where(F.size("parts") > 0).select("doc_id", F.posexplode(texts).alias("chunk_no", "text"))
-    return out.withColumn("token_count", estimate_tokens(F.col("text")))
+    packed = docs.select("doc_id", parts.alias("parts")).withColumn("starts", pack_starts(F.transform("parts", estimate_tokens), s.parent_max_tokens))
+    return packed.where(F.size("parts") > 0).select("doc_id", pack_groups(F.col("parts"), F.col("starts")).alias("groups"))
 
 
 def children(parent_rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import greedy_distinct
-from ..functions.text import dot, norm, words
+from ..functions.session import prepare
+from ..functions.text import words
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries that go around together.
+QUERY_BLOCK = 4096
 
 
 def top(rows: DataFrame, key: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -16,54 +21,88 @@ def top(rows: DataFrame, key: list[str], order: list[Column], k: int, name: str
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) <= k)
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Cosine of every query (query_id, qvec) with every corpus row (id, vec, ...).
+def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a vector of the common length and a norm, and those rows as unit vectors."""
+    rows = [v if v is not None and None not in v else [] for v in vectors]
+    width = max(map(len, rows), default=0)
+    good = np.array([len(r) == width and width > 0 for r in rows], bool)
+    found = np.array([r for r, ok in zip(rows, good, strict=True) if ok], float).reshape(int(good.sum()), width)
+    size = np.sqrt((found * found).sum(axis=1))
+    good[good] = size > 0
+    return good, found[size > 0] / size[size > 0, None]
 
-    Queries come in batches of bounded size and are the side that is sent around;
-    each corpus block is scanned once.
-    """
-    unit = corpus.withColumn("_n", norm(F.col("vec")))
-    asked = queries.withColumn("_qn", norm(F.col("qvec")))
-    return unit.join(asked, F.lit(True)).withColumn("score", dot(F.col("vec"), F.col("qvec")) / (F.col("_n") * F.col("_qn"))).drop("_n", "_qn")
 
+def _best_of_batch(asked: list, units: np.ndarray, k: int):
+    """Over batches (id, vec): every query's k best rows of a batch, among which are those of the whole corpus."""
+
+    def work(batches):
+        for batch in batches:
+            good, found = _matrix(batch.column(1).to_pylist())
+            ids = np.array(batch.column(0).to_pylist(), object)[good]
+            if not len(ids) or not len(asked) or found.shape[1] != units.shape[1]:
+                continue
+            order = np.argsort(ids, kind="stable")
+            score = np.round(units @ found[order].T, 6) + 0.0
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(asked)), best.shape[1])
+            flat = best.ravel()
+            yield pa.record_batch([pa.array([asked[r] for r in rows]), pa.array(list(ids[order][flat])), pa.array(score[rows, flat])], names=["query_id", "id", "score"])
+
+    return work
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank; scores are rounded to 6 places so that ties break by id everywhere."""
-    scored = dense_scores(queries, corpus).select("query_id", "id", F.round("score", 6).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Cosine of queries (query_id, qvec) with corpus rows (id, vec): query_id, id, score, rank.
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """Corpus (id, text) -> id, word, tf, dl."""
-    tokens = corpus.select("id", words(F.col("text")).alias("w"))
-    return tokens.select("id", F.size("w").alias("dl"), F.explode("w").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    Queries go around in blocks of a bounded number, one scan of the corpus for each;
+    a task multiplies matrices and keeps k rows of a batch, so that k rows of a query
+    and batch are all that is shuffled. Scores are rounded to 6 places and ties break
+    by id. Rows without a vector, or with one of length zero, are no hits.
+    """
+    prepare(corpus.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *corpus.schema.fields]}
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "qvec").collect()
+        good, units = _matrix([r["qvec"] for r in rows])
+        asked = [r["query_id"] for r, ok in zip(rows, good, strict=True) if ok]
+        part = corpus.select("id", "vec").mapInArrow(_best_of_batch(asked, units, k), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Scores of all documents that share a word with a query (query_id, text); repeated query words count again.
 
     Words in more than half of the documents have a negative idf, which a quarter of
-    the vocabulary's mean idf replaces.
+    the vocabulary's mean idf replaces. Only the words of queries become postings; of
+    the others no more than the number of documents is counted, before the shuffle.
     """
-    post = postings(corpus)
+    tokens = corpus.select("id", words(F.col("text")).alias("w")).select("id", "w", F.size("w").alias("dl"))
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("qtf"))
-    stats = corpus.select(F.size(words(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.select("word").distinct()
+    stats = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = tokens.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("word", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "avgdl")
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    weighed = idf.join(asked.select("word").distinct(), "word", "left_semi").crossJoin(F.broadcast(mean)).select("word", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+    weighed = idf.join(wanted, "word", "left_semi").crossJoin(F.broadcast(mean)).select("word", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+    post = tokens.select("id", "dl", F.explode("w").alias("word")).join(wanted, "word", "left_semi").groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return post.join(weighed, "word").join(asked, "word").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return post.join(weighed.join(asked, "word"), "word").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank; documents without a common word fill up with score 0 in id order."""
-    scored = bm25_scores(queries, corpus).withColumn("score", F.round("score", 6))
-    first = corpus.select("id").orderBy("id").limit(k)
-    fill = queries.select("query_id").join(F.broadcast(first), F.lit(True)).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    # Negative scores cannot occur: idf is floored above zero for a vocabulary with a positive mean.
-    return top(scored.unionByName(fill), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    """query_id, id, score, rank; documents without a common word fill up with score 0 in id order.
+
+    A query that lacks hits has fewer than k of them, so the first 2k ids hold enough others.
+    """
+    best = top(bm25_scores(queries, corpus).withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("id")], k).drop("rank")
+    first = corpus.select("id").orderBy("id").limit(2 * k)
+    fill = queries.select("query_id").distinct().join(F.broadcast(first), F.lit(True)).withColumn("score", F.lit(0.0))
+    # Scores are not negative: idf is floored above zero for a vocabulary with a positive mean.
+    return top(best_score(best.unionByName(fill)), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions.folds import pack_ids
-from ..functions.text import cosine, estimate_tokens, norm, sigmoid, words
+from ..functions.text import cosine, norm, sigmoid, words
 from ..operators import chunking as C
 from ..operators import retrieval as S
 from .base import query, table
@@ -178,9 +177,9 @@ def jn5(spark, d):
     docs = table(spark, d, "documents")
     lang = docs.select("doc_id", "lang")
     doc = F.col("doc_id").cast("string")
-    parts = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
-    line = docs.select("doc_id", "lang", parts.alias("parts")).withColumn("grp", pack_ids(F.transform("parts", estimate_tokens), DEFAULTS.parent_max_tokens)).select("doc_id", "lang", F.posexplode(F.arrays_zip("parts", "grp")).alias("at", "x"))
-    hits = line.select(F.lit(0).alias("query_id"), F.concat(doc, F.lit("-c"), (F.col("at") + 1).cast("string")).alias("id"), F.when(F.col("lang") != "es", F.concat(doc, F.lit("-p"), F.col("x.grp").cast("string"))).alias("parent_id"), F.col("x.parts").alias("text"), F.round(1.0 / (1 + F.length("x.parts")), 6).alias("score"), F.col("at"))
+    grouped = F.flatten(F.transform("groups", lambda g, i: F.transform(g, lambda t: F.struct(t.alias("text"), i.alias("grp")))))
+    line = C.parent_lines(docs).select("doc_id", F.posexplode(grouped).alias("at", "x")).join(lang, "doc_id")
+    hits = line.select(F.lit(0).alias("query_id"), F.concat(doc, F.lit("-c"), (F.col("at") + 1).cast("string")).alias("id"), F.when(F.col("lang") != "es", F.concat(doc, F.lit("-p"), F.col("x.grp").cast("string"))).alias("parent_id"), F.col("x.text").alias("text"), F.round(1.0 / (1 + F.length("x.text")), 6).alias("score"), F.col("at"))
     held = C.parents(docs).join(lang, "doc_id").where("lang not in ('fr', 'es')").select(F.concat(doc, F.lit("-p"), F.col("chunk_no").cast("string")).alias("id"), "text")
     # Ties go to the earlier line: for the expansion, ids start with the line's place.
     placed = hits.withColumn("id", F.concat(F.lpad(F.col("at").cast("string"), 9, "0"), F.lit("|"), "id")).drop("at")
