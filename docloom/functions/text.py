@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .words import CATEGORY_KEYWORDS, ENTITY_PATTERNS, PRODUCTS, TOPIC_KEYWORDS
 
 CITATION = r"(?i)\[Source\s+([\d,\s]+)\]"
-CLAIM_WORD = r"\b[a-z0-9₹%.,]+\b"
+CLAIM_WORD = r"(?U)\b[a-z0-9₹%.,]+\b"
 COMPOUND = (" and also ", " as well as ", " additionally ", " moreover ")
 
 

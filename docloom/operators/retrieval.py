@@ -32,8 +32,8 @@ def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
     return good, found[size > 0] / size[size > 0, None]
 
 
-def _best_of_batch(asked: list, units: np.ndarray, k: int):
-    """Over batches (id, vec): every query's k best rows of a batch, among which are those of the whole corpus."""
+def _best_of_batch(asked: list, only: list, units: np.ndarray, k: int):
+    """Over batches (id, vec, label): every query's k best rows of a batch, among which are those of the whole corpus."""
 
     def work(batches):
         for batch in batches:
@@ -43,9 +43,14 @@ def _best_of_batch(asked: list, units: np.ndarray, k: int):
                 continue
             order = np.argsort(ids, kind="stable")
             score = np.round(units @ found[order].T, 6) + 0.0
+            labels = np.array(batch.column(2).to_pylist(), object)[good][order]
+            for q, label in enumerate(only):
+                if label is not None:
+                    score[q, labels != label] = -np.inf
             best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(asked)), best.shape[1])
-            flat = best.ravel()
+            rows, flat = np.repeat(np.arange(len(asked)), best.shape[1]), best.ravel()
+            kept = score[rows, flat] > -np.inf
+            rows, flat = rows[kept], flat[kept]
             yield pa.record_batch([pa.array([asked[r] for r in rows]), pa.array(list(ids[order][flat])), pa.array(score[rows, flat])], names=["query_id", "id", "score"])
 
     return work
@@ -54,6 +59,9 @@ def _best_of_batch(asked: list, units: np.ndarray, k: int):
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Cosine of queries (query_id, qvec) with corpus rows (id, vec): query_id, id, score, rank.
 
+    A query with a non-null ``only`` meets the rows of that ``label`` alone; both columns
+    may be missing.
+
     Queries go around in blocks of a bounded number, one scan of the corpus for each;
     a task multiplies matrices and keeps k rows of a batch, so that k rows of a query
     and batch are all that is shuffled. Scores are rounded to 6 places and ties break
@@ -64,10 +72,12 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUER
     blocks = max(1, -(-queries.count() // block))
     found = None
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "qvec").collect()
+        only = F.col("only") if "only" in queries.columns else F.lit(None)
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "qvec", only.alias("only")).collect()
         good, units = _matrix([r["qvec"] for r in rows])
-        asked = [r["query_id"] for r, ok in zip(rows, good, strict=True) if ok]
-        part = corpus.select("id", "vec").mapInArrow(_best_of_batch(asked, units, k), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+        asked = [r for r, ok in zip(rows, good, strict=True) if ok]
+        label = F.col("label") if "label" in corpus.columns else F.lit(None).cast("long")
+        part = corpus.select("id", "vec", label.alias("label")).mapInArrow(_best_of_batch([r["query_id"] for r in asked], [r["only"] for r in asked], units, k), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
         found = part if found is None else found.unionByName(part)
     return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
@@ -115,6 +125,21 @@ def best_score(lists: DataFrame) -> DataFrame:
     return lists.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
+def rerank(hits: DataFrame, scorer: Column, k: int, works: Column | None = None) -> DataFrame:
+    """Hits (query_id, id, score, ...) in the order of a scorer's column, the first k of a query, with rank.
+
+    Where ``works`` is false the scorer failed, and the hits keep their scores.
+    """
+    score = F.round(scorer, 6) if works is None else F.when(works, F.round(scorer, 6)).otherwise(F.col("score"))
+    return top(hits.withColumn("score", score), ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def word_overlap(query: Column, text: Column) -> Column:
+    """Share of the query's distinct words that the text has: a scorer that reads both, and needs no model."""
+    asked = F.array_distinct(words(F.coalesce(query, F.lit(""))))
+    return F.size(F.array_intersect(asked, words(F.coalesce(text, F.lit(""))))) / F.greatest(F.size(asked), F.lit(1))
+
+
 def near_distinct(ranked: DataFrame, limit: float) -> DataFrame:
     """Rows (query_id, id, score, rank, vec) of at most some dozens a query, near copies of better ones removed."""
     grouped = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "vec"))).alias("r"))

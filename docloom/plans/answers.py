@@ -139,21 +139,25 @@ def flt6(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.numeric_sentences(F.col("text"))).alias("n"))
 
 
-@query("FN2", "SELECT doc_id, cast(len(list_distinct(regexp_extract_all(lower(text), '\\b[a-z0-9₹%.,]+\\b'))) AS INTEGER) AS n FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+#: Letters beyond ASCII are word characters at a word's border, as the underscore is.
+_PLAIN = "regexp_replace(lower(text), '[^\\x00-\\x7F\\p{P}\\p{S}\\p{Z}\\p{C}\\p{M}]', '_', 'g')"
+
+
+@query("FN2", f"SELECT doc_id, cast(len(list_distinct(regexp_extract_all({_PLAIN}, '\\b[a-z0-9₹%.,]+\\b'))) AS INTEGER) AS n FROM documents")
 def fn2(spark, d):
-    return table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.size(T.claim_words(F.col("text"))).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.size(T.claim_words(F.col("text"))).alias("n"))
 
 
 _W = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
-_EVAL = f"SELECT b.item_id, {_W.format('b.text')} AS a, {_W.format('c.text')} AS q, {_W.format('d.text')} AS c FROM benchmark b JOIN benchmark c ON c.item_id = b.item_id + 1 JOIN documents d ON d.doc_id = b.item_id"
+_EVAL = f"SELECT b.item_id, {_W.format('b.text')} AS a, {_W.format('c.text')} AS q, {_W.format('d.text')} AS c FROM benchmark b JOIN (SELECT count(*) AS n FROM benchmark) ON true JOIN benchmark c ON c.item_id = (b.item_id + 1) % n JOIN documents d ON d.doc_id = b.item_id"
 _EVALUATED = f"SELECT item_id, len(list_intersect(a, c)) / greatest(len(a), 1) AS faith, len(list_intersect(a, q)) / greatest(len(q), 1) AS relevance, len(list_intersect(c, q)) / greatest(len(q), 1) AS recall, len(list_intersect(c, q)) / greatest(len(c), 1) AS prec FROM ({_EVAL})"
 
 
 def evaluated(spark, d):
-    """Each item as the answer, its successor as question and ground truth, the document of its id as context."""
+    """Each item as the answer, its successor (of the last one the first) as question and ground truth, the document of its id as context."""
     b = table(spark, d, "benchmark")
     w = lambda c: F.array_distinct(T.words(F.col(c)))
-    rows = b.select("item_id", w("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("item_id"), w("text").alias("q")), "item_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), w("text").alias("c")), "item_id")
+    rows = b.select("item_id", w("text").alias("a")).crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("n")))).withColumn("next", (F.col("item_id") + 1) % F.col("n")).join(b.select(F.col("item_id").alias("next"), w("text").alias("q")), "next").join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), w("text").alias("c")), "item_id")
     share = lambda x, y, of: F.size(F.array_intersect(x, y)) / F.greatest(F.size(of), F.lit(1))
     return rows.select("item_id", share("a", "c", "a").alias("faith"), share("a", "q", "q").alias("relevance"), share("c", "q", "q").alias("recall"), share("c", "q", "c").alias("prec"))
 

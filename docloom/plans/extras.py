@@ -8,7 +8,7 @@ from ..operators import chunking as C
 from ..operators import models as M
 from .answers import answers
 from .base import query, table
-from .chunks import _PARENTS, LINES, TOK
+from .chunks import _PARENTS, TOK
 
 
 @query("SRC13", "SELECT event_id, event_type FROM events")
@@ -51,10 +51,3 @@ def mdl4(spark, d):
 @query("MDL5")
 def mdl5(spark, d):
     return answers(spark).select("answer_id", M.evidence(F.col("answer"), F.col("chunks")).alias("evidence"))
-
-
-@query("HLP25", f"SELECT lang, count(*) AS documents, cast(sum(n) AS BIGINT) AS lines FROM (SELECT doc_id, count(*) AS n FROM ({LINES}) GROUP BY doc_id) JOIN documents USING (doc_id) GROUP BY lang")
-def hlp25(spark, d):
-    docs = table(spark, d, "documents")
-    n = C.paragraphs(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("lines"))

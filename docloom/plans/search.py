@@ -8,6 +8,7 @@ from ..config import DEFAULTS
 from ..functions.text import cosine, norm, sigmoid, words
 from ..operators import chunking as C
 from ..operators import retrieval as S
+from ..operators import search_run as R
 from .base import query, table
 from .chunks import _PARENTS
 
@@ -79,14 +80,13 @@ def hlp27(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n_words"))
 
 
-#: Two ranked lists of one query: by cosine with the query and by cosine with its successor.
-_SECOND = _DENSE.replace("q.query_id, e.vec_id AS id", "q.query_id - 1 AS query_id, e.vec_id AS id").replace("vec_id % 50 = 0", "vec_id % 50 = 1")
+#: Two ranked lists of one query: by cosine with the query and with its variant, the vector read backwards.
+_SECOND = _DENSE.replace(_QUERIES, "SELECT vec_id AS query_id, list_reverse(embedding) AS qvec FROM embeddings WHERE vec_id % 50 = 0")
 _LISTS = f"SELECT query_id, 0 AS list_id, id, score, rank FROM ({_DENSE}) WHERE rank <= {K} UNION ALL SELECT query_id, 1, id, score, rank FROM ({_SECOND}) WHERE rank <= {K}"
 
 
 def lists(spark, d):
-    other = table(spark, d, "embeddings").where("vec_id % 50 = 1").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("qvec"))
-    second = S.dense_top_k(other, corpus_dense(spark, d), K)
+    second = S.dense_top_k(queries_dense(spark, d).withColumn("qvec", F.reverse("qvec")), corpus_dense(spark, d), K)
     return dense(spark, d).withColumn("list_id", F.lit(0)).unionByName(second.withColumn("list_id", F.lit(1)))
 
 
@@ -131,14 +131,20 @@ def top6(spark, d):
     return dense(spark, d, DEFAULTS.rerank_k).select("query_id", "id", "rank")
 
 
-_RERANKED = f"SELECT query_id, id, round(1 / (1 + exp(-(4 * score - 1))), 6) AS score FROM ({_DENSE}) WHERE rank <= {K}"
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '\\s+'), lambda w: w <> ''))"
+_OVERLAP = f"round(len(list_intersect({_WORDS.format('dq.text')}, {_WORDS.format('dc.text')})) / greatest(len({_WORDS.format('dq.text')}), 1), 6)"
+_RERANKED = f"SELECT h.query_id, h.id, {_OVERLAP} AS score FROM (SELECT * FROM ({_DENSE}) WHERE rank <= {K}) h JOIN documents dq ON dq.doc_id = h.query_id JOIN documents dc ON dc.doc_id = h.id"
+
+
+def texts(spark, d, key, name):
+    return table(spark, d, "documents").select(F.col("doc_id").alias(key), F.col("text").alias(name))
 
 
 @query("TOP4", f"SELECT * FROM (SELECT query_id, id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS integer) AS rank FROM ({_RERANKED})) WHERE rank <= {DEFAULTS.rerank_k}")
 def top4(spark, d):
-    """Rerank with the deterministic stand-in for a cross-encoder: the sigmoid of a line in the cosine."""
-    scored = dense(spark, d).select("query_id", "id", F.round(sigmoid(4 * F.col("score") - 1), 6).alias("score"))
-    return S.top(scored, ["query_id"], [F.desc("score"), F.asc("id")], DEFAULTS.rerank_k)
+    """Dense hits reranked by a scorer that reads query and text, so that the order is not that of the cosine."""
+    read = dense(spark, d).drop("rank").join(texts(spark, d, "query_id", "query_text"), "query_id").join(texts(spark, d, "id", "text"), "id")
+    return S.rerank(read, S.word_overlap(F.col("query_text"), F.col("text")), DEFAULTS.rerank_k).select("query_id", "id", "score", "rank")
 
 
 @query("FN10", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS s, round(least(greatest(embedding[2]::DOUBLE, 0), 1), 6) AS c FROM embeddings")
@@ -219,17 +225,48 @@ def prj2(spark, d):
     return context_rows(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ORC1", f"""WITH lists AS ({_LISTS}), fused AS (SELECT query_id, id, max(score) AS score FROM lists GROUP BY query_id, id),
-ranked AS (SELECT query_id, id, round(1 / (1 + exp(-(4 * score - 1))), 6) AS score FROM fused),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ranked) WHERE rank <= 8)
-SELECT query_id, (SELECT count(*) FROM lists l WHERE l.query_id = b.query_id) AS retrieved, (SELECT count(*) FROM fused f WHERE f.query_id = b.query_id) AS distinct_ids, count(*) AS reranked, round(avg(score), 5) AS mean_score FROM best b GROUP BY query_id""")
+#: Every second query is filtered by its label, one by a label that nothing has; the reranker fails for some.
+_ONLY = "CASE WHEN vec_id % 450 = 0 AND vec_id > 0 THEN -1 WHEN vec_id % 100 = 50 THEN label END"
+_RUN = f"""WITH RECURSIVE q AS (SELECT vec_id AS query_id, {_ONLY} AS wanted, unnest([embedding, list_reverse(embedding)])::DOUBLE[] AS qvec, unnest([0, 1]) AS variant FROM embeddings WHERE vec_id % 50 = 0),
+hit AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, id) AS rank FROM (SELECT query_id, variant, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], qvec), 6) AS score FROM embeddings e, q WHERE wanted IS NULL OR wanted = e.label)),
+cand AS (SELECT query_id, id, max(score) AS score FROM hit WHERE rank <= {DEFAULTS.final_k} GROUP BY query_id, id),
+scored AS (SELECT h.query_id, h.id, CASE WHEN h.query_id % 350 = 0 THEN h.score ELSE {_OVERLAP} END AS score FROM cand h LEFT JOIN documents dq ON dq.doc_id = h.query_id LEFT JOIN documents dc ON dc.doc_id = h.id),
+c AS (SELECT s.*, e.embedding::DOUBLE[] AS vec FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) s JOIN embeddings e ON e.vec_id = s.id WHERE rank <= {DEFAULTS.rerank_k}),
+keep AS (
+  SELECT query_id, 1 AS rank, [1] AS kept FROM c WHERE rank = 1
+  UNION ALL
+  SELECT k.query_id, c.rank, CASE WHEN (SELECT bool_or(list_cosine_similarity(o.vec, c.vec) >= {NEAR}) FROM c o WHERE o.query_id = c.query_id AND list_contains(k.kept, o.rank)) THEN k.kept ELSE list_append(k.kept, c.rank) END
+  FROM keep k JOIN c ON c.query_id = k.query_id AND c.rank = k.rank + 1),
+comp AS (SELECT c.* FROM c JOIN (SELECT query_id, arg_max(kept, rank) AS kept FROM keep GROUP BY query_id) k ON k.query_id = c.query_id AND list_contains(k.kept, c.rank)),
+chunk AS (SELECT query_id, CASE WHEN (id // 4) % 7 = 3 THEN 'c' || id ELSE 'p' || (id // 4) END AS id, score, CASE WHEN (id // 4) % 7 = 3 THEN 'fallback' ELSE 'parent' END AS kind
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id // 4 ORDER BY score DESC, cast(id AS varchar)) AS n FROM comp) WHERE n = 1)
+"""
+
+
+def retrieval(spark, d):
+    only = F.when((F.col("vec_id") % 450 == 0) & (F.col("vec_id") > 0), -1).when(F.col("vec_id") % 100 == 50, F.col("label"))
+    base = table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    two = F.posexplode(F.array("embedding", F.reverse("embedding"))).alias("variant", "qvec")
+    asked = base.select(F.col("vec_id").alias("query_id"), only.alias("only"), two).join(texts(spark, d, "query_id", "text"), "query_id", "left")
+    asked = asked.withColumn("rerank_works", F.col("query_id") % 350 != 0)
+    corpus = corpus_dense(spark, d).join(texts(spark, d, "id", "text"), "id", "left").withColumn("parent_id", F.floor(F.col("id") / 4))
+    held = corpus.where("parent_id % 7 <> 3").groupBy("parent_id").agg(F.coalesce(F.min_by("text", "id"), F.lit("")).alias("text")).select(F.col("parent_id").cast("string").alias("id"), "text")
+    return R.retrieve(asked, corpus, held, near=NEAR)
+
+
+@query("ORC1", _RUN + """SELECT q.query_id, CASE WHEN expanded > 0 THEN 'answered' ELSE 'insufficient' END AS outcome, coalesce(candidates, 0) AS candidates, coalesce(reranked, 0) AS reranked, coalesce(compressed, 0) AS compressed, coalesce(expanded, 0) AS expanded, top_score
+FROM (SELECT DISTINCT query_id FROM q) q LEFT JOIN (SELECT query_id, count(*) AS candidates FROM cand GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS reranked FROM c GROUP BY 1) USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) AS compressed FROM comp GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS expanded, max(score) AS top_score FROM chunk GROUP BY 1) USING (query_id)""")
 def orc1(spark, d):
-    """Retrieve with two variants, keep the best score of each id, rerank, and count the rows of each stage."""
-    found = lists(spark, d)
-    fused = S.best_score(found)
-    best = S.top(fused.select("query_id", "id", F.round(sigmoid(4 * F.col("score") - 1), 6).alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], DEFAULTS.rerank_k)
-    n = lambda rows, name: rows.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
-    return n(found, "retrieved").join(n(fused, "distinct_ids"), "query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("reranked"), F.round(F.avg("score"), 5).alias("mean_score")), "query_id")
+    """Rows that each stage of the retrieval run leaves, and whether there is evidence at all."""
+    return retrieval(spark, d)[1]
+
+
+@query("ORC1_CHUNKS", _RUN + "SELECT query_id, id, score, kind FROM chunk")
+def orc1_chunks(spark, d):
+    """The chunks that a retrieval run returns."""
+    mark = F.when(F.col("kind") == "parent", "p").otherwise("c")
+    return retrieval(spark, d)[0].select("query_id", F.concat(mark, "id").alias("id"), "score", "kind")
 
 
 @query("TOP5", f"SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS integer) AS rank FROM ({_DENSE}) x JOIN embeddings e ON e.vec_id = x.id JOIN embeddings q ON q.vec_id = x.query_id WHERE e.label = q.label) WHERE rank <= {DEFAULTS.memory_top_k}")
