@@ -32,8 +32,12 @@ def detect_changes(listing: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def merge(current: DataFrame, changes: DataFrame, key: str, keep: list[str], order: str) -> DataFrame:
-    """Keyed upsert of rows with equal columns: the latest change of a key wins; columns in keep stay as first set."""
-    latest = changes.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+    """Keyed upsert of rows with equal columns: the latest change of a key wins; columns in keep stay as first set.
+
+    Of changes that are equally late the one with the greatest values, column by column, wins.
+    """
+    rest = F.struct(*[c for c in changes.columns if c not in (key, order)])
+    latest = changes.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(rest)))).where("_r = 1").drop("_r")
     old, new = current.alias("o"), latest.alias("n")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +35,58 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Folder of each version, by the pointers that writers have placed."""
+    where, fs = _file_system(spark, f"{folder}/versions")
+    if not fs.exists(where):
+        return {}
+    found = (status.getPath().getName() for status in fs.listStatus(where))
+    return {int(n): t for n, _, t in (name.partition("-") for name in found)}
+
+
 def write_version(rows: DataFrame, folder: str) -> str:
-    """Writes rows as the folder's next version and only then points to it, so readers never see half a table."""
-    pointer = Path(folder) / "CURRENT"
-    version = int(pointer.read_text()) + 1 if pointer.exists() else 1
-    target = f"{folder}/v{version}"
-    rows.write.mode("overwrite").parquet(target)
-    save_json(str(pointer), version)
-    return target
+    """Writes rows as the folder's next version and only then points to it, so readers never see half a table.
+
+    A folder anywhere Hadoop reaches; of two writers of one version the second fails.
+    """
+    spark = rows.sparkSession
+    version = max(_versions(spark, folder), default=0) + 1
+    target = f"v{version}_{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/{target}")
+    lock, fs = _file_system(spark, f"{folder}/locks/{version}")
+    # Creating a file that must not exist is the one step only one writer can do.
+    fs.create(lock, False).close()
+    pointer, _ = _file_system(spark, f"{folder}/versions/{version}-{target}")
+    fs.create(pointer, False).close()
+    return f"{folder}/{target}"
 
 
 def read_version(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v{load_json(f'{folder}/CURRENT', None)}")
+    versions = _versions(spark, folder)
+    return spark.read.parquet(f"{folder}/{versions[max(versions)]}")
+
+
+def reset(spark: SparkSession, folder: str) -> None:
+    """Removes a collection with everything in it."""
+    where, fs = _file_system(spark, folder)
+    fs.delete(where, True)
+
+
+def healthy(spark: SparkSession, folder: str) -> bool:
+    """Whether a row can be written beside a collection, read back and dropped again."""
+    probe = f"{folder}_health_{uuid.uuid4().hex}"
+    try:
+        spark.createDataFrame([("ping",)], "text string").write.parquet(probe)
+        return [r.text for r in spark.read.parquet(probe).collect()] == ["ping"]
+    except (Py4JJavaError, PySparkException):
+        return False
+    finally:
+        reset(spark, probe)
 
 
 def save_json(path: str, value: object) -> None:

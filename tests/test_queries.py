@@ -98,6 +98,39 @@ def test_packing_folds(spark):
             assert rows.select(pack_groups(F.col("u"), F.col("s")).alias("g")).first().g == groups
 
 
+def test_packed_queries_equal_plain_packing(spark, data):
+    """CHK3, CHK5 and CHK7 over all documents against loops."""
+    import hashlib
+    import re
+
+    tok, md5 = (lambda t: max(1, len(t) // 4)), (lambda t: hashlib.md5(t.encode()).hexdigest())
+    structure, children = set(), set()
+    for doc, text in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
+        lines = [line for line in text.split("\n") if line.strip(" ")]
+        structure |= {(doc, i, md5(t), tok(t)) for i, t in enumerate(reference_pack(lines, 1500, 50, "\n\n"))}
+        for k, parent in enumerate(reference_pack(lines, 1200, -1, "\n\n")):
+            parts = [p.strip(" ") for p in re.split(r'(?<=[.!?])\s+(?=[A-Z0-9"])', parent, flags=re.ASCII)]
+            packed = [parent] if tok(parent) <= 300 else reference_pack([p for p in parts if p] or [parent], 300, 50, " ")
+            children |= {(doc, k, i, md5(t), tok(t)) for i, t in enumerate(packed)}
+    assert {tuple(r) for r in catalog.queries()["CHK3"](spark, data).collect()} == structure
+    assert {tuple(r) for r in catalog.queries()["CHK7"](spark, data).collect()} == children
+
+
+def test_rerank_reads_both_texts_and_falls_back(spark):
+    rows = spark.createDataFrame([(1, 1, 0.9, "x y", "a b"), (1, 2, 0.1, "x y", "y x x"), (2, 1, 0.9, "x y", "a"), (2, 2, 0.1, "x y", "x y")], "query_id long, id long, score double, q string, t string")
+    got = S.rerank(rows, S.word_overlap(F.col("q"), F.col("t")), 2, F.col("query_id") == 1).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id, r.score) for r in got] == [(1, 2, 1.0), (1, 1, 0.0), (2, 1, 0.9), (2, 2, 0.1)]
+
+
+def test_dense_search_in_blocks_equals_one(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    asked, corpus = rows.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS qvec"), rows.selectExpr("vec_id AS id", "embedding AS vec")
+    awkward = corpus.unionByName(spark.createDataFrame([(-1, None), (-2, []), (-3, [0.0] * 64)], "id long, vec array<float>"))
+    key = lambda found: sorted(map(tuple, found.collect()))
+    assert key(S.dense_top_k(asked, awkward, 7, block=3)) == key(S.dense_top_k(asked, corpus, 7))
+    assert S.dense_top_k(asked.limit(0), corpus, 7).collect() == [] and S.dense_top_k(asked, corpus.limit(0), 7).collect() == []
+
+
 def test_expansion_keeps_the_best_child(spark):
     hits = spark.createDataFrame([(1, "c1", "p1", "child", 0.9), (1, "c2", "p1", "other", 0.5), (1, "c3", "p9", "lost", 0.4), (1, "c4", None, "alone", 0.3)], "query_id int, id string, parent_id string, text string, score double")
     parents = spark.createDataFrame([("p1", "parent text")], "id string, text string")

@@ -1,5 +1,8 @@
 import json
 
+import pytest
+
+from docloom.operators import ingestion
 from docloom.sources import files
 from docloom.streaming import events as E
 
@@ -67,3 +70,42 @@ def test_sources(spark, tmp_path):
     assert files.read_version(spark, str(tmp_path / "reg")).count() == 2
     (tmp_path / "bad.json").write_text("{")
     assert files.load_json(str(tmp_path / "bad.json"), []) == []
+
+
+def test_versions_of_two_writers(spark, tmp_path):
+    folder = str(tmp_path / "reg")
+    frame = spark.createDataFrame([(1,)], "id long")
+    files.write_version(frame, folder)
+    (tmp_path / "reg" / "locks" / "2").write_text("")
+    with pytest.raises(Exception):
+        files.write_version(frame.union(frame), folder)
+    assert files.read_version(spark, folder).count() == 1
+
+
+def test_reset_and_health(spark, tmp_path):
+    folder = str(tmp_path / "chunks")
+    assert files.healthy(spark, folder) and [p.name for p in tmp_path.iterdir()] == []
+    spark.range(3).write.parquet(folder)
+    files.reset(spark, folder)
+    assert not (tmp_path / "chunks").exists()
+    assert not files.healthy(spark, "/proc/nowhere/chunks")
+
+
+def test_memories_go_to_their_users(spark, tmp_path):
+    rows = spark.createDataFrame([("u1", "s1", "a"), ("u1", "s2", "b"), ("", "s3", "c"), ("u2", "s4", " "), (None, "s5", "d")], "user_id string, session_id string, summary string")
+    ingestion.save_memories(rows, str(tmp_path / "m"))
+    ingestion.save_memories(rows.where("session_id = 's1'"), str(tmp_path / "m"))
+    got = spark.read.parquet(str(tmp_path / "m"))
+    assert got.where("user_id = 'u1'").count() == 3 and got.count() == 3 and all(len(r.memory_id) == 16 for r in got.collect())
+
+
+def test_full_run_on_awkward_tables(spark):
+    listing = spark.createDataFrame([("1", "m1", 5), ("2", "m2", 5), ("3", "", 5), ("4", "m4", 1)], "file_id string, md5 string, modified long")
+    contents = spark.createDataFrame([("1", "one line", None), ("2", None, None), ("4", " \n ", None)], "file_id string, text string, error string")
+    held = spark.createDataFrame([("4", "old", "indexed", 1, 3, 0), ("9", "m9", "indexed", 1, 1, 2)], "doc_id string, content_hash string, status string, stamp long, version int, retry_count int")
+    after, stats = ingestion.full_run(listing, contents, held)
+    got = {r.doc_id: (r.status, r.version, r.retry_count, r.chunk_count) for r in after.collect()}
+    assert got == {"1": ("indexed", 1, 0, 1), "2": ("failed", 1, 1, 0), "3": ("failed", 1, 1, 0), "4": ("failed", 4, 1, 0), "9": ("deleted", 1, 2, None)}
+    assert tuple(stats.first()) == (4, 3, 1, 1, 0, 3, 1)
+    empty = [t.limit(0) for t in (listing, contents, held)]
+    assert ingestion.full_run(*empty)[0].collect() == [] and tuple(ingestion.full_run(*empty)[1].first()) == (0, 0, 0, 0, 0, 0, 0)
