@@ -162,6 +162,109 @@ def test_pipeline_stages_take_effect(spark, data):
     assert tokens.count() == now.count() and tokens.where("n_tokens <> size(token_ids)").count() == 0
 
 
+def small_corpus(folder, spark):
+    """Tables with toxic, near-equal, contaminated and personal texts; returns the documents."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(n))
+    bench = [(i, say(rng.choice([14, 40, 90])) + ". " + say(9) + "?") for i in range(12)]
+    rows = []
+    for i in range(260):
+        text = say(rng.randrange(30, 200))
+        if i % 5 == 0:
+            text = f"{say(20)} idiot {say(20)} {rng.choice(['idiot', 'moron'])} {say(4)}"
+        elif i % 7 == 0 and rows:
+            words = rows[rng.randrange(len(rows))][1].split(" ")
+            words[rng.randrange(len(words))] = "changed"
+            text = " ".join(words)
+        elif i % 11 == 0:
+            text = f"{text}\n{rng.choice(bench)[1]} {say(30)}"
+        elif i % 3 == 0:
+            text = f"{text} write zq.x{i}@mail.example and 10.0.{i % 200}.7 {say(10)}"
+        rows.append((i, text, "en", "s", len(text)))
+    rows += [(300, None, "en", "s", None), (301, "", "en", "s", 0), (None, say(40) + " idiot idiot moron", "en", "s", 1), (None, bench[0][1], "en", "s", 2), (None, say(30), "en", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(260)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return rows, bench
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Every stage by plain loops: scores, sets, passages, regular expressions, and the tiktoken library."""
+    import base64
+    import hashlib
+    import math
+    import re as regex
+
+    import tiktoken
+
+    from docloom.llm import byte_bpe, toxicity
+
+    from .test_near_dedup import brute
+    from .test_text_operators import KINDS
+
+    rows, bench = small_corpus(str(tmp_path), spark)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    lexicon = toxicity.learn(spark, read("documents"), read("labels"))
+    assert any("idio" in e for e in lexicon.weights)
+
+    def toxic(text):
+        folded, best = toxicity.fold(text), {}
+        for entry, weight in lexicon.weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(entry, at):
+                    best[at] = max(best.get(at, 0.0), weight)
+        total, (c, a, b) = sum(best.values()), lexicon.bias
+        return c + a * math.log1p(total) + b * total / math.sqrt(1 + folded.count(" ")) >= 0
+
+    assert not lexicon.exceptions
+    now = [(i, t) for i, t, *_ in rows if not toxic(t)]
+    assert sum(i is not None and i < 260 and i % 5 == 0 for i, _ in now) == 0 and len(now) > 150
+    groups = brute([(i, t) for i, t in now if i is not None])
+    after = [(i, t) for i, t in now if i is None or groups[i][1] == i]
+    assert len(after) < len(now)
+    now, held = after, plain_matches(bench, [t or "" for _, t in after])
+    after = [row for row, found in zip(now, held) if not found]
+    assert len(after) < len(now)
+
+    def redacted(text):
+        spans = sorted((m.start(), m.end(), k) for k, p, ok in KINDS for m in regex.finditer(p, text or "") if ok(m.group()))
+        for start, end, kind in reversed(spans):
+            text = f"{text[:start]}[{kind.upper()}]{text[end:]}"
+        return text
+
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(byte_bpe.vocabulary_path(), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=byte_bpe.pattern(), mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, text in after:
+        text = redacted(text) or ""
+        ids = library.encode_ordinary(text)
+        want.append((i if i is not None else -1, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_operators_on_a_very_long_text(spark):
+    """Three megabytes in one row, and again with a small change, beside short rows."""
+    from docloom.llm import langid, media, near_dedup, packing, pii, toxicity
+
+    rng = random.Random(13)
+    words = [f"{rng.choice(['wort', 'idiot', 'été', 'the'])}{rng.randrange(5000)}" for _ in range(400_000)]
+    long = " ".join(words)
+    words[1000] = "changed"
+    item = "a rare question that stands nowhere else in here. it has one answer only?"
+    table = plain(spark, [(1, long), (2, " ".join(words) + " " + item), (3, "short text of a few words"), (4, None)])
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark, table).collect()}
+    assert got[2].component_id == 1 and got[1].n_shingles > 300_000 and got[3].kept
+    assert {r.doc_id for r in decontaminate(spark, table, items(spark, [(7, item, 1, True)])).collect() if r.contaminated} == {2}
+    assert toxicity.toxicity(spark, table, spark.createDataFrame([(1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")).count() == 4
+    assert {r.doc_id: r.n_bytes for r in media.media_columns(spark, table).select("doc_id", "n_bytes").collect()}[1] == len(long.encode())
+    model = langid.train([(b"the quick brown fox", "en"), ("été déjà vu".encode(), "fr")], steps=2)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(spark, table, model).collect()}[4] == "und"
+    assert packing.pack(spark, table, with_arrays=False).selectExpr("sum(n_tokens)").first()[0] > 1_000_000
+    assert pii.find_pii(table).count() == 4
+
+
 def test_pipeline_awkward(spark, data):
     table = docs(spark).drop("id", "a", "words", "score", "runs", "bucket", "place", "comp", "pii")
     for _, stage in corpus_pipeline.STAGES:
