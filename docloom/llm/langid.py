@@ -83,7 +83,7 @@ def loss_and_gradients(model: Model, codes: np.ndarray, target: np.ndarray) -> t
             state = new
         runs.append((order, trace))
     hidden = np.stack([np.concatenate((runs[0][1][t][4], runs[1][1][t][4])) for t in range(steps)])
-    logits = np.einsum("ch,thb->tcb", model.output, hidden) + model.bias[None, :, None]
+    logits = model.output @ hidden + model.bias[None, :, None]
     logits -= logits.max(axis=1, keepdims=True)
     prob = np.exp(logits)
     prob /= prob.sum(axis=1, keepdims=True)
@@ -93,13 +93,13 @@ def loss_and_gradients(model: Model, codes: np.ndarray, target: np.ndarray) -> t
     error = prob
     error[:, target, column] -= 1
     error *= used[:, None, :] / n
-    d_output = np.einsum("tcb,thb->ch", error, hidden)
-    d_hidden = np.einsum("ch,tcb->thb", model.output, error)
+    d_output = np.tensordot(error, hidden, ((0, 2), (0, 2)))
+    d_hidden = model.output.T @ error
     grads_in, grads_rec = [], []
     for k in range(2):
         order, trace = runs[k]
         weights = model.recurrent[k]
-        d_table, d_weights = np.zeros_like(model.inputs[k]), np.zeros_like(weights)
+        drives, d_weights = np.zeros((3 * HIDDEN, steps, width), np.float32), np.zeros_like(weights)
         carry = np.zeros((HIDDEN, width), np.float32)
         for t in reversed(list(order)):
             state, z, r, c, _ = trace[t]
@@ -113,8 +113,9 @@ def loss_and_gradients(model: Model, codes: np.ndarray, target: np.ndarray) -> t
             carry = (carry * ~live) + grad * (1 - z) + through * r + weights[: 2 * HIDDEN].T @ gates
             d_weights[: 2 * HIDDEN] += gates @ state.T
             d_weights[2 * HIDDEN :] += d_c @ (r * state).T
-            np.add.at(d_table.T, codes[t], np.concatenate((gates, d_c)).T)
-        grads_in.append(d_table)
+            drives[: 2 * HIDDEN, t], drives[2 * HIDDEN :, t] = gates, d_c
+        # The gradient of a byte's column is the sum over the places that have the byte.
+        grads_in.append(np.stack([np.bincount(codes.ravel(), weights=row.ravel(), minlength=257) for row in drives]).astype(model.inputs[k].dtype))
         grads_rec.append(d_weights)
     return loss, [*grads_in, *grads_rec, d_output, error.sum(axis=(0, 2))]
 

@@ -392,7 +392,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Null or blank text: no shingle, a component of its own, kept. Rows that repeat a
     doc_id count as one document: whatever links one of its texts links it.
     A row with a null doc_id is linked with nothing: component_id null, kept true.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Of equal texts the
+    smallest doc_id is the component's. Texts of any length give their whole set of
+    shingles; a confirmed pair holds two of these sets in memory.
     """
     short_batches(spark)
     ws = Workspace(spark)
@@ -424,4 +426,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents; awkward rows as in ``near_duplicates``."""
     return near_duplicates(spark, table(spark, sf_dir, "documents"))

@@ -359,7 +359,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Null texts are empty. Rows that repeat a doc_id are the same document: a string at
     an equal start in two of them starts earlier in neither. Rows with a null doc_id
-    come before all others, as one document. An empty table gives an empty result.
+    come before all others, as one document. An empty table gives an empty result; other
+    columns are not read. Texts of any length are searched whole, in overlapping pieces.
     kept_text leaves out what the cuts leave of a character.
     """
     short_batches(spark)
@@ -382,4 +383,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every document; awkward rows as in ``remove_repeats``."""
     return remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept_text")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from docloom.llm import near_dedup
 from docloom.llm.near_dedup import near_duplicates
 
@@ -112,3 +114,33 @@ def test_pairs_in_a_template_region(spark, monkeypatch):
     want = brute(pairs)
     assert len({c for _, c in want.values()}) == 600
     assert got == want
+
+
+def boilerplate(seed, background, n=500, width=100):
+    """Texts that share a template at about ``background``, below the limit, and planted pairs at 0.76 and a little more."""
+    rng = random.Random(seed)
+    shared = round(width * 2 * background / (1 + background)) + 4
+    base = [f"b{i}" for i in range(width)]
+    out, planted = [], 0
+    for i in range(n):
+        words = base[:shared] + [f"x{i}_{k}" for k in range(width - shared)]
+        out.append((2 * i, " ".join(words)))
+        if i % 4 == 0:
+            twin = list(words)
+            twin[rng.randrange(5, shared - 5)] = f"y{i}"
+            twin[rng.randrange(shared + 2, width - 2)] = f"z{i}"
+            out.append((2 * i + 1, " ".join(twin)))
+            planted += 1
+    rng.shuffle(out)
+    return out, planted
+
+
+@pytest.mark.parametrize("background", [0.54, 0.60, 0.70])
+def test_recall_among_boilerplate(spark, background):
+    pairs, planted = boilerplate(3, background)
+    want = brute(pairs)
+    assert sum(c != i for i, (_, c) in want.items()) == planted
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, plain(spark, pairs)).collect()}
+    found = sum(got[i][1] == c for i, (_, c) in want.items() if c != i)
+    print(f"background {background}: {found} of {planted} planted pairs")
+    assert found == planted and got == want
