@@ -39,6 +39,16 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+#: Bytes of rows in one Arrow batch, whatever their number.
+ARROW_BYTES = 32 << 20
+
+
+def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """As ``short_batches``; a batch is also closed once its rows have ``size`` bytes."""
+    short_batches(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 #: Shuffle files go when the statement that made them ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
