@@ -35,7 +35,7 @@ FIRST = 1024
 TOGETHER = 512
 #: Non-essential terms that are probed between two looks at the bound.
 PROBED = 4
-_LONG = 2.0**63
+LOWEST = -(2**63)
 
 
 def usable(vector: Column) -> Column:
@@ -49,7 +49,7 @@ def _vectors(ids: pa.ChunkedArray, column: pa.ChunkedArray, scale: int):
     ids = ids.to_numpy()
     column = column.combine_chunks()
     size = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
-    flat = np.clip(np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale), -_LONG, _LONG - 1024)
+    flat = np.clip(np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale), LOWEST, 2.0**63 - 1024)
     start = np.concatenate([[0], np.cumsum(size)])[:-1]
     for length in np.unique(size):
         rows = np.flatnonzero(size == length)
@@ -57,6 +57,13 @@ def _vectors(ids: pa.ChunkedArray, column: pa.ChunkedArray, scale: int):
         yield ids[rows], flat[start[rows][:, None] + np.arange(length)]
 
 
+_whole = np.frompyfunc(int, 1, 1)
+
+
+def _typed(values: np.ndarray, kind) -> np.ndarray:
+    return _whole(values) if kind is object else values.astype(kind)
+
+
 class Index:
     """Posting lists of one shard's vectors of one length."""
 
@@ -69,7 +76,7 @@ class Index:
     def typed(self, kind):
         """Lists and rows in a number type that holds every score exactly; a list of most rows is kept without their places."""
         if kind not in self.lists:
-            rows = np.ascontiguousarray(self.rows.astype(kind))
+            rows = np.ascontiguousarray(_typed(self.rows, kind))
             lists = []
             for values in np.ascontiguousarray(rows.T):
                 at = np.flatnonzero(values)
@@ -98,23 +105,25 @@ class Best:
         self.k, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0)
 
     def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        if scores.dtype == object:
+            scores = np.array([min(max(s, LOWEST), -LOWEST - 1) for s in scores.tolist()], object)
         ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
         kept = np.lexsort((ids, -scores))[: self.k] if scores.dtype != object else sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[: self.k]
         self.ids, self.scores = ids[kept], scores[kept]
 
     @property
     def enough(self):
-        """What a row must reach."""
-        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+        """What a row must reach; scores of less than a long count as the least long, so there any does."""
+        return self.scores[-1] if len(self.scores) == self.k and self.scores[-1] > LOWEST else -np.inf
 
 
 def max_score(index: Index, query_id: int, query: np.ndarray, best: Best, kind, seeded: bool) -> None:
     """Offers to ``best`` every row of the index that can be among the k best, with its whole score."""
     width = min(len(query), index.rows.shape[1])
     rows, lists = index.typed(kind)
-    q = query[:width].astype(kind)
+    q = _typed(query[:width], kind)
     wide = q if kind is object else q.astype(float)
-    ends = [m[:width].astype(kind if kind is object else float) for m in (index.most, index.least)]
+    ends = [_typed(m[:width], object if kind is object else float) for m in (index.most, index.least)]
     bound = np.where(wide > 0, wide * ends[0], wide * ends[1])
     order = np.argsort(bound, kind="stable")
     joint = np.cumsum(bound[order])
@@ -157,9 +166,9 @@ def _seed(index: Index, ids: np.ndarray, queries: np.ndarray, best: list[Best],
     first = index.typed(kind)[0][:FIRST, :width]
     own = np.searchsorted(index.ids[: len(first)], ids)
     for lo in range(0, len(ids), TOGETHER):
-        scores = queries[lo : lo + TOGETHER, :width].astype(kind) @ first.T
+        scores = _typed(queries[lo : lo + TOGETHER, :width], kind) @ first.T
         for i, row in enumerate(scores, lo):
-            order = np.argsort(-row, kind="stable")[: best[i].k + 1]
+            order = np.argsort(-row, kind="stable")[: best[i].k + 1] if kind is not object else np.arange(len(row))
             # Ids are unique, so at most one of them is the query's own.
             order = order[order != own[i]] if own[i] < len(first) and index.ids[own[i]] == ids[i] else order
             best[i].offer(index.ids[order], row[order])
@@ -180,7 +189,7 @@ def _search(k: int, scale: int):
             for i, own in enumerate(best):
                 found[0].extend([int(ids[i])] * len(own.ids))
                 found[1].extend(own.ids.tolist())
-                found[2].extend(min(max(int(s), -(2**63)), 2**63 - 1) for s in own.scores)
+                found[2].extend(int(s) for s in own.scores)
         return pa.table([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
     return work
