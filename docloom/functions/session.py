@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +22,11 @@ def prepare(spark: SparkSession) -> None:
     if home not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``; a local session without that setting uses its machine's."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(base or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
