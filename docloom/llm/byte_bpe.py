@@ -1,6 +1,7 @@
 """Byte-level BPE, contracted by recursive DuckDB queries inside each partition.
 
-Spark's own regular expressions split texts into words. A partition keeps one DuckDB
+Spark's own regular expressions split texts into words, with the tokenizer library's
+letters, numbers and spaces in place of Java's (``char_classes``). A partition keeps one DuckDB
 connection with the merge table: (left id, right id) -> merged id, whose rank is the
 id. Distinct words that are new to it become token-position rows; a recursive query
 joins neighbours with the merge table and contracts each word's leftmost pair of
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import short_batches, table, text_bytes
+from .char_classes import java_pattern, regex_pattern
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words that one partition remembers; then it starts anew.
@@ -293,7 +295,7 @@ def word_groups(text: str):
     import regex
 
     group, size = [], 0
-    for match in regex.finditer(pattern(), text):
+    for match in regex.finditer(regex_pattern(pattern()), text):
         group.append(match.group())
         size += match.end() - match.start()
         if size >= STEP_TEXT:
@@ -317,7 +319,7 @@ def split_words(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, then words: the matches of the tokenizer's pattern in the text (null: none), and long: a long text instead."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     long = F.length(text) > LONG_TEXT
-    words = F.regexp_extract_all(F.when(long, "").otherwise(text), F.lit("(?U)" + pattern()), F.lit(0))
+    words = F.regexp_extract_all(F.when(long, "").otherwise(text), F.lit(java_pattern(docs.sparkSession, pattern())), F.lit(0))
     return docs.select(*keep, words.alias("words"), F.when(long, text).alias("long"))
 
 
