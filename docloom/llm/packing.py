@@ -1,7 +1,8 @@
 """Token-id packing: best-fit decreasing into fixed-length rows.
 
-Documents are dealt to buckets by a hash of id, text and row, so any number of tasks
-packs at once, a lost task is redone alone, and copies of one row are spread too. In a bucket, documents longer than a row are cut
+Documents are dealt to buckets by a hash of id and text, so any number of tasks packs at
+once, and a lost task is redone alone with the same rows. Equal rows are counted first and
+dealt some at a time by a running number, so they spread too. In a bucket, documents longer than a row are cut
 into pieces without loss; pieces go, longest first, into the open row with the least
 room that still holds them, which a segment tree over capacities finds in O(log row).
 Each row is written as an id vector, cumulative segment lengths and positions that
@@ -27,6 +28,8 @@ PAD = 50256
 BUCKET_DOCS = 4096
 #: Tokens that are packed together at most, beyond one document; a bucket of more goes in several parts.
 HELD_TOKENS = 1 << 24
+#: Equal rows that go to one bucket together.
+TOGETHER = 64
 
 
 class CapacityTree:
@@ -149,30 +152,33 @@ def _slim(packed: pa.RecordBatch):
         yield packed.slice(lo, ROWS)
 
 
-def _work(path: str, capacity: int, with_arrays: bool):
+def _work(path: str, capacity: int, with_arrays: bool, held_tokens: int = HELD_TOKENS):
     def work(batches):
         own, bucket, first, held, tokens = fast_encoder(path), None, 0, [], 0
         for batch in batches:
-            buckets, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, ids, bounds in encoded(own, batch.column(2), batch.column(3)):
+            buckets, docs, copies = (batch.column(k).to_pylist() for k in range(3))
+            for lo, ids, bounds in encoded(own, batch.column(3), batch.column(4)):
                 for i in range(len(bounds) - 1):
-                    at, size = buckets[lo + i], int(bounds[i + 1] - bounds[i])
-                    if held and (at != bucket or tokens + size > HELD_TOKENS):
-                        packed = pack_bucket(bucket, first, held, capacity, with_arrays)
-                        yield from _slim(packed)
-                        first, held, tokens = first + packed.num_rows if at == bucket else 0, [], 0
-                    bucket = at
-                    held.append((docs[lo + i], ids[bounds[i] : bounds[i + 1]].copy()))
-                    tokens += size
+                    at, size, one = buckets[lo + i], int(bounds[i + 1] - bounds[i]), ids[bounds[i] : bounds[i + 1]].copy()
+                    for _ in range(copies[lo + i]):
+                        if held and (at != bucket or tokens + size > held_tokens):
+                            packed = pack_bucket(bucket, first, held, capacity, with_arrays)
+                            yield from _slim(packed)
+                            first, held, tokens = first + packed.num_rows if at == bucket else 0, [], 0
+                        bucket = at
+                        held.append((docs[lo + i], one))
+                        tokens += size
         if held:
             yield from _slim(pack_bucket(bucket, first, held, capacity, with_arrays))
 
     return work
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = ROW_TOKENS, path: str | None = None, with_arrays: bool = True) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = ROW_TOKENS, path: str | None = None, with_arrays: bool = True, held_tokens: int = HELD_TOKENS) -> DataFrame:
     """docs (doc_id, text, ...) -> one row for each packed row of every bucket.
 
+    A bucket with more than ``held_tokens`` tokens is packed in parts of about that size.
+
     doc_ids and starts name each segment's document and its first token there, so the
     documents can be put together again. Null and empty texts have no token and no
     segment; repeated rows are all packed; null ids stay null; an empty table gives an
@@ -182,12 +188,15 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = ROW_TOKENS, path:
     """
     short_batches(spark, ROWS)
     buckets = max(1, -(-docs.count() // BUCKET_DOCS))
-    key = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(buckets))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", key.alias("bucket"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted = whole.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    some = counted.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / TOGETHER))).alias("part"))
+    key = F.pmod(F.xxhash64("doc_id", "text", "part"), F.lit(buckets))
+    rows = some.select("doc_id", "text", F.least(F.lit(TOGETHER), F.col("n") - F.col("part") * TOGETHER).cast("int").alias("copies"), key.alias("bucket"))
     parts = max(1, min(buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "doc_id", "text")
+    dealt = rows.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "doc_id", "text", "copies")
     shape = "bucket long, row long, n_tokens long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_sha256 string, positions_sha256 string, ids binary, positions binary"
-    return split_words(dealt, ["bucket", "doc_id"]).mapInArrow(_work(path or vocabulary_path(), capacity, with_arrays), shape)
+    return split_words(dealt, ["bucket", "doc_id", "copies"]).mapInArrow(_work(path or vocabulary_path(), capacity, with_arrays, held_tokens), shape)
 
 
 def _matrix(group: pa.Table) -> pa.Table:

@@ -117,14 +117,13 @@ def test_packing_is_lossless(spark, tmp_path):
     assert packing.pack(spark, empty(spark)).collect() == []
 
 
-def test_packing_parts_of_a_bucket(monkeypatch):
+def test_packing_parts_of_a_bucket():
     import pyarrow as pa
 
-    monkeypatch.setattr(packing, "HELD_TOKENS", 64)
     texts = ["one two three " * n for n in (1, 9, 30, 2, 2, 9, 4, 0, 5)]
-    work = packing._work(byte_bpe.vocabulary_path(), 16, True)
+    work = packing._work(byte_bpe.vocabulary_path(), 16, True, held_tokens=64)
     words = [[w for g in byte_bpe.word_groups(t) for w in g] for t in texts]
-    batch = pa.record_batch([pa.array([0] * 5 + [3] * 4), pa.array(list(range(9))), pa.array(words, pa.list_(pa.string())), pa.array([None] * 9, pa.string())], names=["bucket", "doc_id", "words", "long"])
+    batch = pa.record_batch([pa.array([0] * 5 + [3] * 4), pa.array(list(range(9))), pa.array([1] * 9), pa.array(words, pa.list_(pa.string())), pa.array([None] * 9, pa.string())], names=["bucket", "doc_id", "copies", "words", "long"])
     rows = [r for b in work(iter([batch])) for r in b.to_pylist()]
     for bucket in (0, 3):
         assert [r["row"] for r in rows if r["bucket"] == bucket] == list(range(sum(r["bucket"] == bucket for r in rows)))
@@ -136,10 +135,34 @@ def test_packing_parts_of_a_bucket(monkeypatch):
 
 def test_repeated_rows_share_no_bucket(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_DOCS", 50)
+    monkeypatch.setattr(packing, "TOGETHER", 8)
     packed = packing.pack(spark, plain(spark, [(1, "same words here")] * 400), capacity=64)
     assert packed.select("bucket").distinct().count() > 4 and packed.selectExpr("sum(size(doc_ids))").first()[0] == 400
 
 
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_DOCS", 10)
+    rows = [(i % 70, f"text {i % 70} " * (i % 9)) for i in range(200)] + [(None, "x")] * 130
+    key = lambda frame: sorted(map(repr, packing.pack(spark, frame, capacity=32).collect()))
+    one = plain(spark, rows)
+    assert key(one.repartition(1)) == key(one.repartition(7, "text")) == key(plain(spark, rows[::-1]).repartition(3))
+
+
+def test_words_are_split_as_the_library_does_at_every_code_point(spark, library):
+    from docloom.llm.char_classes import every_character
+
+    chars, step = every_character(), 2000
+    texts = ["\n".join(f"X{c}'s {c}1" for c in chars[i : i + step]) for i in range(0, len(chars), step)]
+    frame = plain(spark, list(enumerate(texts))).repartition(4)
+    assert max(map(len, texts)) < byte_bpe.LONG_TEXT
+    for r in byte_bpe.byte_bpe(spark, frame).collect():
+        want = library.encode_ordinary(texts[r.doc_id])
+        assert r.ids_sha256 == byte_bpe.ids_sha256(np.array(want))
+    # The module that splits longer texts cuts the same words.
+    for r in byte_bpe.split_words(frame, ["doc_id"]).select("doc_id", "words").collect():
+        assert r.words == [w for group in byte_bpe.word_groups(texts[r.doc_id]) for w in group]
+
+
 def chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level int, source string, t int")
 
