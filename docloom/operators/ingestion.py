@@ -35,10 +35,38 @@ def fetched(responses: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
     return final.select("url", error.alias("error"), warning.alias("warning"), "attempts", F.when(error.isNull(), F.sha2("r.content", 256)).alias("content_hash"))
 
 
-def listed(files: DataFrame) -> DataFrame:
-    """PDF files (folder, file_id, mime, trashed, modified) that are not trashed, newest first, with their page in the folder's listing."""
-    rank = F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("modified"), "file_id"))
-    return files.where("mime = 'application/pdf' and not trashed").select("folder", "file_id", "modified", F.floor((rank - 1) / PAGE).cast("int").alias("page"))
+def assembled(parts: DataFrame) -> DataFrame:
+    """Landed parts (file_id, start, content, total) of files -> file_id, n_parts, content, error, one row for each file.
+
+    Parts may come in any order, twice, and overlap; what an earlier part covers is cut off.
+    gap: bytes between two parts are missing; incomplete: the end is; too long: there is
+    more than the total; such a file has no content, and a later run with the missing
+    part has it. Parts without a start or content, and files without a total, are incomplete.
+    """
+    kept = parts.where("file_id is not null").withColumn("end", F.col("start") + F.octet_length("content"))
+    one = kept.groupBy("file_id", "start").agg(F.max_by("content", "end").alias("content"), F.max("end").alias("end"), F.max("total").alias("total"))
+    before = F.coalesce(F.max("end").over(Window.partitionBy("file_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = one.withColumn("before", before).withColumn("gap", F.col("start") > F.col("before"))
+    piece = F.when(F.col("end") > F.col("before"), F.substring("content", (F.col("before") - F.col("start") + 1).cast("int"), F.octet_length("content"))).otherwise(F.lit(b""))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("start", piece.alias("piece")))), F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
+    grouped = laid.groupBy("file_id").agg(F.count("content").alias("n_parts"), F.coalesce(F.max("gap"), F.lit(False)).alias("gap"), F.max("end").alias("end"), F.max("total").alias("total"), whole.alias("content"))
+    error = F.when(F.col("gap"), "gap").when(F.coalesce(F.col("end") < F.col("total"), F.lit(True)), "incomplete").when(F.col("end") > F.col("total"), "too long")
+    return grouped.select("file_id", "n_parts", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+
+
+def listed(files: DataFrame, width: int = 86_400) -> DataFrame:
+    """PDF files (folder, file_id, mime, trashed, modified) that are not trashed, newest first, with their page in the folder's listing.
+
+    A folder's files are counted by spans of ``width`` in modified first, so that only those
+    of one span are ranked together and a large folder needs no task of its own.
+    """
+    kept = files.where("mime = 'application/pdf' and not trashed").withColumn("_span", F.floor(F.col("modified") / width))
+    spans = kept.groupBy("folder", "_span").agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.partitionBy("folder").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    before = spans.select(F.col("folder").alias("_folder"), F.col("_span").alias("_of"), F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("folder", "_span").orderBy(F.desc("modified"), "file_id"))
+    met = kept.withColumn("_rank", rank).join(before, F.col("folder").eqNullSafe(F.col("_folder")) & F.col("_span").eqNullSafe(F.col("_of")))
+    return met.select("folder", "file_id", "modified", F.floor((F.col("_before") + F.col("_rank") - 1) / PAGE).cast("int").alias("page"))
 
 
 def uploads(files: DataFrame, registry: DataFrame) -> DataFrame:

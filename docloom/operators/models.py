@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_compound, words
+from ..sources.segments import latest, read_segments, write_segment
 
 DIMENSION = 64
 NO_EVIDENCE = "NO_RELEVANT_EVIDENCE"
@@ -26,6 +27,24 @@ def embed(texts: DataFrame) -> DataFrame:
     return hashed.join(done, "text_hash")
 
 
+CACHE = "text_hash string, vec array<double>"
+
+
+def embed_cached(texts: DataFrame, folder: str, segment: int) -> DataFrame:
+    """Texts (text, ...) with text_hash, vec and the segment of the cache that holds it.
+
+    Digests that the cache lacks are computed once each and become its segment of this
+    number; a second run computes nothing. Runs at the same time take different numbers;
+    where both computed a digest, the higher one counts.
+    """
+    spark = texts.sparkSession
+    hashed = texts.withColumn("text_hash", F.md5(F.coalesce("text", F.lit(""))))
+    held = read_segments(spark, folder, CACHE, before=segment)
+    fresh = hashed.join(held.select("text_hash").distinct(), "text_hash", "left_anti").groupBy("text_hash").agg(F.first(F.coalesce("text", F.lit(""))).alias("_t"))
+    write_segment(fresh.select("text_hash", hash_embedding(F.col("_t")).alias("vec")), folder, segment)
+    return hashed.join(latest(read_segments(spark, folder, CACHE, before=segment + 1), "text_hash"), "text_hash")
+
+
 def sub_queries(query: Column) -> Column:
     """Parts of a compound question, cut behind question marks and at joining phrases; others stay whole."""
     parts = F.filter(F.transform(F.split(query, r"(?<=\?)|(?i) and also | as well as | additionally | moreover "), lambda p: F.trim(p)), lambda p: F.length(p) > 5)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +13,10 @@ from ..functions.session import prepare
 from ..functions.text import words
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries that go around together.
+#: Queries that go to every task; of more, those of one group.
 QUERY_BLOCK = 4096
+#: Rows of one group's part of the corpus, about, and queries whose scores with them are held at once.
+SHARD, STEP = 1 << 15, 256
 
 
 def top(rows: DataFrame, key: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -21,39 +24,57 @@ def top(rows: DataFrame, key: list[str], order: list[Column], k: int, name: str
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) <= k)
 
 
-def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows have a vector of the common length and a norm, and those rows as unit vectors."""
-    rows = [v if v is not None and None not in v else [] for v in vectors]
-    width = max(map(len, rows), default=0)
-    good = np.array([len(r) == width and width > 0 for r in rows], bool)
-    found = np.array([r for r, ok in zip(rows, good, strict=True) if ok], float).reshape(int(good.sum()), width)
-    size = np.sqrt((found * found).sum(axis=1))
-    good[good] = size > 0
-    return good, found[size > 0] / size[size > 0, None]
-
-
-def _best_of_batch(asked: list, only: list, units: np.ndarray, k: int):
-    """Over batches (id, vec, label): every query's k best rows of a batch, among which are those of the whole corpus."""
-
-    def work(batches):
-        for batch in batches:
-            good, found = _matrix(batch.column(1).to_pylist())
-            ids = np.array(batch.column(0).to_pylist(), object)[good]
-            if not len(ids) or not len(asked) or found.shape[1] != units.shape[1]:
-                continue
-            order = np.argsort(ids, kind="stable")
-            score = np.round(units @ found[order].T, 6) + 0.0
-            labels = np.array(batch.column(2).to_pylist(), object)[good][order]
-            for q, label in enumerate(only):
-                if label is not None:
-                    score[q, labels != label] = -np.inf
+def _units(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of an Arrow column's vectors: their rows, and the vectors at length one.
+
+    Vectors that are null, empty, hold null or non-finite numbers or have the length zero are left out.
+    """
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    # Nulls are NaN here; a null list has no numbers.
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.cumsum(sizes) - sizes
+    out = {}
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == width)
+        found = flat[starts[rows][:, None] + np.arange(width)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.sqrt((found * found).sum(axis=1))
+        good = np.isfinite(size) & (size > 0)
+        out[width] = rows[good], found[good] / size[good, None]
+    return out
+
+
+def _only(column) -> np.ndarray:
+    return np.array(column.to_pylist(), object)
+
+
+def _best(asked: pa.RecordBatch | pa.Table, batch: pa.RecordBatch | pa.Table, k: int):
+    """Every query's (query_id, qvec, only) k best rows of a batch (id, vec, label), among which are those of the whole corpus.
+
+    Vectors meet only those of their own length.
+    """
+    corpus, only, labels = _units(batch.column(1)), _only(asked.column(2)), None
+    for width, (queries, units) in _units(asked.column(1)).items():
+        rows, found = corpus.get(width, ([], None))
+        if not len(rows):
+            continue
+        order = pc.sort_indices(batch.column(0).take(pa.array(rows))).to_numpy()
+        rows, found = rows[order], found[order]
+        for lo in range(0, len(queries), STEP):
+            these = queries[lo : lo + STEP]
+            score = np.round(units[lo : lo + STEP] @ found.T, 6) + 0.0
+            for q in np.flatnonzero([x is not None for x in only[these]]).tolist():
+                labels = _only(batch.column(2)) if labels is None else labels
+                score[q, labels[rows] != only[these[q]]] = -np.inf
             best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            rows, flat = np.repeat(np.arange(len(asked)), best.shape[1]), best.ravel()
-            kept = score[rows, flat] > -np.inf
-            rows, flat = rows[kept], flat[kept]
-            yield pa.record_batch([pa.array([asked[r] for r in rows]), pa.array(list(ids[order][flat])), pa.array(score[rows, flat])], names=["query_id", "id", "score"])
+            at, flat = np.repeat(np.arange(len(these)), best.shape[1]), best.ravel()
+            kept = score[at, flat] > -np.inf
+            at, flat = at[kept], flat[kept]
+            yield asked.column(0).take(pa.array(these[at])), batch.column(0).take(pa.array(rows[flat])), pa.array(score[at, flat])
 
-    return work
+
+_HITS = ["query_id", "id", "score"]
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -62,23 +83,40 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUER
     A query with a non-null ``only`` meets the rows of that ``label`` alone; both columns
     may be missing.
 
-    Queries go around in blocks of a bounded number, one scan of the corpus for each;
-    a task multiplies matrices and keeps k rows of a batch, so that k rows of a query
-    and batch are all that is shuffled. Scores are rounded to 6 places and ties break
-    by id. Rows without a vector, or with one of length zero, are no hits.
+    Up to ``block`` queries go to every task, in one scan of the corpus. More are dealt
+    to blocks and the corpus to shards, and each pair of them is a group of a cogrouped
+    shuffle; no query comes to the driver. A task multiplies matrices and keeps k rows
+    of a batch or shard for each query. Scores are rounded to 6 places and ties break by
+    id. Vectors meet those of their own length; rows without an id or a vector, with null
+    or non-finite numbers or of length zero are no hits.
     """
-    prepare(corpus.sparkSession)
+    spark = corpus.sparkSession
+    prepare(spark)
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *corpus.schema.fields]}
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        only = F.col("only") if "only" in queries.columns else F.lit(None)
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "qvec", only.alias("only")).collect()
-        good, units = _matrix([r["qvec"] for r in rows])
-        asked = [r for r, ok in zip(rows, good, strict=True) if ok]
-        label = F.col("label") if "label" in corpus.columns else F.lit(None).cast("long")
-        part = corpus.select("id", "vec", label.alias("label")).mapInArrow(_best_of_batch([r["query_id"] for r in asked], [r["only"] for r in asked], units, k), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
-        found = part if found is None else found.unionByName(part)
+    shape = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    asked = queries.select("query_id", "qvec", (F.col("only") if "only" in queries.columns else F.lit(None).cast("int")).alias("only"))
+    rows = corpus.where("id is not null").select("id", "vec", (F.col("label") if "label" in corpus.columns else F.lit(None).cast("int")).alias("label"))
+    few = asked.limit(block + 1).toArrow()
+    if few.num_rows <= block:
+        few = few.combine_chunks()
+
+        def scan(batches):
+            for batch in batches:
+                for hits in _best(few, batch, k):
+                    yield pa.record_batch([h.combine_chunks() if isinstance(h, pa.ChunkedArray) else h for h in hits], names=_HITS)
+
+        found = rows.mapInArrow(scan, shape)
+    else:
+        blocks, shards = -(-queries.count() // block), -(-corpus.count() // SHARD)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+        right = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
+
+        def meet(some: pa.Table, part: pa.Table) -> pa.Table:
+            empty = pa.table([some.column(0).slice(0, 0), part.column(0).slice(0, 0), pa.array([], pa.float64())], names=_HITS)
+            return pa.concat_tables([empty, *(pa.table(list(hits), names=_HITS) for hits in _best(some, part, k))])
+
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, shape)
     return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -104,12 +142,17 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank; documents without a common word fill up with score 0 in id order.
+    """query_id, id, score, rank; documents without a common word fill up with score 0 in id order."""
+    return best_with_fill(bm25_scores(queries, corpus), queries, corpus.select("id"), k)
+
+
+def best_with_fill(scores: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The k best of scores (query_id, id, score), and documents without one, in id order, where there are fewer.
 
     A query that lacks hits has fewer than k of them, so the first 2k ids hold enough others.
     """
-    best = top(bm25_scores(queries, corpus).withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("id")], k).drop("rank")
-    first = corpus.select("id").orderBy("id").limit(2 * k)
+    best = top(scores.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("id")], k).drop("rank")
+    first = ids.orderBy("id").limit(2 * k)
     fill = queries.select("query_id").distinct().join(F.broadcast(first), F.lit(True)).withColumn("score", F.lit(0.0))
     # Scores are not negative: idf is floored above zero for a vocabulary with a positive mean.
     return top(best_score(best.unionByName(fill)), ["query_id"], [F.desc("score"), F.asc("id")], k)

@@ -11,9 +11,6 @@ from ..config import DEFAULTS, Settings
 from ..functions.folds import greedy_distinct
 from . import retrieval as S
 
-#: Variants of one query, at most.
-VARIANTS = 16
-
 
 def retrieve(queries: DataFrame, corpus: DataFrame, parents: DataFrame, scorer: Callable[[Column, Column], Column] = S.word_overlap, near: float | None = None, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(chunks, counts) of a run.
@@ -25,9 +22,9 @@ def retrieve(queries: DataFrame, corpus: DataFrame, parents: DataFrame, scorer:
     stays itself. chunks: query_id, id, text, score, kind. counts, a row for each query:
     outcome (answered or insufficient), candidates, reranked, compressed, expanded, top_score.
     """
-    asked = queries.withColumn("query_id", F.col("query_id") * VARIANTS + F.col("variant"))
+    asked = queries.withColumn("query_id", F.struct("query_id", "variant"))
     found = S.dense_top_k(asked.select("query_id", "qvec", "only"), corpus, s.final_k)
-    whole = found.withColumn("query_id", F.floor(F.col("query_id") / VARIANTS).cast("long"))
+    whole = found.withColumn("query_id", F.col("query_id.query_id"))
     of_query = Window.partitionBy("query_id")
     candidates = S.best_score(whole).withColumn("candidates", F.count(F.lit(1)).over(of_query))
     info = queries.groupBy("query_id").agg(F.first("text").alias("query_text"), F.first("rerank_works").alias("rerank_works"))

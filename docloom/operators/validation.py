@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import cited_numbers, clamp, claim_words, numeric_sentences
+from .models import NO_EVIDENCE
 
 
 def retrieval_confidence(scores: Column) -> Column:
@@ -63,3 +64,26 @@ def guard_issues(answer: Column, chunks: Column, confidence: Column, s: Settings
 
 def guard_result(issues: Column, confidence: Column, s: Settings = DEFAULTS) -> Column:
     return F.when(issues == 0, "PASS").when((confidence < s.confidence_min * 0.7) | (issues >= 3), "FAIL").otherwise("WARN")
+
+
+REFUSAL = "The available documents do not hold enough information to answer this."
+NOTE = "\n\n---\nNote: parts of this answer could not be checked against its sources."
+
+
+def replies(rows: DataFrame, refusal: str = REFUSAL, note: str = NOTE, s: Settings = DEFAULTS) -> DataFrame:
+    """Rows (answer, chunks, evidence, overall, issues, ...) through the three gates of a turn: adds outcome, reason, reply.
+
+    A turn is refused without sources, then without evidence in them, then if the guard
+    fails the answer or its confidence is too low. A failed answer is replaced; one that is
+    only doubtful keeps its text, with a note.
+    """
+    guard = guard_result(F.col("issues"), F.col("overall"), s)
+    reason = (
+        F.when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, "no sources")
+        .when(F.upper(F.trim(F.coalesce("evidence", F.lit("")))).isin("", NO_EVIDENCE), "no evidence")
+        .when((guard == "FAIL") | (F.col("overall") < s.confidence_min), "low confidence")
+    )
+    judged = rows.withColumn("reason", reason)
+    silent = F.coalesce(F.col("reason").isin("no sources", "no evidence"), F.lit(False)) | (guard == "FAIL")
+    reply = F.when(silent, refusal).when(guard == "WARN", F.concat("answer", F.lit(note))).otherwise(F.col("answer"))
+    return judged.withColumn("outcome", F.when(F.col("reason").isNull(), "answered").otherwise("refused")).withColumn("reply", reply)

@@ -6,25 +6,24 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
+from ..operators import models as M
 from ..operators import validation as V
-from .base import inline, query, table, values
-
-#: answer_id, answer, chunks joined by '|', scores joined by '|'.
-ANSWERS = (
-    "(1, 'The interest rate is 8.5% [Source 1].', 'the interest rate for loans is 8.5% per year|other text', '0.85|0.7'), "
-    "(2, 'No citation here but 12 items.', 'twelve items are listed', '0.3'), "
-    "(3, 'Rates are 7% [Source 1, 3]. Fees are 20 [Source 2]. See also 5.', 'rates are 7% now|fees of nothing|x', '0.02|0.01|0.005'), "
-    "(4, 'A plain answer without any number at all, which goes on for a good while so that it is longer than one hundred characters.', 'plain', '0.9'), "
-    "(5, 'Bad source [Source 9] with 3 apples.', 'three apples', '0.0'), "
-    "(6, 'Mixed [source 2] CASE 44 units and [Source x] 45 units. Last 46 [Source 1]!', 'units 44 mixed case|case 44 units mixed and', '0.6|0.4')"
+from .base import query, table
+
+#: Answers made of documents' texts: well and badly cited, with and without numbers, short and long; three sources each.
+ANSWER = (
+    "CASE doc_id % 8 WHEN 0 THEN substring(text, 1, 60) || ' The interest rate is 8.5% [Source 1].' WHEN 1 THEN 'No citation here but 12 items.' WHEN 2 THEN 'Rates are 7% [Source 1, 3]. ' || substring(text, 1, 80) || ' 20 [Source 2]. See also 5.' "
+    "WHEN 3 THEN substring(text, 1, 150) WHEN 4 THEN 'Bad source [Source 9] with 3 apples. ' || substring(text, 1, 40) WHEN 5 THEN 'Mixed [source 2] CASE 44 units and [Source x] 45 units. Last 46 [Source 1]! ' || substring(text, 90, 30) "
+    "WHEN 6 THEN substring(text, 1, 120) || ' 8.5% per year [Source 3].' ELSE substring(text, 101, 99) || ' 3 [Source 2]' END"
 )
-COLS = "answer_id, answer, chunks, scores"
-A = f"(SELECT answer_id, answer, string_split(chunks, '|') AS chunks, list_transform(string_split(scores, '|'), lambda s: s::DOUBLE) AS scores FROM {values(ANSWERS, COLS)})"
+CHUNKS = ("substring(text, 1, 100)", "substring(text, 101, 100) || ' case 44 units mixed and'", "'the interest rate for loans is 8.5% per year'")
+SCORES = [f"CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE {x} END" for x in ("(n_chars % 100) / 100.0", "(n_chars % 37) / 50.0", "(doc_id % 10) / 100.0")]
+A = f"(SELECT doc_id AS answer_id, {ANSWER} AS answer, [{', '.join(CHUNKS)}] AS chunks, [{', '.join(f'({x})::DOUBLE' for x in SCORES)}] AS scores FROM documents)"
 
 
-def answers(spark):
-    rows = inline(spark, ANSWERS, COLS)
-    return rows.select("answer_id", "answer", F.split("chunks", r"\|").alias("chunks"), F.transform(F.split("scores", r"\|"), lambda s: s.cast("double")).alias("scores"))
+def answers(spark, d):
+    scores = [F.expr(x).cast("double") for x in SCORES]
+    return table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.expr(ANSWER).alias("answer"), F.array(*map(F.expr, CHUNKS)).alias("chunks"), F.array(*scores).alias("scores"))
 
 
 def _cited(t: str) -> str:
@@ -36,7 +35,8 @@ def _numeric(t: str) -> str:
 
 
 def _claims(t: str) -> str:
-    return f"list_distinct(regexp_extract_all(lower({t}), '\\b[a-z0-9₹%.,]+\\b'))"
+    # Letters beyond ASCII are word characters at a word's border, as the underscore is.
+    return f"list_distinct(regexp_extract_all(regexp_replace(lower({t}), '[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}\\p{{M}}]', '_', 'g'), '\\b[a-z0-9₹%.,]+\\b'))"
 
 
 def _grounded(s: str) -> str:
@@ -53,8 +53,8 @@ _SCORED = f"SELECT answer_id, answer, chunks, cast({_RETRIEVAL} AS DOUBLE) AS re
 _OVERALL = f"SELECT *, 1.0 / (0.35 / greatest(retrieval, 0.01) + 0.30 / greatest(faith, 0.01) + 0.35 / greatest(complete, 0.01)) AS overall FROM ({_SCORED})"
 
 
-def scored(spark):
-    rows = answers(spark)
+def scored(spark, d):
+    rows = answers(spark, d)
     rows = rows.withColumns({"retrieval": V.retrieval_confidence(F.col("scores")), "complete": V.citation_completeness(F.col("answer"), F.size("chunks")), "faith": V.numeric_faithfulness(F.col("answer"), F.col("chunks"))})
     r, g, c = DEFAULTS.confidence_weights
     return rows.withColumn("overall", V.harmonic_mean([F.col("retrieval"), F.col("faith"), F.col("complete")], [r, g, c]))
@@ -62,18 +62,18 @@ def scored(spark):
 
 @query("FN1", f"SELECT answer_id, array_to_string({_C}, ',') AS cited FROM {A}")
 def fn1(spark, d):
-    return answers(spark).select("answer_id", F.array_join(T.cited_numbers(F.col("answer")).cast("array<string>"), ",").alias("cited"))
+    return answers(spark, d).select("answer_id", F.array_join(T.cited_numbers(F.col("answer")).cast("array<string>"), ",").alias("cited"))
 
 
 @query("JN7", f"SELECT answer_id, cast(n AS INTEGER) AS source, chunks[n] AS chunk FROM (SELECT answer_id, chunks, unnest({_C}) AS n FROM {A}) WHERE n >= 1 AND n <= len(chunks)")
 def jn7(spark, d):
-    rows = answers(spark).select("answer_id", "chunks", F.explode(T.cited_numbers(F.col("answer"))).alias("source"))
+    rows = answers(spark, d).select("answer_id", "chunks", F.explode(T.cited_numbers(F.col("answer"))).alias("source"))
     return rows.where((F.col("source") >= 1) & (F.col("source") <= F.size("chunks"))).select("answer_id", "source", F.get("chunks", F.col("source") - 1).alias("chunk"))
 
 
 @query("JN8", f"SELECT a.answer_id, c.chunk, c.score FROM {A} a LEFT JOIN (SELECT answer_id, unnest(chunks) AS chunk, unnest(scores) AS score FROM {A}) c ON c.answer_id = a.answer_id AND c.chunk = a.chunks[1]")
 def jn8(spark, d):
-    rows = answers(spark)
+    rows = answers(spark, d)
     each = rows.select("answer_id", F.explode(F.arrays_zip("chunks", "scores")).alias("z")).select("answer_id", F.col("z.chunks").alias("chunk"), F.col("z.scores").alias("score"))
     wanted = rows.select("answer_id", F.get("chunks", F.lit(0)).alias("chunk"))
     return wanted.join(each, ["answer_id", "chunk"], "left").select("answer_id", "chunk", "score")
@@ -81,22 +81,22 @@ def jn8(spark, d):
 
 @query("AGG5", f"SELECT answer_id, round(retrieval, 6) AS retrieval FROM ({_SCORED})")
 def agg5(spark, d):
-    return scored(spark).select("answer_id", F.round("retrieval", 6).alias("retrieval"))
+    return scored(spark, d).select("answer_id", F.round("retrieval", 6).alias("retrieval"))
 
 
 @query("AGG6", f"SELECT answer_id, round(complete, 6) AS complete FROM ({_SCORED})")
 def agg6(spark, d):
-    return scored(spark).select("answer_id", F.round("complete", 6).alias("complete"))
+    return scored(spark, d).select("answer_id", F.round("complete", 6).alias("complete"))
 
 
 @query("AGG7", f"SELECT answer_id, round(faith, 6) AS faith FROM ({_SCORED})")
 def agg7(spark, d):
-    return scored(spark).select("answer_id", F.round("faith", 6).alias("faith"))
+    return scored(spark, d).select("answer_id", F.round("faith", 6).alias("faith"))
 
 
 @query("AGG8", f"SELECT answer_id, round(overall, 6) AS overall FROM ({_OVERALL})")
 def agg8(spark, d):
-    return scored(spark).select("answer_id", F.round("overall", 6).alias("overall"))
+    return scored(spark, d).select("answer_id", F.round("overall", 6).alias("overall"))
 
 
 _LABEL = "CASE WHEN overall >= 0.75 THEN 'HIGH' WHEN overall >= 0.5 THEN 'MEDIUM' WHEN overall >= 0.35 THEN 'LOW' ELSE 'VERY_LOW' END"
@@ -105,7 +105,7 @@ _LABEL = "CASE WHEN overall >= 0.75 THEN 'HIGH' WHEN overall >= 0.5 THEN 'MEDIUM
 @query("AGG9", f"SELECT answer_id, round_even(overall, 4) AS overall, {_LABEL} AS label, overall >= {DEFAULTS.confidence_min} AS passed FROM ({_OVERALL})")
 def agg9(spark, d):
     o = F.col("overall")
-    return scored(spark).select("answer_id", F.bround(o, 4).alias("overall"), V.label(o).alias("label"), (o >= DEFAULTS.confidence_min).alias("passed"))
+    return scored(spark, d).select("answer_id", F.bround(o, 4).alias("overall"), V.label(o).alias("label"), (o >= DEFAULTS.confidence_min).alias("passed"))
 
 
 _ISSUES = f"""SELECT answer_id, overall, cast(len(list_filter({_C}, lambda c: c < 1 OR c > len(chunks))) + CASE WHEN len({_C}) = 0 AND length(answer) > 100 THEN 1 ELSE 0 END
@@ -114,24 +114,33 @@ _ISSUES = f"""SELECT answer_id, overall, cast(len(list_filter({_C}, lambda c: c
 
 @query("ORC3", f"SELECT answer_id, issues, CASE WHEN issues = 0 THEN 'PASS' WHEN overall < {DEFAULTS.confidence_min} * 0.7 OR issues >= 3 THEN 'FAIL' ELSE 'WARN' END AS guard FROM ({_ISSUES})")
 def orc3(spark, d):
-    rows = scored(spark).withColumn("issues", V.guard_issues(F.col("answer"), F.col("chunks"), F.col("overall")))
+    rows = scored(spark, d).withColumn("issues", V.guard_issues(F.col("answer"), F.col("chunks"), F.col("overall")))
     return rows.select("answer_id", "issues", V.guard_result(F.col("issues"), F.col("overall")).alias("guard"))
 
 
-REFUSAL = "The available documents do not hold enough information to answer this."
+REFUSAL = V.REFUSAL
+#: Of some turns nothing was retrieved; the questions share words with the first source, or hardly any.
+_ASKED = "CASE WHEN doc_id % 5 = 0 THEN 'unrelated' ELSE substring(text, 1, 40) END"
+_SET = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
+_GUARD = f"CASE WHEN issues = 0 THEN 'PASS' WHEN overall < {DEFAULTS.confidence_min} * 0.7 OR issues >= 3 THEN 'FAIL' ELSE 'WARN' END"
 
 
-@query("ORC2", f"SELECT answer_id, CASE WHEN overall < {DEFAULTS.confidence_min} OR issues >= 3 THEN '{REFUSAL}' ELSE answer END AS reply, CASE WHEN overall < {DEFAULTS.confidence_min} OR issues >= 3 THEN 'refused' ELSE 'answered' END AS outcome FROM (SELECT i.*, a.answer FROM ({_ISSUES}) i JOIN {A} a USING (answer_id))")
+@query("ORC2", f"""WITH g AS (SELECT i.answer_id, i.overall, a.answer, {_GUARD} AS guard, len(list_filter(a.chunks, lambda c: len(list_intersect({_SET.format(_ASKED)}, {_SET.format('c')})) >= 2)) AS found FROM ({_ISSUES}) i JOIN {A} a USING (answer_id) JOIN documents d ON d.doc_id = i.answer_id),
+r AS (SELECT *, CASE WHEN answer_id % 11 = 0 THEN 'no sources' WHEN found = 0 THEN 'no evidence' WHEN guard = 'FAIL' OR overall < {DEFAULTS.confidence_min} THEN 'low confidence' END AS reason FROM g)
+SELECT answer_id, reason, CASE WHEN reason IS NULL THEN 'answered' ELSE 'refused' END AS outcome, CASE WHEN reason IN ('no sources', 'no evidence') OR guard = 'FAIL' THEN '{REFUSAL}' WHEN guard = 'WARN' THEN answer || '{V.NOTE}' ELSE answer END AS reply FROM r""")
 def orc2(spark, d):
-    """The last gate of a conversation turn: low confidence or a failed guard refuses."""
-    rows = scored(spark).withColumn("issues", V.guard_issues(F.col("answer"), F.col("chunks"), F.col("overall")))
-    refuse = (F.col("overall") < DEFAULTS.confidence_min) | (F.col("issues") >= 3)
-    return rows.select("answer_id", F.when(refuse, REFUSAL).otherwise(F.col("answer")).alias("reply"), F.when(refuse, "refused").otherwise("answered").alias("outcome"))
+    """Turns through all three gates: sources, evidence, confidence and guard."""
+    rows = scored(spark, d).withColumn("issues", V.guard_issues(F.col("answer"), F.col("chunks"), F.col("overall")))
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.expr(_ASKED).alias("question"))
+    given = rows.join(asked, "answer_id").withColumn("evidence", M.evidence(F.col("question"), F.col("chunks"))).withColumn("chunks", F.when(F.col("answer_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.col("chunks")))
+    return V.replies(given).select("answer_id", "reason", "outcome", "reply")
 
 
-@query("HLP18", f"SELECT '{REFUSAL}' AS refusal")
+@query("HLP18", f"SELECT conv_id, turn, '{REFUSAL}' || ' (' || left(text, 20) || ')' AS reply FROM conversations WHERE role = 'user'")
 def hlp18(spark, d):
-    return spark.range(1).select(F.lit(REFUSAL).alias("refusal"))
+    """The refusal text as the reply to every question, with its start."""
+    asked = table(spark, d, "conversations").where("role = 'user'")
+    return asked.select("conv_id", "turn", F.concat(F.lit(f"{REFUSAL} ("), F.left("text", F.lit(20)), F.lit(")")).alias("reply"))
 
 
 @query("FLT6", f"SELECT doc_id, cast(len({_numeric('text')}) AS INTEGER) AS n FROM documents")
@@ -183,22 +192,33 @@ def hlp14(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"), F.lit("").alias("answer"), F.lit(0).alias("n_contexts"))
 
 
-#: What generators put out, as written down.
-OUTPUTS = "(1, '\"Rewritten query: What is the fee?\"', 'fee?'), (2, 'rewritten standalone query What of it', 'it?'), (3, 'abc', 'original text'), (4, '  plain rewrite  ', 'x')"
+#: What generators put out, around the turns of conversations.
+RAW = "CASE turn % 4 WHEN 0 THEN '\"Rewritten query: ' || text || '\"' WHEN 1 THEN 'rewritten standalone query ' || text WHEN 2 THEN 'abc' ELSE '  ' || text || '  ' END"
+OUTPUTS = f"(SELECT conv_id, turn, {RAW} AS raw, role || ' asked' AS original FROM conversations)"
 
 
-@query("FN5", f"SELECT id, CASE WHEN length(o) < 5 THEN original ELSE o END AS cleaned FROM (SELECT id, original, trim(regexp_replace(regexp_replace(trim(raw), '^[\"'']|[\"'']$', '', 'g'), '(?i)^(rewritten\\s+(?:standalone\\s+)?query\\s*:?\\s*)', '')) AS o FROM {values(OUTPUTS, 'id, raw, original')})")
+@query("FN5", f"SELECT conv_id, turn, CASE WHEN length(o) < 5 THEN original ELSE o END AS cleaned FROM (SELECT conv_id, turn, original, trim(regexp_replace(regexp_replace(trim(raw), '^[\"'']|[\"'']$', '', 'g'), '(?i)^(rewritten\\s+(?:standalone\\s+)?query\\s*:?\\s*)', '')) AS o FROM {OUTPUTS})")
 def fn5(spark, d):
-    return inline(spark, OUTPUTS, "id, raw, original").select("id", T.clean_rewrite(F.col("raw"), F.col("original")).alias("cleaned"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(RAW).alias("raw"), F.concat("role", F.lit(" asked")).alias("original"))
+    return rows.select("conv_id", "turn", T.clean_rewrite(F.col("raw"), F.col("original")).alias("cleaned"))
+
+
+_T = "replace(replace(text, chr(10), ' '), '~', ' ')"
+#: Lists as generators write them, of the texts of conversations; lines are parted by '~'.
+LISTS = (
+    f"CASE (conv_id + turn) % 3 WHEN 0 THEN '1. ' || substring({_T}, 1, 40) || '~2) second one here~<think>~3. abc~' || substring({_T}, 41, 40) WHEN 1 THEN substring({_T}, 1, 50) || '~another plain line' "
+    f"ELSE '1. variant number one~2. ' || substring({_T}, 1, 30) || '~3. variant number three~4. ' || substring({_T}, 31, 30) END"
+)
+_LINES = f"SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS ord FROM (SELECT id, list_transform(string_split(raw, '~'), lambda x: trim(x)) AS l FROM (SELECT conv_id * 1000 + turn AS id, {LISTS} AS raw FROM conversations))"
 
 
-LISTS = "(1, '1. first question~2) second one here~<think>~3. abc~plain line here'), (2, 'only a plain line~another plain line'), (3, '1. variant number one~2. variant number two~3. variant number three~4. variant four')"
-_LINES = f"SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS ord FROM (SELECT id, list_transform(string_split(raw, '~'), lambda x: trim(x)) AS l FROM {values(LISTS, 'id, raw')})"
+def generated(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.replace(F.expr(LISTS), F.lit("~"), F.lit("\n")).alias("raw"))
 
 
 @query("FN6", f"SELECT id, string_agg(q, '|' ORDER BY ord) AS items FROM (SELECT id, ord, trim(regexp_replace(line, '^\\d+[.)]\\s*', '')) AS q FROM ({_LINES}) WHERE line <> '' AND NOT regexp_matches(line, '^</?\\w+>$')) WHERE length(q) > 5 GROUP BY id")
 def fn6(spark, d):
-    rows = inline(spark, LISTS, "id, raw").withColumn("raw", F.replace("raw", F.lit("~"), F.lit("\n")))
+    rows = generated(spark, d)
     return rows.select("id", F.array_join(T.numbered_items(F.col("raw")), "|").alias("items"))
 
 
@@ -208,13 +228,14 @@ def fn6(spark, d):
     FROM (SELECT id, ord, line, regexp_matches(line, '^[\\d\\-*]+[.)]\\s*.+') AS listed, trim(regexp_extract(line, '^[\\d\\-*]+[.)]\\s*(.+)', 1)) AS item FROM ({_LINES})))
   WHERE (listed AND length(q) > 5) OR (NOT listed AND length(q) > 10 AND earlier = 0 AND nth = 1)) WHERE n <= 3 GROUP BY id""")
 def fn7(spark, d):
-    rows = inline(spark, LISTS, "id, raw").withColumn("raw", F.replace("raw", F.lit("~"), F.lit("\n")))
+    rows = generated(spark, d)
     return rows.select("id", F.array_join(T.variants(F.col("raw"), 3), "|").alias("variants"))
 
 
-VRAM = "(1, 7000000000, 'none'), (2, 7000000000, '8bit'), (3, 13000000000, '4bit')"
+#: Parts as models: a size in parameters and a quantization.
+_N, _Q = "cast(p_size AS bigint) * 250000000 + p_partkey", "CASE p_partkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN '8bit' ELSE '4bit' END"
 
 
-@query("FN17", f"SELECT id, round(n * CASE q WHEN '4bit' THEN 0.5 WHEN '8bit' THEN 1.0 ELSE 2.0 END::DOUBLE / 1073741824.0::DOUBLE * 1.2::DOUBLE, 6) AS gb FROM {values(VRAM, 'id, n, q')}")
+@query("FN17", f"SELECT id, round(n * CASE q WHEN '4bit' THEN 0.5 WHEN '8bit' THEN 1.0 ELSE 2.0 END::DOUBLE / 1073741824.0::DOUBLE * 1.2::DOUBLE, 6) AS gb FROM (SELECT p_partkey AS id, {_N} AS n, {_Q} AS q FROM part)")
 def fn17(spark, d):
-    return inline(spark, VRAM, "id, n, q").select("id", F.round(T.vram_gb(F.col("n"), F.col("q")), 6).alias("gb"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(T.vram_gb(F.expr(_N), F.expr(_Q)), 6).alias("gb"))

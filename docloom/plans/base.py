@@ -31,12 +31,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def inline(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    """A table of literals; the same rows serve DuckDB as ``(VALUES rows) t(columns)``."""
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
-
-
-def values(rows: str, columns: str) -> str:
-    return f"(SELECT * FROM (VALUES {rows}) AS t({columns}))"

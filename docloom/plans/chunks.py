@@ -90,17 +90,6 @@ def chk13(spark, d):
     return gated(spark, d).where(C.reject_reason().isNull()).groupBy(F.when(F.col("is_parent"), "parent").otherwise("line").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SNK4", _GATED + "SELECT count(*) FILTER (NOT is_parent) AS main, count(*) FILTER (is_parent) AS parents FROM gated WHERE reason IS NULL")
-def snk4(spark, d):
-    return gated(spark, d).where(C.reject_reason().isNull()).agg(F.count_if(~F.col("is_parent")).alias("main"), F.count_if("is_parent").alias("parents"))
-
-
-@query("SNK5", _GATED + "SELECT count(*) AS n FROM gated WHERE reason IS NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
-def snk5(spark, d):
-    gone = table(spark, d, "documents").where("lang = 'fr'").select("doc_id")
-    return gated(spark, d).where(C.reject_reason().isNull()).join(gone, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("CHK14", _GATED + "SELECT doc_id, cast(ord AS integer) AS ord, cast(is_parent AS integer) AS is_parent, tok AS token_count FROM gated")
 def chk14(spark, d):
     return gated(spark, d).select("doc_id", F.col("ord").cast("int").alias("ord"), F.col("is_parent").cast("int").alias("is_parent"), "token_count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -9,19 +10,19 @@ from ..functions import text as T
 from ..functions.folds import pack_words
 from ..functions.words import CATEGORY_KEYWORDS, DEFAULT_TOPIC, ENTITY_PATTERNS, PRODUCTS, TOPIC_KEYWORDS
 from ..operators import memory as M
-from .base import inline, query, table, values
+from .base import query, table
 
-#: Messages with words of the domain, as the synthetic conversations have none.
-MESSAGES = (
-    "(1, 0, 'user', 'My home loan LN-1234567 and savings account'), (1, 1, 'assistant', 'The interest rate is 8.5% p.a. for a home loan'), (1, 2, 'user', 'Open a fixed deposit of rs. 5,00,000 and also a complaint? Really?'), "
-    "(1, 3, 'assistant', 'Ticket TKT-654321 lodged with the ombudsman'), (2, 0, 'user', 'hello there'), (2, 1, 'assistant', 'upi and net banking'), (2, 2, 'user', ' '), (2, 3, 'user', 'transfer 10 lakh by neft'), (3, 0, 'user', 'balance of account 123456789012345')"
-)
-COLS = "conv_id, turn, role, text"
-MSG = values(MESSAGES, COLS)
+#: Words of the domain, which the synthetic conversations lack, said in some of their turns; some turns are blank.
+SAID = (
+    "My home loan LN-1234567 and savings account", "The interest rate is 8.5% p.a. for a home loan", "Open a fixed deposit of rs. 5,00,000 and also a complaint? Really?", "Ticket TKT-654321 lodged with the ombudsman",
+    "upi and net banking", "transfer 10 lakh by neft", "balance of account 123456789012345",
+)
+TEXT = "CASE (conv_id * 5 + turn) % 11 " + " ".join(f"WHEN {i} THEN text || ' {said}'" for i, said in enumerate(SAID)) + " WHEN 9 THEN ' ' ELSE text END"
+MSG = f"(SELECT conv_id, turn, role, {TEXT} AS text FROM conversations)"
 
 
-def messages(spark):
-    return inline(spark, MESSAGES, COLS)
+def messages(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.expr(TEXT).alias("text"))
 
 
 def _hits(keys: tuple[str, ...]) -> str:
@@ -39,7 +40,7 @@ _CATEGORY, _TOPIC = _best(CATEGORY_KEYWORDS, True), _best(TOPIC_KEYWORDS, False)
 
 @query("FLT2", f"SELECT conv_id, turn, {_CATEGORY} AS category FROM {MSG}")
 def flt2(spark, d):
-    return messages(spark).select("conv_id", "turn", T.category_of(F.col("text")).alias("category"))
+    return messages(spark, d).select("conv_id", "turn", T.category_of(F.col("text")).alias("category"))
 
 
 @query("FLT3", "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{0900}-\\x{097F}]') THEN 'hi' ELSE 'en' END AS script FROM documents")
@@ -50,12 +51,12 @@ def flt3(spark, d):
 @query("FLT4", f"SELECT conv_id, turn, {_CATEGORY} AS doc_category, 'en' AS language FROM {MSG}")
 def flt4(spark, d):
     f = T.filters_of(F.col("text"))
-    return messages(spark).withColumn("f", f).select("conv_id", "turn", F.try_element_at("f", F.lit("doc_category")).alias("doc_category"), F.col("f")["language"].alias("language"))
+    return messages(spark, d).withColumn("f", f).select("conv_id", "turn", F.try_element_at("f", F.lit("doc_category")).alias("doc_category"), F.col("f")["language"].alias("language"))
 
 
 @query("FLT7", f"SELECT conv_id, turn, contains(lower(text), ' and also ') OR contains(lower(text), ' as well as ') OR contains(lower(text), ' additionally ') OR contains(lower(text), ' moreover ') OR len(regexp_extract_all(text, '\\?')) > 1 AS compound FROM {MSG}")
 def flt7(spark, d):
-    return messages(spark).select("conv_id", "turn", T.is_compound(F.col("text")).alias("compound"))
+    return messages(spark, d).select("conv_id", "turn", T.is_compound(F.col("text")).alias("compound"))
 
 
 @query("FLT8", "SELECT e.user_id, count(*) AS n FROM events e WHERE e.user_id = 7 AND e.event_type <> 'error' GROUP BY 1")
@@ -65,7 +66,7 @@ def flt8(spark, d):
 
 @query("AGG15", f"SELECT conv_id, turn, {_TOPIC} AS topic FROM {MSG}")
 def agg15(spark, d):
-    return messages(spark).select("conv_id", "turn", T.topic_of(F.col("text")).alias("topic"))
+    return messages(spark, d).select("conv_id", "turn", T.topic_of(F.col("text")).alias("topic"))
 
 
 _ACTIVE = f"SELECT conv_id, turn, text, coalesce(last_value({_TOPIC} IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '{DEFAULT_TOPIC}') AS active FROM {MSG}"
@@ -74,7 +75,7 @@ _LEFT = f"SELECT *, CASE WHEN coalesce(lag(active) OVER (PARTITION BY conv_id OR
 
 @query("WIN4", f"SELECT a.conv_id, a.turn, a.active, coalesce((SELECT string_agg(gone, ',' ORDER BY first) FROM (SELECT gone, min(turn) AS first FROM ({_LEFT}) b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND gone IS NOT NULL GROUP BY gone)), '') AS history FROM ({_ACTIVE}) a")
 def win4(spark, d):
-    return M.topics(messages(spark), TOPIC_KEYWORDS).select("conv_id", "turn", "active", F.array_join("history", ",").alias("history"))
+    return M.topics(messages(spark, d), TOPIC_KEYWORDS).select("conv_id", "turn", "active", F.array_join("history", ",").alias("history"))
 
 
 def _found(kind: str) -> str:
@@ -88,19 +89,19 @@ _KINDS = [*ENTITY_PATTERNS, "banking_product"]
 
 @query("FN3", f"SELECT conv_id, turn, {', '.join(f'array_to_string({_found(k)}, chr(44)) AS {k}' for k in _KINDS)} FROM {MSG}")
 def fn3(spark, d):
-    rows = messages(spark).withColumn("e", T.entities(F.col("text")))
+    rows = messages(spark, d).withColumn("e", T.entities(F.col("text")))
     return rows.select("conv_id", "turn", *[F.array_join(F.col("e")[k], ",").alias(k) for k in _KINDS])
 
 
 @query("WIN5", f"SELECT a.conv_id, a.turn, coalesce((SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM (SELECT unnest({_found('banking_product')}) AS v FROM {MSG} b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn)), '') AS products FROM {MSG} a")
 def win5(spark, d):
-    rows = M.cumulative(messages(spark), T.entities(F.col("text"))["banking_product"], "products")
+    rows = M.cumulative(messages(spark, d), T.entities(F.col("text"))["banking_product"], "products")
     return rows.select("conv_id", "turn", F.array_join("products", ",").alias("products"))
 
 
 @query("HLP15", f"SELECT conv_id, string_agg(DISTINCT v, ',' ORDER BY v) AS products FROM (SELECT conv_id, unnest({_found('banking_product')}) AS v FROM {MSG}) GROUP BY conv_id")
 def hlp15(spark, d):
-    return messages(spark).select("conv_id", F.explode(T.entities(F.col("text"))["banking_product"]).alias("v")).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("products"))
+    return messages(spark, d).select("conv_id", F.explode(T.entities(F.col("text"))["banking_product"]).alias("v")).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("products"))
 
 
 _LABELS = {k: k.replace("_", " ").title() for k in _KINDS}
@@ -109,12 +110,12 @@ _LINES = ", ".join(f"CASE WHEN len({_found(k)}) > 0 THEN '- {_LABELS[k]}: ' || a
 
 @query("FN4", f"SELECT conv_id, turn, CASE WHEN len(l) > 0 THEN '=== Active Conversation Entities ===' || chr(10) || array_to_string(l, chr(10)) ELSE '' END AS context FROM (SELECT conv_id, turn, list_filter([{_LINES}], lambda x: x IS NOT NULL) AS l FROM {MSG})")
 def fn4(spark, d):
-    return messages(spark).select("conv_id", "turn", T.entity_context(T.entities(F.col("text"))).alias("context"))
+    return messages(spark, d).select("conv_id", "turn", T.entity_context(T.entities(F.col("text"))).alias("context"))
 
 
 @query("FN18", f"SELECT conv_id, turn, CASE WHEN contains(lower(text), 'balance') THEN 'balance' WHEN contains(lower(text), 'loan') OR contains(lower(text), 'interest') THEN 'loan' WHEN contains(lower(text), 'transaction') OR contains(lower(text), 'transfer') THEN 'transfer' ELSE 'help' END AS reply FROM {MSG}")
 def fn18(spark, d):
-    return messages(spark).select("conv_id", "turn", T.intent_reply(F.col("text")).alias("reply"))
+    return messages(spark, d).select("conv_id", "turn", T.intent_reply(F.col("text")).alias("reply"))
 
 
 _LAST = "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE trim(text) <> '') WHERE back <= {}"
@@ -143,7 +144,7 @@ _RECENT = f"SELECT conv_id, turn, array_to_string(list(turn || ' ' || role || ':
 
 @query("STR7_MEMORY", f"SELECT a.conv_id, a.turn, r.short_term, a.active, coalesce((SELECT string_agg(gone, ',' ORDER BY first) FROM (SELECT gone, min(turn) AS first FROM ({_LEFT}) b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND gone IS NOT NULL GROUP BY gone)), '') AS history, {_SO_FAR} FROM ({_ACTIVE}) a JOIN ({_RECENT}) r ON r.conv_id = a.conv_id AND r.turn = a.turn")
 def str7_memory(spark, d):
-    rows = M.memory(messages(spark), TOPIC_KEYWORDS, T.entities(F.col("text")), _KINDS, 2 * DEFAULTS.short_term_turns)
+    rows = M.memory(messages(spark, d), TOPIC_KEYWORDS, T.entities(F.col("text")), _KINDS, 2 * DEFAULTS.short_term_turns)
     line = lambda x: F.concat(x["turn"].cast("string"), F.lit(" "), x["role"], F.lit(": "), x["text"])
     return rows.select("conv_id", "turn", F.array_join(F.transform("short_term", line), "\n").alias("short_term"), "active", *[F.array_join(c, ",").alias(c) for c in ("history", *_KINDS)])
 
@@ -223,17 +224,19 @@ def str3(spark, d):
     return found.select("user_id", "session", (F.col("open") <= DEFAULTS.max_sessions).alias("admitted"), "open")
 
 
-RATES = "(1, 0.0), (2, 0.0), (3, 0.0), (4, 0.1), (5, 0.2), (6, 0.2), (7, 0.3), (8, 0.3), (9, 0.4), (10, 0.4), (11, 0.5), (12, 0.5), (13, 1.6), (14, 1.7), (15, 9.0)"
+#: Events as requests of their user, close enough together that buckets run dry; times are sums of eighths, exact in both engines.
+_RATES = "SELECT user_id AS key, event_id AS seq, nth, nth * 0.375::DOUBLE + (event_id % 3) * 0.125::DOUBLE AS sec FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events)"
 
 
-@query("STR4", f"""WITH RECURSIVE r AS (SELECT seq, sec::DOUBLE AS sec FROM {values(RATES, 'seq, sec')}), b AS (
-  SELECT seq, sec, true AS allowed, 9.0::DOUBLE AS tokens FROM r WHERE seq = 1
+@query("STR4", f"""WITH RECURSIVE r AS ({_RATES}), b AS (
+  SELECT key, seq, nth, sec, true AS allowed, 9.0::DOUBLE AS tokens FROM r WHERE nth = 1
   UNION ALL
-  SELECT r.seq, r.sec, least(10, b.tokens + r.sec - b.sec) >= 1, least(10, b.tokens + r.sec - b.sec) - CASE WHEN least(10, b.tokens + r.sec - b.sec) >= 1 THEN 1 ELSE 0 END FROM b JOIN r ON r.seq = b.seq + 1)
-SELECT seq, allowed FROM b""")
+  SELECT r.key, r.seq, r.nth, r.sec, least(10, b.tokens + r.sec - b.sec) >= 1, least(10, b.tokens + r.sec - b.sec) - CASE WHEN least(10, b.tokens + r.sec - b.sec) >= 1 THEN 1 ELSE 0 END FROM b JOIN r ON r.nth = b.nth + 1 AND r.key = b.key)
+SELECT key, seq, allowed FROM b""")
 def str4(spark, d):
-    rows = inline(spark, RATES, "seq, sec").select(F.lit("a").alias("key"), "seq", F.col("sec").cast("double").alias("at"))
-    return M.rate_limit(rows).select("seq", "allowed")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (nth * 0.375 + (F.col("event_id") % 3) * 0.125).alias("at"))
+    return M.rate_limit(rows).select("key", "seq", "allowed")
 
 
 @query("STR8", "SELECT event_type, count(*) AS n, round(avg(round(value * 1000, 2)), 2) AS mean_ms FROM events GROUP BY event_type")
@@ -270,7 +273,7 @@ def smp1(spark, d):
 @query("CHK15", None)
 def chk15(spark, d):
     parts = T.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(pack_words(parts, 25)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(pack_words(parts, 25)).alias("pack", "text"))
 
 
 @query("STR_TUMBLE", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import fresh_folder
 from ..functions.text import cache_name, title_of
 from ..operators import registry as R
-from .base import inline, query, table, values
+from ..sources.files import read_links
+from .base import query, table
 
 URL = "'https://docs.example/' || source || '/file_' || doc_id || '.pdf'"
 STATUS = "CASE WHEN n_chars < 400 THEN 'pending' WHEN n_chars < 800 THEN 'failed' WHEN n_chars < 1000 THEN 'deleted' ELSE 'indexed' END"
 #: The registry holds all documents but the German ones; the listing all but the Spanish, long ones changed.
 REGISTRY = f"SELECT cast(doc_id AS string) AS doc_id, {URL} AS source_url, md5(text) AS content_hash, {STATUS} AS status, 1 AS version, source AS category, lang AS language, cast(n_chars AS bigint) AS stamp, 0 AS retry_count FROM documents WHERE lang <> 'de'"
 LISTING = "SELECT cast(doc_id AS string) AS file_id, md5(CASE WHEN n_chars > 3000 THEN upper(text) ELSE text END) AS md5, cast(n_chars AS bigint) AS modified FROM documents WHERE lang <> 'es'"
-LINKS = "('https://docs.example/a.pdf', ' Alpha ', 'pdf'), (' https://docs.example/b.pdf', 'Beta', NULL), ('', 'Empty', 'pdf'), ('https://docs.example/c.html', 'Gamma', 'html'), ('https://docs.example/d.pdf', 'Delta', 'pdf')"
-KNOWN = "('1', 'https://docs.example/a.pdf', 'indexed'), ('2', 'https://docs.example/z.pdf', 'failed')"
+#: Pages as a list of links: some of another type or none, some blank, some known to a registry.
+_LINK = {"url": "CASE page_id % 7 WHEN 0 THEN ' ' || url || ' ' WHEN 1 THEN '  ' ELSE url END", "title": "' Page ' || page_id || ' '", "type": "CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN NULL ELSE 'pdf' END"}
+LINKS = f"(SELECT {', '.join(f'{x} AS {c}' for c, x in _LINK.items())} FROM pages)"
+_STATUS = "CASE WHEN page_id % 2 = 0 THEN 'indexed' ELSE 'failed' END"
+KNOWN = f"(SELECT page_id::VARCHAR AS doc_id, url AS source_url, {_STATUS} AS status FROM pages WHERE page_id % 3 = 0)"
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", *[F.expr(x).alias(c) for c, x in _LINK.items()])
 
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
@@ -40,19 +49,24 @@ DUCK_REGISTRY = REGISTRY.replace("AS string", "AS varchar")
 DUCK_LISTING = LISTING.replace("AS string", "AS varchar")
 
 
-@query("SRC1", f"SELECT trim(url) AS url, title FROM {values(LINKS, 'url, title, type')} WHERE coalesce(type, 'pdf') = 'pdf'")
+@query("SRC1", f"SELECT trim(url) AS url, title FROM {LINKS} WHERE coalesce(type, 'pdf') = 'pdf'")
 def src1(spark, d):
-    return inline(spark, LINKS, "url, title, type").where("coalesce(type, 'pdf') = 'pdf'").select(F.trim("url").alias("url"), "title")
+    """Link lists of a hundred links each, written as JSON lines and read back."""
+    lists = links(spark, d).groupBy(F.floor(F.col("page_id") / 100).alias("list")).agg(F.collect_list(F.struct(*_LINK)).alias("documents"))
+    folder = fresh_folder(spark, "links")
+    lists.select("documents").write.json(folder)
+    return read_links(spark, folder, lines=True).select(F.trim("url").alias("url"), "title")
 
 
 _DISCOVER = f"""SELECT l.url, l.title, CASE WHEN r.doc_id IS NULL THEN 'new' ELSE 'known' END AS state, r.doc_id AS known_id, coalesce(r.status, 'pending') AS status
-FROM (SELECT trim(url) AS url, trim(title) AS title FROM {values(LINKS, 'url, title, type')} WHERE coalesce(type, 'pdf') = 'pdf' AND trim(url) <> '') l
-LEFT JOIN {values(KNOWN, 'doc_id, source_url, status')} r ON l.url = r.source_url"""
+FROM (SELECT trim(url) AS url, trim(title) AS title FROM {LINKS} WHERE coalesce(type, 'pdf') = 'pdf' AND trim(url) <> '') l
+LEFT JOIN {KNOWN} r ON l.url = r.source_url"""
 
 
 @query("SRC2", _DISCOVER)
 def src2(spark, d):
-    return R.discover(inline(spark, LINKS, "url, title, type"), inline(spark, KNOWN, "doc_id, source_url, status"))
+    known = table(spark, d, "pages").where("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("source_url"), F.expr(_STATUS).alias("status"))
+    return R.discover(links(spark, d), known)
 
 
 @query("SRC5", "SELECT page_id, CASE WHEN lower(name) LIKE '%.pdf' THEN name ELSE name || '.pdf' END AS file_name FROM (SELECT page_id, CASE WHEN raw = '' THEN 'document' ELSE raw END AS name FROM (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1) AS raw FROM pages))")

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a JSON list {documents: [{url, title, category, type}]}; a missing type is pdf."""
-    tree = spark.read.schema("documents array<struct<url:string,title:string,category:string,type:string>>").option("multiLine", True).json(path)
+def read_links(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of JSON lists {documents: [{url, title, category, type}]}, one a file or, with ``lines``, one a line; a missing type is pdf."""
+    tree = spark.read.schema("documents array<struct<url:string,title:string,category:string,type:string>>").option("multiLine", not lines).json(path)
     return tree.select(F.inline("documents")).where(F.coalesce("type", F.lit("pdf")) == "pdf")
 
 
