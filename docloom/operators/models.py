@@ -30,6 +30,14 @@ def embed(texts: DataFrame) -> DataFrame:
 CACHE = "text_hash string, vec array<double>"
 
 
+def text_vectors(texts: DataFrame, dimension: int = DIMENSION) -> DataFrame:
+    """Distinct (text_hash, text) -> text_hash, vec as ``hash_embedding`` has it, by counting words; linear in texts of any length."""
+    slots = texts.select("text_hash", F.explode(words(F.col("text"))).alias("w")).groupBy("text_hash", F.pmod(F.xxhash64("w"), F.lit(dimension)).cast("int").alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = slots.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("size"), F.lit(0.0)))
+    return texts.select("text_hash").join(counts, "text_hash", "left").select("text_hash", vec.alias("vec"))
+
+
 def embed_cached(texts: DataFrame, folder: str, segment: int) -> DataFrame:
     """Texts (text, ...) with text_hash, vec and the segment of the cache that holds it.
 
@@ -41,7 +49,7 @@ def embed_cached(texts: DataFrame, folder: str, segment: int) -> DataFrame:
     hashed = texts.withColumn("text_hash", F.md5(F.coalesce("text", F.lit(""))))
     held = read_segments(spark, folder, CACHE, before=segment)
     fresh = hashed.join(held.select("text_hash").distinct(), "text_hash", "left_anti").groupBy("text_hash").agg(F.first(F.coalesce("text", F.lit(""))).alias("_t"))
-    write_segment(fresh.select("text_hash", hash_embedding(F.col("_t")).alias("vec")), folder, segment)
+    write_segment(text_vectors(fresh.withColumnRenamed("_t", "text")), folder, segment)
     return hashed.join(latest(read_segments(spark, folder, CACHE, before=segment + 1), "text_hash"), "text_hash")
 
 

@@ -16,7 +16,7 @@ from ..functions.words import DEFAULT_TOPIC
 MEMORY = "turn long, turns array<struct<turn:long,role:string,text:string>>, active string, history array<string>, found array<struct<kind:string,value:string>>"
 
 
-def remembered(turns: DataFrame, lists: dict[str, tuple[str, ...]], found: Column, n: int = 2 * DEFAULTS.short_term_turns, minutes: float = DEFAULTS.session_ttl_minutes) -> DataFrame:
+def remembered(turns: DataFrame, lists: dict[str, tuple[str, ...]], found: Column, n: int = 2 * DEFAULTS.short_term_turns, minutes: float | None = None) -> DataFrame:
     """Turns (conv_id, turn, role, text) -> conv_id, turn, turns, active, history, found, expired.
 
     A conversation with new turns gives one row in each batch: its last n turns, the active
@@ -24,8 +24,9 @@ def remembered(turns: DataFrame, lists: dict[str, tuple[str, ...]], found: Colum
     as ``operators.memory`` has them after its last turn. Topics and entities are found by columns; the
     state only joins them to what it holds, so it grows with n and the entities. Blank
     turns are not remembered; a turn that comes after a later one of an earlier batch is too late
-    and is left out. A conversation without turns for ``minutes`` gives a last row with
-    expired true, and is forgotten.
+    and is left out. With ``minutes``, a conversation without turns for so long gives a last
+    row with expired true, and is forgotten; such a stream runs on, as the clock may end a
+    conversation at any time, so it is no stream for ``availableNow``.
     """
     pairs = F.flatten(F.transform(F.map_entries(found), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("kind"), v.alias("value")))))
     rows = turns.where("conv_id is not null and trim(text) <> ''").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", topic_of(F.col("text"), lists).alias("topic"), pairs.alias("pairs"))
@@ -54,8 +55,9 @@ def remembered(turns: DataFrame, lists: dict[str, tuple[str, ...]], found: Colum
             entities |= set(plain(t.pairs))
         held = (turn, tuple(last[-n:]), active, tuple(history), tuple(sorted(entities)))
         state.update(held)
-        state.setTimeoutDuration(int(minutes * 60_000))
+        if minutes is not None:
+            state.setTimeoutDuration(int(minutes * 60_000))
         yield row(key, held, False)
 
     shape = f"conv_id {dict(turns.dtypes)['conv_id']}, {MEMORY}, expired boolean"
-    return rows.groupBy("conv_id").applyInPandasWithState(step, shape, MEMORY, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("conv_id").applyInPandasWithState(step, shape, MEMORY, "append", GroupStateTimeout.NoTimeout if minutes is None else GroupStateTimeout.ProcessingTimeTimeout)

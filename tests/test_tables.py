@@ -118,6 +118,8 @@ def test_vectors_are_computed_once(spark, tmp_path):
     assert sorted((r.text, r.segment) for r in again.collect()) == [("a b", 0), ("c", 1), ("c", 1)]
     assert {r.text: list(r.vec) for r in again.collect()}["a b"] == first["a b"][0]
     assert spark.read.parquet(folder).groupBy("text_hash").count().where("count > 1").count() == 0
+    alone = spark.createDataFrame([("a b",), ("",)], "text string").select("text", M.hash_embedding(F.col("text")).alias("v"))
+    assert {r.text: r.v for r in alone.collect()} == {t: pytest.approx(v) for t, (v, _) in first.items() if t is not None}
     # Two runs at once that both met a text: one row each, and one vector for the text.
     M.write_segment(M.read_segments(spark, folder, M.CACHE).where("segment = 1").drop("segment"), folder, 2)
     assert M.embed_cached(frame("c"), folder, 3).select("text", "segment").collect() == [("c", 2)]
