@@ -282,11 +282,17 @@ class Encoder:
         return [d.hexdigest() for d in digests]
 
 
+_decimals = np.zeros(0, object)
+
+
 def ids_sha256(ids: np.ndarray) -> str:
-    """SHA-256 of the decimal ids with a space between them."""
+    """SHA-256 of the decimal ids with a space between them; the digits of an id are made once."""
+    global _decimals
+    if len(ids) and int(ids.max()) >= len(_decimals):
+        _decimals = np.array([str(i) for i in range(int(ids.max()) + 1)], object)
     digest = hashlib.sha256()
     for lo in range(0, len(ids), STEP_TOKENS):
-        digest.update((" " * bool(lo) + " ".join(map(str, ids[lo : lo + STEP_TOKENS].tolist()))).encode())
+        digest.update((" " * bool(lo) + " ".join(_decimals[ids[lo : lo + STEP_TOKENS]].tolist())).encode())
     return digest.hexdigest()
 
 
