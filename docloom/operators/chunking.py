@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +65,28 @@ def first_of_equal_texts(chunks: DataFrame, order: list[str], by_parent: bool =
     """The first chunk in emission order of each md5(doc_id:text); with by_parent, parents and children apart."""
     key = ["doc_id", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text"))] + (["is_parent"] if by_parent else [])
     return chunks.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """A way to chunk: ``build`` makes rows (doc_id, chunk_no, text) of documents, ``fault`` says why it cannot take one (null: it can)."""
+
+    name: str
+    build: Callable[[DataFrame], DataFrame]
+    fault: Column | None = None
+
+
+def orchestrate(docs: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """All strategies in order: doc_id, place, strategy, chunk_no, text, error.
+
+    A document that a strategy cannot take gives one row with the error in its place, and
+    neither the other strategies nor the other documents lose anything.
+    """
+    none, out = F.lit(None).cast("string"), None
+    for place, one in enumerate(strategies):
+        judged = docs.withColumn("_fault", none if one.fault is None else one.fault)
+        made = one.build(judged.where("_fault is null").drop("_fault")).select("doc_id", F.lit(place).alias("place"), F.lit(one.name).alias("strategy"), F.col("chunk_no").cast("int").alias("chunk_no"), "text", none.alias("error"))
+        lost = judged.where("_fault is not null").select("doc_id", F.lit(place).alias("place"), F.lit(one.name).alias("strategy"), F.lit(None).cast("int").alias("chunk_no"), none.alias("text"), F.col("_fault").alias("error"))
+        both = made.unionByName(lost)
+        out = both if out is None else out.unionByName(both)
+    return out

@@ -146,6 +146,13 @@ def table_chunks(headers: Column, rows: Column, s: Settings = DEFAULTS) -> Colum
     return F.when(F.size(rows) == 0, F.array().cast("array<string>")).when(estimate_tokens(whole) <= s.table_row_threshold, F.array(whole)).otherwise(pack_rows(row_chunks(headers, rows), s.table_max_tokens))
 
 
+def document_tables(docs: DataFrame, tables: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Chunks (doc_id, chunk_no, text) of documents' tables (doc_id, tbl, headers, rows), in the order of the tables."""
+    cut = tables.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "tbl", table_chunks(F.col("headers"), F.col("rows"), s).alias("chunks"))
+    listed = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tbl", "chunks"))).alias("t"))
+    return listed.select("doc_id", F.posexplode(F.flatten(F.transform("t", lambda x: x["chunks"]))).alias("chunk_no", "text"))
+
+
 BLOCK = r"(?is)<(h[1-6]|p|li)\b[^>]*>(.*?)</\1\s*>"
 
 

@@ -11,7 +11,7 @@ from ..operators import chunking as C
 from ..operators import parsing as P
 from ..operators import tables as E
 from .base import query, table
-from .chunks import LINES
+from .chunks import _PARENTS, LINES
 
 #: Lines of documents as laid-out spans: some as headings, list items and capitals, in several sizes and places.
 SPAN = {
@@ -274,6 +274,19 @@ def chk9(spark, d):
     return grouped.select("c_nationkey", F.posexplode(chunks).alias("chunk_no", "text")).select("c_nationkey", "chunk_no", estimate_tokens(F.col("text")).alias("tokens"), F.md5("text").alias("digest"))
 
 
+@query("CHK12_FAULTS", _PARENTS + f"""SELECT doc_id, 0 AS place, 'parent' AS strategy, count(*) AS n, NULL AS error FROM parents WHERE doc_id % 7 <> 3 GROUP BY doc_id UNION ALL SELECT doc_id, 0, 'parent', 0, 'unreadable' FROM documents WHERE doc_id % 7 = 3
+UNION ALL SELECT doc_id, 1, 'line', count(*), NULL FROM u GROUP BY doc_id
+UNION ALL SELECT doc_id, 2, 'table', count(*), NULL FROM {_CONV} WHERE len(rows) > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars % 7 <> 0) GROUP BY doc_id UNION ALL SELECT doc_id, 2, 'table', 0, 'broken tables' FROM documents WHERE n_chars % 7 = 0""")
+def chk12_faults(spark, d):
+    """Parents, lines and tables of all documents, where two of the strategies fail on some of them."""
+    strategies = [
+        C.Strategy("parent", C.parents, F.expr("CASE WHEN doc_id % 7 = 3 THEN 'unreadable' END")),
+        C.Strategy("line", lambda docs: C.paragraphs(docs).withColumnRenamed("ord", "chunk_no")),
+        C.Strategy("table", lambda docs: P.document_tables(docs, converted(spark, d)), F.expr("CASE WHEN n_chars % 7 = 0 THEN 'broken tables' END")),
+    ]
+    return C.orchestrate(table(spark, d, "documents"), strategies).groupBy("doc_id", "place", "strategy", "error").agg(F.count("text").alias("n"))
+
+
 _ITEMS = f"SELECT doc_id, string_agg(repeat('  ', CASE WHEN x0 <= 55 THEN 0 WHEN x0 <= 75 THEN 1 ELSE 2 END) || '- ' || trim(text), chr(10) ORDER BY ord) AS md FROM {SP} GROUP BY doc_id"
 
 

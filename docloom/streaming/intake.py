@@ -94,7 +94,9 @@ def intake(spark: SparkSession, source: str, folder: str, checkpoint: str, files
 
     stamp = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"))
     rows = spark.readStream.schema(SOURCE).option("maxFilesPerTrigger", files).parquet(as_pattern(source)).select("doc_id", "text", "lang", "source", stamp.alias("stamp"))
-    rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    log.info("read %d rows of new files", sum(p.numInputRows for p in query.recentProgress))
     return done
 
 

@@ -118,3 +118,19 @@ def test_forty_variants_of_a_query_stay_its_own(spark):
     _, counts = search_run.retrieve(asked, corpus, parents, near=2.0)
     alone = {q: search_run.retrieve(asked.where(F.col("query_id") == q), corpus, parents, near=2.0)[1].first().candidates for q in "ab"}
     assert {r.query_id: r.candidates for r in counts.collect()} == alone
+
+
+def test_a_failing_strategy_loses_only_its_own_chunks(spark):
+    from docloom.operators import chunking as C
+    from docloom.operators import parsing as P
+
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "c"), (3, None), (4, " ")], "doc_id int, text string")
+    tables = spark.createDataFrame([(1, 2, ["H"], [["x"]]), (1, 1, ["K"], [["y"], ["z"]]), (2, 1, ["H"], []), (9, 1, ["H"], [["lost"]])], "doc_id int, tbl int, headers array<string>, rows array<array<string>>")
+    strategies = [
+        C.Strategy("line", lambda d: C.paragraphs(d).withColumnRenamed("ord", "chunk_no"), F.expr("CASE WHEN doc_id = 1 THEN 'broken' WHEN text IS NULL THEN 'no text' END")),
+        C.Strategy("table", lambda d: P.document_tables(d, tables)),
+    ]
+    got = {(r.doc_id, r.place, r.strategy, r.chunk_no, r.text, r.error) for r in C.orchestrate(docs, strategies).collect()}
+    line = lambda h, *rows: "\n".join([f"| {h} |", "| --- |", *(f"| {x} |" for x in rows)])
+    assert got == {(1, 0, "line", None, None, "broken"), (3, 0, "line", None, None, "no text"), (2, 0, "line", 1, "c", None), (1, 1, "table", 0, line("K", "y", "z"), None), (1, 1, "table", 1, line("H", "x"), None)}
+    assert C.orchestrate(docs.limit(0), strategies).collect() == []
