@@ -19,6 +19,8 @@ class Settings:
     heading_sizes: tuple[float, float, float, float] = (16.0, 13.0, 11.0, 10.5)
     footnote_fraction: float = 0.88
     table_quality_min: float = 0.25
+    history_turns: int = 5
+    variants: int = 3
     dense_k: int = 20
     sparse_k: int = 20
     rrf_k: int = 60

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_compound, words
+from ..functions.text import COMPOUND, is_compound, words
 from ..sources.segments import latest, read_segments, write_segment
 
 DIMENSION = 64
@@ -23,8 +23,7 @@ def hash_embedding(text: Column, dimension: int = DIMENSION) -> Column:
 def embed(texts: DataFrame) -> DataFrame:
     """Texts (text, ...) with their vectors; each distinct text is computed once and joined back by digest."""
     hashed = texts.withColumn("text_hash", F.md5("text"))
-    done = hashed.groupBy("text_hash").agg(F.first("text").alias("_t")).select("text_hash", hash_embedding(F.col("_t")).alias("vec"))
-    return hashed.join(done, "text_hash")
+    return hashed.join(text_vectors(hashed.groupBy("text_hash").agg(F.first("text").alias("text"))), "text_hash")
 
 
 CACHE = "text_hash string, vec array<double>"
@@ -53,9 +52,12 @@ def embed_cached(texts: DataFrame, folder: str, segment: int) -> DataFrame:
     return hashed.join(latest(read_segments(spark, folder, CACHE, before=segment + 1), "text_hash"), "text_hash")
 
 
+_JOINING = "|".join(COMPOUND)
+
+
 def sub_queries(query: Column) -> Column:
     """Parts of a compound question, cut behind question marks and at joining phrases; others stay whole."""
-    parts = F.filter(F.transform(F.split(query, r"(?<=\?)|(?i) and also | as well as | additionally | moreover "), lambda p: F.trim(p)), lambda p: F.length(p) > 5)
+    parts = F.filter(F.transform(F.split(query, rf"(?i)(?<=\?)(?!{_JOINING})|{_JOINING}"), lambda p: F.trim(p)), lambda p: F.length(p) > 5)
     return F.when(is_compound(query) & (F.size(parts) > 0), parts).otherwise(F.array(query))
 
 

@@ -25,9 +25,13 @@ def retrieve(queries: DataFrame, corpus: DataFrame, parents: DataFrame, scorer:
     asked = queries.withColumn("query_id", F.struct("query_id", "variant"))
     found = S.dense_top_k(asked.select("query_id", "qvec", "only"), corpus, s.final_k)
     whole = found.withColumn("query_id", F.col("query_id.query_id"))
-    of_query = Window.partitionBy("query_id")
-    candidates = S.best_score(whole).withColumn("candidates", F.count(F.lit(1)).over(of_query))
     info = queries.groupBy("query_id").agg(F.first("text").alias("query_text"), F.first("rerank_works").alias("rerank_works"))
+    return refine(S.best_score(whole), info, corpus, parents, scorer, near, s)
+
+
+def refine(found: DataFrame, info: DataFrame, corpus: DataFrame, parents: DataFrame, scorer: Callable[[Column, Column], Column] = S.word_overlap, near: float | None = None, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """What follows a search (query_id, id, score), as (chunks, counts) of ``retrieve``; info (query_id, query_text, rerank_works)."""
+    candidates = found.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     read = candidates.join(info, "query_id").join(corpus.select("id", "vec", "text", "parent_id"), "id")
     ranked = S.rerank(read, scorer(F.col("query_text"), F.col("text")), s.rerank_k, F.col("rerank_works"))
     listed = F.array_sort(F.collect_list(F.struct("rank", "id", "score", "vec", "text", "parent_id")))

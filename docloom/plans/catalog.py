@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, chunks, dialogue, extras, ingest, layout, runs, search, stores  # noqa: F401  they register their queries
+from . import answers, chunks, dialogue, extras, ingest, layout, questions, runs, search, stores  # noqa: F401  they register their queries
 from .base import QUERIES, SQL, Query
 
 

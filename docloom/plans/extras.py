@@ -46,17 +46,6 @@ def mdl1(spark, d):
     return found.select("doc_id", "text_hash", F.size("vec").alias("dimension"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), "segment")
 
 
-@query("MDL3")
-def mdl3(spark, d):
-    """Without a history the query is passed on unchanged."""
-    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("rewritten"))
-
-
-@query("MDL4")
-def mdl4(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(M.sub_queries(F.col("text"))).alias("part", "query"))
-
-
 @query("MDL5")
 def mdl5(spark, d):
     return answers(spark, d).select("answer_id", M.evidence(F.col("answer"), F.col("chunks")).alias("evidence"))
