@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -309,6 +310,11 @@ def indexes(spark: SparkSession, items: DataFrame, shard_bytes: int = SHARD_BYTE
     ws = Workspace(spark)
     counted = ws.save(listed.select("text").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")), "terms")
     total = counted.where("term is null").first()
+    if total is None:
+        # Nothing but blank items.
+        ws.close()
+        yield build_index([])
+        return
     for k in range(shards):
         part = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         # A shard's items and their terms: bounded by its bytes.
@@ -320,22 +326,29 @@ def indexes(spark: SparkSession, items: DataFrame, shard_bytes: int = SHARD_BYTE
 
 
 def with_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, name: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with a column struct(item_ids, best_score) of that name; a pass over docs for each shard of the items."""
+    """docs with a column struct(item_ids, best_score) of that name.
+
+    With several shards of items the rows are numbered in a table that is written once;
+    each shard reads the texts of it and writes the rows with matches, and these few are
+    joined to it at the end.
+    """
     short_batches(spark)
-    ws, done = None, None
-    for index in indexes(spark, items, shard_bytes):
-        found = finder(index)(F.col("text").cast("string"))
-        if done is None:
-            done = docs.withColumn(name, found)
-            continue
-        ws = ws or Workspace(spark)
-        saved = ws.save(done, f"pass_{uuid.uuid4().hex}")
-        own = F.col(name)
-        done = saved.withColumn(f"{name}_next", found)
-        more = F.col(f"{name}_next")
-        both = F.struct(F.array_sort(F.array_distinct(F.concat(own["item_ids"], more["item_ids"]))).alias("item_ids"), F.greatest(own["best_score"], more["best_score"]).alias("best_score"))
-        done = done.withColumn(name, both).drop(f"{name}_next")
-    return done
+    shards = indexes(spark, items, shard_bytes)
+    first, second = next(shards), next(shards, None)
+    text = F.col("text").cast("string")
+    if second is None:
+        return docs.withColumn(name, finder(first)(text))
+    ws, key = Workspace(spark), unused(docs, "_row")
+    numbered = ws.save(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    parts = []
+    for k, index in enumerate(chain([first, second], shards)):
+        hits = numbered.select(F.col(key).alias("row"), finder(index)(text).alias("f")).where(F.size("f.item_ids") > 0)
+        parts.append(ws.save(hits.select("row", "f.*"), f"hits_{k}"))
+    found = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"), F.max("best_score").alias("best"))
+    found = found.select(F.col("row").alias(f"{key}_next"), F.struct(F.col("ids").alias("item_ids"), F.col("best").alias("best_score")).alias(name))
+    none = F.struct(F.array().cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("best_score"))
+    met = numbered.join(found, F.col(key) == F.col(f"{key}_next"), "left")
+    return met.withColumn(name, F.coalesce(F.col(name), none)).drop(key, f"{key}_next")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -257,18 +257,19 @@ def probability(span: Column, beta: list[float]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def find_pii(docs: DataFrame, name: str = "pii") -> DataFrame:
+def find_pii(docs: DataFrame, name: str = "pii", keep: list[str] | None = None) -> DataFrame:
     """docs with a column name: array of struct(kind, start, end, base), ordered by kind, then start.
 
     Null texts count as empty; null ids are kept; repeated rows get equal results; an
     empty table gives an empty result. Of accepted loose spans that overlap, all stay;
     a loose span that overlaps a base span never does. Places are in code points, ends
     exclusive. Texts of any length are searched whole. A column of docs that already has
-    the name is replaced; all others stay, whatever their names.
+    the name is replaced; all others stay, whatever their names. With ``keep`` only those
+    columns stay: the table of candidates, which outlives the call, holds no others.
     """
     docs = docs.drop(name)
     own = unused(docs, "_pii_found")
-    found = Workspace(docs.sparkSession).save(candidates(docs, own), "candidates")
+    found = Workspace(docs.sparkSession).save(candidates(docs, own).select(*(docs.columns if keep is None else keep), own), "candidates")
     beta = train(found, own)
     accepted = F.filter(own, lambda s: s["base"] | (probability(s, beta) >= 0.5))
     slim = F.array_sort(F.transform(accepted, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
@@ -319,7 +320,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and list of the spans of all documents; awkward rows as in ``find_pii``."""
-    spans = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("pii", lambda s: s["base"])
     n = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == KINDS.index(kind)))).cast("long").alias(f"n_{kind}")
     return spans.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
