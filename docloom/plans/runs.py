@@ -18,7 +18,7 @@ _BODY = "CASE WHEN page_id % 11 = 5 THEN html ELSE '%PDF-1.7 ' || html END"
 def responses(spark, d):
     pages = table(spark, d, "pages").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(4))))
     body = F.expr(_BODY).cast("binary")
-    return pages.select("url", "attempt", F.expr(_STATUS).alias("status"), body.alias("content"), (F.octet_length(body) + F.when(F.col("page_id") % 11 == 6, 1).otherwise(0)).alias("declared"))
+    return pages.select("url", F.col("page_id").alias("request"), "attempt", F.expr(_STATUS).alias("status"), body.alias("content"), (F.octet_length(body) + F.when(F.col("page_id") % 11 == 6, 1).otherwise(0)).alias("declared"))
 
 
 _FETCHED = f"""WITH r AS (SELECT url, page_id, attempt, {_STATUS} AS status, {_BODY} AS content FROM pages, (SELECT unnest([1, 2, 3]) AS attempt)),
