@@ -201,6 +201,60 @@ def test_dense_search_in_blocks_equals_one(spark, data):
     assert S.dense_top_k(asked.limit(0), corpus, 7).collect() == [] and S.dense_top_k(asked, corpus.limit(0), 7).collect() == []
 
 
+def test_dense_search_in_blocks_takes_ids_of_parts(spark, data):
+    """A struct's fields that cannot be null stay so in the groups' results."""
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    asked = rows.where("vec_id % 50 = 0").select(F.struct("vec_id", F.lit(0).alias("variant")).alias("query_id"), F.col("embedding").alias("qvec"), F.when(F.col("vec_id") % 100 == 50, F.col("label")).alias("only"))
+    corpus = rows.selectExpr("vec_id AS id", "embedding AS vec", "label")
+    key = lambda found: sorted(map(tuple, found.select("query_id.*", "id", "score", "rank").collect()))
+    assert key(S.dense_top_k(asked, corpus, 7, block=1)) == key(S.dense_top_k(asked, corpus, 7)) != []
+
+
+def test_best_of_equal_scores_in_few_cells(spark, monkeypatch):
+    rows = [(i, [1.0, float(i % 3)], i % 2) for i in range(40)]
+    asked = spark.createDataFrame([(q, [1.0, float(q)], q if q < 2 else None) for q in range(4)], "query_id long, qvec array<double>, only int")
+    corpus = spark.createDataFrame(rows, "id long, vec array<double>, label int").coalesce(1)
+    key = lambda: sorted(map(tuple, S.dense_top_k(asked, corpus, 5, block=2).collect()))
+    want = key()
+    monkeypatch.setattr(S, "CELLS", 1)
+    assert key() == want
+    assert [r[1] for r in want if r[0] == 0] == [0, 6, 12, 18, 24] and [r[1] for r in want if r[0] == 3] == [2, 5, 8, 11, 14]
+
+
+def test_word_search_in_blocks_equals_one(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id AS id", "text")
+    corpus = docs.unionByName(spark.createDataFrame([(-1, None), (-2, " "), (None, "the of")], "id long, text string"))
+    items = spark.read.parquet(f"{data}/benchmark.parquet").select(F.struct("item_id", F.lit(1).alias("part")).alias("query_id"), "text")
+    asked = items.unionByName(spark.createDataFrame([((-1, 1), "nothingsuch"), ((-2, 1), None)], items.schema))
+    key = lambda found: sorted((*r.query_id, r.id, round(r.score, 6)) for r in found.where("id is not null").collect())
+    assert key(S.bm25_top_k(asked, corpus, 7, block=2)) == key(S.bm25_top_k(asked, corpus, 7))
+    scores = key(S.bm25_scores(asked, corpus))
+    assert key(S.bm25_scores(asked, corpus, block=2)) == scores and len(scores) > 1000
+
+
+def test_word_search_shuffles_no_pairs(spark, data):
+    """Only each query's best are shuffled, not what it shares a word with."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id AS id", "text")
+    asked = spark.read.parquet(f"{data}/benchmark.parquet").selectExpr("item_id AS query_id", "text")
+    plan = S.bm25_scores(asked, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan.split("MapInArrow")[0]
+
+
+def test_several_downloads_of_one_url(spark):
+    from docloom.operators import ingestion as I
+
+    rows = [("u", r, a, s, b"%PDF-" + bytes([64 + r]), 6) for r, ss in ((1, (None, None, None)), (2, (200, 200, 200)), (3, (None, 404, 200))) for a, s in enumerate(ss, 1)]
+    frame = spark.createDataFrame([*rows, ("v", 4, 1, 200, b"%PDF", 5)], "url string, request long, attempt int, status int, content binary, declared int")
+    got = sorted(((r.url, r.attempts, r.error or "", r.warning or "", r.content_hash is not None) for r in I.fetched(frame).collect()))
+    assert got == [
+        ("u", 1, "", "", True), ("u", 1, "timeout", "", False), ("u", 1, "timeout", "", False),
+        ("u", 2, "", "", True), ("u", 2, "not found", "", False), ("u", 2, "timeout", "", False),
+        ("u", 3, "timeout", "", False), ("v", 1, "", "length differs", True),
+    ]
+    one = I.fetched(frame.drop("request").where("url = 'v'")).collect()
+    assert [(r.url, r.attempts, r.error, r.warning) for r in one] == [("v", 1, None, "length differs")]
+
+
 def test_expansion_keeps_the_best_child(spark):
     hits = spark.createDataFrame([(1, "c1", "p1", "child", 0.9), (1, "c2", "p1", "other", 0.5), (1, "c3", "p9", "lost", 0.4), (1, "c4", None, "alone", 0.3)], "query_id int, id string, parent_id string, text string, score double")
     parents = spark.createDataFrame([("p1", "parent text")], "id string, text string")
