@@ -13,6 +13,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,16 @@ from . import retrieval as S
 BUCKETS = 64
 
 
+def _counted(batches):
+    """Documents (id, w) -> word, id, tf: a document is one row, so its words are counted in place."""
+    for batch in batches:
+        words = pc.dictionary_encode(batch.column(1).flatten())
+        at = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())
+        n = max(len(words.dictionary), 1)
+        key, tf = np.unique(at * n + words.indices.to_numpy(), return_counts=True)
+        yield pa.record_batch([words.dictionary.take(pa.array(key % n)), batch.column(0).take(pa.array(key // n)), pa.array(tf, pa.int64())], names=["word", "id", "tf"])
+
+
 @dataclass(frozen=True)
 class WordIndex:
     spark: SparkSession
@@ -50,12 +63,13 @@ class WordIndex:
         prepare(self.spark)
         changed = rows.select(F.col("id").cast(self.id_type).alias("id"), words(F.col("text")).alias("w"))
         added = changed.where("w is not null")
-        counted = added.select("id", F.explode("w").alias("word")).groupBy("word", "id").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", self._bucket())
+        counted = added.mapInArrow(_counted, f"word string, id {self.id_type}, tf long").withColumn("bucket", self._bucket())
         # Rebalancing gives each bucket few files and splits those of very common words.
         write_segment(counted.hint("rebalance", "bucket"), f"{self.folder}/postings", segment, "bucket")
         before = self._at("live", segment - 1)
         gone = before.join(changed.select("id"), "id", "left_semi")
-        lost = self._read("postings").join(gone.select("id", F.col("born").alias("segment")), ["id", "segment"], "left_semi")
+        # Hashing the few that are gone spares a sort of all postings.
+        lost = self._read("postings").where(F.col("segment") < segment).join(gone.select("id", F.col("born").alias("segment")).hint("shuffle_hash"), ["id", "segment"], "left_semi")
         moved = self._at("vocabulary", segment - 1).select("word", "df").unionByName(self._at("postings", segment).select("word", F.lit(1).cast("long").alias("df"))).unionByName(lost.select("word", F.lit(-1).cast("long").alias("df")))
         counts = moved.groupBy("word").agg(F.sum("df").alias("df")).where("df > 0").withColumn("bucket", self._bucket())
         write_segment(counts.hint("rebalance", "bucket"), f"{self.folder}/vocabulary", segment, "bucket")
@@ -70,15 +84,17 @@ class WordIndex:
         """The segment that readers see; -1 for an index without any."""
         return last_segment(self.spark, f"{self.folder}/stats")
 
+    def _of_words(self, asked: DataFrame, segment: int, wanted: list[int]) -> DataFrame:
+        rows = self._read("postings").where(F.col("bucket").isin(wanted) & (F.col("segment") <= segment))
+        return rows.join(asked.select("word").distinct(), "word", "left_semi")
+
     def postings_of(self, asked: DataFrame, segment: int) -> DataFrame:
         """Live postings (word, id, tf, dl) of the words asked for. At most ``buckets`` numbers come to the driver."""
         wanted = [r.bucket for r in asked.select(self._bucket().alias("bucket")).distinct().collect()]
-        rows = self._read("postings").where(F.col("bucket").isin(wanted) & (F.col("segment") <= segment))
-        met = rows.join(asked.select("word").distinct(), "word", "left_semi")
-        return met.join(self._at("live", segment).withColumnRenamed("born", "segment"), ["id", "segment"]).select("word", "id", "tf", "dl")
+        return self._of_words(asked, segment, wanted).join(self._at("live", segment).withColumnRenamed("born", "segment"), ["id", "segment"]).select("word", "id", "tf", "dl")
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """Queries (query_id, text) -> query_id, id, score, as ``retrieval.bm25_scores`` over the live documents."""
+    def scores(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """Queries (query_id, text) -> query_id, id, score, as ``retrieval.bm25_scores`` over the live documents; with k, candidates for each query's k best."""
         prepare(self.spark)
         segment = self.last()
         asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("qtf"))
@@ -86,13 +102,16 @@ class WordIndex:
         stats = F.broadcast(self._at("stats", segment))
         raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         weights = self._at("vocabulary", segment).where(F.col("bucket").isin(wanted)).join(asked, "word").crossJoin(stats)
-        weights = weights.select("query_id", "word", "qtf", F.when(raw < 0, S.EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"), (F.col("words") / F.col("n_docs")).alias("avgdl"))
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("dl") / F.col("avgdl")))
-        return self.postings_of(asked, segment).join(weights, "word").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+        weights = weights.select("query_id", "word", (F.col("qtf") * F.when(raw < 0, S.EPSILON * F.col("mean_idf")).otherwise(raw)).alias("weight"))
+        # The words asked for of each document in one row: rows do not multiply with the queries.
+        listed = self._of_words(asked, segment, wanted).groupBy("id", "segment").agg(F.collect_list(F.struct("word", "tf")).alias("x"))
+        live = self._at("live", segment).withColumnRenamed("born", "segment")
+        rows = listed.join(live, ["id", "segment"]).crossJoin(stats).select("id", "dl", (F.col("words") / F.col("n_docs")).alias("avgdl"), F.col("x.word").alias("words"), F.col("x.tf").alias("tfs"))
+        return S.word_scores(queries, weights, rows, k)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, id, score, rank of the k best documents; as ``retrieval.bm25_top_k``, others fill up with score 0 in id order."""
-        return S.best_with_fill(self.scores(queries), queries, self._at("live", self.last()).select("id"), k)
+        return S.best_with_fill(self.scores(queries, k), queries, self._at("live", self.last()).select("id"), k)
 
     def merged(self, folder: str) -> WordIndex:
         """A copy of the index in one segment at another place, without what is dead."""
