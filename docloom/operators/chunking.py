@@ -15,24 +15,24 @@ from ..functions.text import estimate_tokens, sentences
 REQUIRED = ("doc_id", "doc_title", "source_url", "doc_category", "section_path", "chunk_type", "text")
 
 
-def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each non-blank line: doc_id, ord (from 1), text."""
+def paragraphs(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each non-blank line: doc_id, the columns to keep, ord (from 1), text."""
     parts = F.filter(F.split(F.col(text), "\n"), lambda p: F.trim(p) != "")
-    return docs.select("doc_id", F.posexplode(parts).alias("ord", "text")).withColumn("ord", F.col("ord") + 1)
+    return docs.select("doc_id", *keep, F.posexplode(parts).alias("ord", "text")).withColumn("ord", F.col("ord") + 1)
 
 
-def parents(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Lines packed to parents of parent_max_tokens: doc_id, chunk_no, text, token_count."""
+def parents(docs: DataFrame, s: Settings = DEFAULTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines packed to parents of parent_max_tokens: doc_id, the columns to keep, chunk_no, text, token_count."""
     texts = F.transform("groups", lambda g: F.array_join(g, "\n\n"))
-    out = parent_lines(docs, s).select("doc_id", F.posexplode(texts).alias("chunk_no", "text"))
+    out = parent_lines(docs, s, keep).select("doc_id", *keep, F.posexplode(texts).alias("chunk_no", "text"))
     return out.withColumn("token_count", estimate_tokens(F.col("text")))
 
 
-def parent_lines(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """doc_id and groups: the lines of each parent, in arrays; documents without a line are left out."""
+def parent_lines(docs: DataFrame, s: Settings = DEFAULTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep and groups: the lines of each parent, in arrays; documents without a line are left out."""
     parts = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
-    packed = docs.select("doc_id", parts.alias("parts")).withColumn("starts", pack_starts(F.transform("parts", estimate_tokens), s.parent_max_tokens))
-    return packed.where(F.size("parts") > 0).select("doc_id", pack_groups(F.col("parts"), F.col("starts")).alias("groups"))
+    packed = docs.select("doc_id", *keep, parts.alias("parts")).withColumn("starts", pack_starts(F.transform("parts", estimate_tokens), s.parent_max_tokens))
+    return packed.where(F.size("parts") > 0).select("doc_id", *keep, pack_groups(F.col("parts"), F.col("starts")).alias("groups"))
 
 
 def children(parent_rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -8,7 +8,7 @@ what is live to another place as one segment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import prepare
@@ -18,6 +18,8 @@ from ..sources.segments import latest, read_segments, write_segment
 CHUNK = "chunk_id string, doc_id string, text string, token_count int, deleted boolean, bucket int"
 NAMES = ("main", "parents")
 BUCKETS = 16
+#: Parts of a bucket that are written side by side.
+PARTS = 32
 
 
 def _bucket():
@@ -36,9 +38,12 @@ def upsert(chunks: DataFrame, folder: str, segment: int) -> None:
     """Chunks (chunk_id, doc_id, text, token_count, is_parent) into their collections; of equal ids in it the greatest row counts."""
     prepare(chunks.sparkSession)
     rows = chunks.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("token_count").cast("int").alias("token_count"), F.lit(False).alias("deleted"), "is_parent")
-    one = rows.groupBy("chunk_id", "is_parent").agg(F.max(F.struct("doc_id", "text", "token_count", "deleted")).alias("r")).select("chunk_id", "is_parent", "r.*").withColumn("bucket", _bucket())
+    # Texts are shuffled once: dealt by bucket and part, rows of equal ids are together and files stay few.
+    dealt = rows.withColumn("bucket", _bucket()).withColumn("part", F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(PARTS)).cast("int"))
     for name, of_it in zip(NAMES, (~F.col("is_parent"), F.col("is_parent")), strict=True):
-        write_segment(one.where(of_it).drop("is_parent").hint("rebalance", "bucket"), f"{folder}/{name}", segment, "bucket")
+        own = dealt.where(of_it).drop("is_parent").repartition("bucket", "part")
+        one = own.groupBy("bucket", "part", "chunk_id").agg(F.max(F.struct("doc_id", "text", "token_count", "deleted")).alias("r")).select("chunk_id", "r.*", "bucket")
+        write_segment(one, f"{folder}/{name}", segment, "bucket")
 
 
 def delete(ids: DataFrame, folder: str, segment: int, by: str = "chunk_id") -> None:
@@ -47,14 +52,15 @@ def delete(ids: DataFrame, folder: str, segment: int, by: str = "chunk_id") -> N
     prepare(spark)
     gone = ids.select(F.col(by).cast("string").alias(by)).distinct()
     for name in NAMES:
-        rows = _live(_all(spark, folder, name, before=segment)).join(gone, by, "left_semi")
+        rows = _live(_all(spark, folder, name, before=segment).drop("text", "token_count")).join(gone, by, "left_semi")
         ended = rows.select("chunk_id", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("token_count"), F.lit(True).alias("deleted"), "bucket")
         write_segment(ended.hint("rebalance", "bucket"), f"{folder}/{name}", segment, "bucket")
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Live chunks of a collection; none if it was reset or never written."""
-    return _live(_all(spark, folder, name)).select("chunk_id", "doc_id", "text", "token_count", "bucket", "segment")
+def read(spark: SparkSession, folder: str, name: str, text: Column | None = None) -> DataFrame:
+    """Live chunks of a collection; none if it was reset or never written. ``text`` stands for the text where not all of it is needed."""
+    rows = _all(spark, folder, name)
+    return _live(rows if text is None else rows.withColumn("text", text)).select("chunk_id", "doc_id", "text", "token_count", "bucket", "segment")
 
 
 def find(spark: SparkSession, folder: str, name: str, chunk_ids: list[str]) -> DataFrame:
@@ -67,7 +73,7 @@ def find(spark: SparkSession, folder: str, name: str, chunk_ids: list[str]) -> D
 
 def counts(spark: SparkSession, folder: str) -> DataFrame:
     """name, n of both collections."""
-    rows = [read(spark, folder, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in NAMES]
+    rows = [_live(_all(spark, folder, name).select("chunk_id", "deleted", "bucket", "segment")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in NAMES]
     return rows[0].unionByName(rows[1])
 
 

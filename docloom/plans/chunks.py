@@ -61,11 +61,11 @@ def chk3(spark, d):
 
 def gated(spark, d):
     """Parents and lines as chunks with the metadata of the gate."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    parents = C.parents(table(spark, d, "documents")).select("doc_id", F.col("chunk_no").alias("ord"), "text", "token_count", F.lit(True).alias("is_parent"))
-    lines = C.paragraphs(table(spark, d, "documents")).select("doc_id", "ord", "text", estimate_tokens(F.col("text")).alias("token_count"), F.lit(False).alias("is_parent"))
+    docs, meta = table(spark, d, "documents"), ("source", "lang")
+    parents = C.parents(docs, keep=meta).select("doc_id", *meta, F.col("chunk_no").alias("ord"), "text", "token_count", F.lit(True).alias("is_parent"))
+    lines = C.paragraphs(docs, keep=meta).select("doc_id", *meta, "ord", "text", estimate_tokens(F.col("text")).alias("token_count"), F.lit(False).alias("is_parent"))
     meta = {"doc_title": F.col("source"), "source_url": F.col("source"), "doc_category": F.when(F.col("lang") == "es", "").otherwise(F.col("lang")), "section_path": F.col("source"), "chunk_type": F.lit("text"), "page_number": F.lit(0)}
-    return parents.unionByName(lines).join(docs, "doc_id").withColumns(meta)
+    return parents.unionByName(lines).withColumns(meta)
 
 
 _GATED = _PARENTS + f""", gated AS (

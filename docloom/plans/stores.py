@@ -43,7 +43,7 @@ def _upserted(spark, d) -> str:
 
 
 def _stored(spark, folder: str) -> DataFrame:
-    rows = [K.read(spark, folder, name).select("chunk_id", "doc_id", F.md5("text").alias("digest"), F.lit(name).alias("name")) for name in K.NAMES]
+    rows = [K.read(spark, folder, name, F.md5("text")).select("chunk_id", "doc_id", F.col("text").alias("digest"), F.lit(name).alias("name")) for name in K.NAMES]
     return rows[0].unionByName(rows[1])
 
 

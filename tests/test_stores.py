@@ -1,5 +1,6 @@
 """Collections, the word index and dense search on awkward rows."""
 
+import hashlib
 import random
 from pathlib import Path
 
@@ -49,6 +50,31 @@ def test_collections(spark, tmp_path):
     assert found(spark, folder, "main") == {}
 
 
+def test_counts_and_deletions_shuffle_no_texts(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    K.upsert(spark.createDataFrame([("c1", "d1", "a text", 1, False), ("c2", "d2", "other", 1, True)], CHUNKS), folder, 0)
+    plan = K.counts(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "text#" in line and "Relation" not in line]
+    digests = K.read(spark, folder, "main", F.md5("text"))
+    assert [r.text for r in digests.collect()] == [hashlib.md5(b"a text").hexdigest()]
+    plan = digests._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("md5(") > plan.index("Aggregate")
+
+
+def test_chunks_keep_columns_without_a_join(spark, data):
+    from docloom.plans.chunks import gated
+
+    assert "Join" not in gated(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_an_index_shuffle_no_pairs(spark, tmp_path):
+    index = WordIndex(spark, str(tmp_path / "i"))
+    index.change(spark.createDataFrame([("1", "a a b"), ("2", "b"), ("3", "c d")], "id string, text string"), 0)
+    scores = index.scores(spark.createDataFrame([(1, "a b"), (2, "b b")], "query_id long, text string"))
+    assert {(r.query_id, r.id) for r in scores.collect()} == {(1, "1"), (1, "2"), (2, "1"), (2, "2")}
+    assert scores._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("MapInArrow")
+
+
 def test_index_after_changes_equals_a_search_of_the_texts(spark, tmp_path):
     rng = random.Random(1)
     text = lambda: " ".join(rng.choice(["The", "the", "loan", "rate", "x", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(0, 20)))
