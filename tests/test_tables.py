@@ -80,6 +80,15 @@ def test_tables_drawn_as_boxes(spark):
     assert [(r.page, r.tbl, r.headers, r.rows) for r in got] == [(1, 1, HEAD, BODY)]
 
 
+def test_words_and_rules_of_a_page_meet_once(spark, capsys):
+    """No chain of sorts, windows and joins whose memory a task adds up; a page's rules may lie apart by less than the reach."""
+    words, rules = spark.createDataFrame(laid(1, GRID), WORD), spark.createDataFrame(ruled(1, 4, 3), RULE)
+    for rows in (T.extract(words, rules), T.drawn(words, rules)):
+        rows.explain("simple")
+        plan = capsys.readouterr().out
+        assert "Window" not in plan and "Join" not in plan and plan.count("Exchange") == 1, plan
+
+
 def test_words_snap_to_the_first_line_within_reach(spark):
     rows = [(1, 1, 10.0, 100.04, "Hello"), (1, 2, 60.0, 101.5, "world"), (1, 3, 10.0, 103.0, "near"), (1, 4, 10.0, 104.2, "next"), (2, 1, 30.0, 5.0, "b"), (2, 2, 10.0, 5.0, "a")]
     got = {(r.page, r.y, r.text) for r in P.word_lines(spark.createDataFrame(rows, "page int, ord int, x0 double, y double, text string")).collect()}
