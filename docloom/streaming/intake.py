@@ -69,10 +69,11 @@ def take_in(batch: DataFrame, number: int, folder: str, s: Settings = DEFAULTS)
     try:
         kinds = [rows.select("doc_id", "version", F.posexplode(f"{kind}_texts").alias("chunk_no", "text"), F.lit(kind).alias("kind")) for kind in ("parent", "main")]
         chunks = kinds[0].unionByName(kinds[1]).select("doc_id", "version", "chunk_no", "text", estimate_tokens(F.col("text")).alias("token_count"), "kind")
-        # The registry comes last: a version that it does not name yet has no chunks for a reader.
         write_segment(chunks, f"{folder}/chunks", number, "kind")
-        write_segment(rows.select("doc_id", "version", "content_hash", "status", "lang", "source", "retry_count", F.size("parent_texts").alias("parents"), F.size("main_texts").alias("main")), f"{folder}/registry", number)
+        # Counted before the registry is written: a write drops what was kept of a plan that reads the same path, and all would be computed again.
         n = rows.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("version") == 1).alias("new"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum(F.size("parent_texts") + F.size("main_texts")), F.lit(0)).alias("chunks")).first()
+        # The registry comes last: a version that it does not name yet has no chunks for a reader.
+        write_segment(rows.select("doc_id", "version", "content_hash", "status", "lang", "source", "retry_count", F.size("parent_texts").alias("parents"), F.size("main_texts").alias("main")), f"{folder}/registry", number)
     finally:
         rows.unpersist()
     return n.asDict()

@@ -115,3 +115,19 @@ def test_command_line(spark, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "1 batches, 1 documents, 1 chunks written to" in done.stderr
     assert versions(spark, c) == {"1": (1, "indexed", 0, 1, 0)}
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    """Also when it compares with segments of the registry that it then writes to."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        seen.add(1)
+        return text
+
+    counted = F.udf(passed, "string").asNondeterministic()
+    rows = spark.createDataFrame([(i, f"line {i}\nother line of {i}", "en", "s", None) for i in range(30)], "doc_id long, text string, lang string, source string, stamp string")
+    for k in range(2):
+        before = seen.value
+        done = I.take_in(rows.withColumn("text", F.concat(counted("text"), F.lit(f" in batch {k}"))), k, str(tmp_path / "out"))
+        assert (done["documents"], done["new"], seen.value - before) == (30, 30 * (k == 0), 30)
