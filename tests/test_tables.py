@@ -89,6 +89,18 @@ def test_words_and_rules_of_a_page_meet_once(spark, capsys):
         assert "Window" not in plan and "Join" not in plan and plan.count("Exchange") == 1, plan
 
 
+def test_boxes_are_dealt_to_the_sessions_partitions_before_lists_begin(spark, capsys):
+    """A task's memory follows neither what the boxes are made from, nor their compressed bytes."""
+    words = spark.createDataFrame([w for page in range(40) for w in laid(page, GRID)], WORD)
+    rules = spark.createDataFrame([r for page in range(0, 40, 2) for r in ruled(page, 4, 3)], RULE)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows, pages in ((T.extract(words, rules), 40), (T.drawn(words, rules.limit(0)), 0)):
+        rows.explain("simple")
+        assert "Aggregate" not in capsys.readouterr().out.split("Exchange hashpartitioning(page")[1]
+        assert rows.rdd.getNumPartitions() == parts
+        assert rows.select("page").distinct().count() == rows.count() == pages
+
+
 def test_words_snap_to_the_first_line_within_reach(spark):
     rows = [(1, 1, 10.0, 100.04, "Hello"), (1, 2, 60.0, 101.5, "world"), (1, 3, 10.0, 103.0, "near"), (1, 4, 10.0, 104.2, "next"), (2, 1, 30.0, 5.0, "b"), (2, 2, 10.0, 5.0, "a")]
     got = {(r.page, r.y, r.text) for r in P.word_lines(spark.createDataFrame(rows, "page int, ord int, x0 double, y double, text string")).collect()}
