@@ -9,6 +9,7 @@ from docloom.operators import ingestion as I
 from docloom.operators import models as M
 from docloom.operators import parsing as P
 from docloom.operators import tables as T
+from docloom.plans import layout
 
 WORD, RULE = "page int, x0 double, y0 double, x1 double, y1 double, text string", "page int, x0 double, y0 double, x1 double, y1 double"
 
@@ -101,6 +102,11 @@ def test_boxes_are_dealt_to_the_sessions_partitions_before_lists_begin(spark, ca
         assert rows.select("page").distinct().count() == rows.count() == pages
 
 
+def test_words_and_rules_of_orders_are_made_in_the_sessions_partitions(spark, data):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [rows.rdd.getNumPartitions() for rows in layout.drawn(spark, data)] == [parts, parts]
+
+
 def test_words_snap_to_the_first_line_within_reach(spark):
     rows = [(1, 1, 10.0, 100.04, "Hello"), (1, 2, 60.0, 101.5, "world"), (1, 3, 10.0, 103.0, "near"), (1, 4, 10.0, 104.2, "next"), (2, 1, 30.0, 5.0, "b"), (2, 2, 10.0, 5.0, "a")]
     got = {(r.page, r.y, r.text) for r in P.word_lines(spark.createDataFrame(rows, "page int, ord int, x0 double, y double, text string")).collect()}
