@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions.session import prepare
 from ..functions.text import COMPOUND, is_compound, words
 from ..sources.segments import latest, read_segments, write_segment
 
@@ -37,6 +44,23 @@ def text_vectors(texts: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     return texts.select("text_hash").join(counts, "text_hash", "left").select("text_hash", vec.alias("vec"))
 
 
+def embed_rows(texts: DataFrame, dimension: int = DIMENSION) -> DataFrame:
+    """Texts (id, text) -> id, vec as ``hash_embedding`` has it, each text where it is: nothing is shuffled, and copies are computed again."""
+    prepare(texts.sparkSession)
+    slots = texts.select("id", F.transform(words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int")).alias("slots"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column(1)
+            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            counts = np.bincount(row * dimension + lists.flatten().to_numpy(zero_copy_only=False), minlength=n * dimension).reshape(n, dimension).astype(float)
+            size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vec = np.divide(counts, size, out=np.zeros_like(counts), where=size > 0)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), pa.array(vec.ravel()))], names=["id", "vec"])
+
+    return slots.mapInArrow(count, StructType([texts.schema["id"], StructField("vec", ArrayType(DoubleType()))]))
+
+
 def embed_cached(texts: DataFrame, folder: str, segment: int) -> DataFrame:
     """Texts (text, ...) with text_hash, vec and the segment of the cache that holds it.
 

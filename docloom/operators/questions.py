@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..functions.session import saved
 from ..functions.text import category_of, clean_rewrite, variants
 from ..functions.words import PRODUCTS
 from . import retrieval as S
 from .models import sub_queries
 from .search_run import refine
 
+#: Searches that meet the corpus in one statement, about; what a statement shuffles grows with these and the corpus.
+ROUND = 1 << 18
 #: A question with such a word speaks of something said before.
 REFERENCE = r"(?i)(^|[^a-z0-9])(it|its|this|that|these|those|they|them|their|one)([^a-z0-9]|$)"
 #: A product's name as words of their own.
@@ -75,17 +79,24 @@ def searches(questions: DataFrame, generate: Callable[[Column], Column] = restat
     return parts.select("query_id", "part", category_of(F.col("asks")).alias("only"), F.posexplode(every).alias("variant", "text"))
 
 
-def hybrid(wanted: DataFrame, corpus: DataFrame, embed: Callable[[DataFrame], DataFrame], s: Settings = DEFAULTS) -> DataFrame:
+def hybrid(wanted: DataFrame, corpus: DataFrame, embed: Callable[[DataFrame], DataFrame], folder: str, s: Settings = DEFAULTS) -> DataFrame:
     """Searches (query_id, part, variant, text, only) -> query_id, part, variant, id, score: of each search the best by rank fusion.
 
     corpus (id, vec, label, text). ``embed`` adds vec to rows with a text. The filter
-    holds for the vectors; the word search reads all of the corpus.
+    holds for the vectors; the word search reads all of the corpus. Searches go in rounds of about ``ROUND``, and each round's two lists are
+    tables in ``folder``: the shuffle files of one list are gone when the next begins.
     """
-    one = wanted.withColumn("query_id", F.struct("query_id", "part", "variant"))
-    dense = S.dense_top_k(embed(one).select("query_id", F.col("vec").alias("qvec"), "only"), corpus, s.dense_k)
-    sparse = S.bm25_top_k(one.select("query_id", "text"), corpus.select("id", "text"), s.sparse_k)
-    lists = dense.select("query_id", "id", "rank").unionByName(sparse.select("query_id", "id", "rank"))
-    fused = S.reciprocal_rank_fusion(lists, s.rrf_k).withColumn("score", F.round("score", 8))
+    one, lists = wanted.withColumn("query_id", F.struct("query_id", "part", "variant")), []
+    vectors = saved(embed(one).select("query_id", F.col("vec").alias("qvec"), "only"), f"{folder}/asked")
+    rounds = max(-(-wanted.count() // ROUND), 1)
+    for i in range(rounds):
+        # Not the bits that deal the searches to blocks.
+        now = lambda rows, i=i: rows.where(F.pmod(F.hash("query_id"), F.lit(rounds)) == i)
+        dense = S.dense_top_k(now(vectors), corpus, s.dense_k)
+        lists.append(saved(dense.select("query_id", "id", "rank"), f"{folder}/dense-{i}"))
+        sparse = S.bm25_top_k(now(one).select("query_id", "text"), corpus.select("id", "text"), s.sparse_k)
+        lists.append(saved(sparse.select("query_id", "id", "rank"), f"{folder}/sparse-{i}"))
+    fused = S.reciprocal_rank_fusion(reduce(DataFrame.unionByName, lists), s.rrf_k).withColumn("score", F.round("score", 8))
     return S.top(fused, ["query_id"], [F.desc("score"), F.asc("id")], s.final_k).select("query_id.*", "id", "score")
 
 
@@ -94,13 +105,11 @@ def answer_rows(questions: DataFrame, corpus: DataFrame, parents: DataFrame, emb
 
     Parts, filters, variants and hybrid search; of each chunk the best score over all
     searches; then as ``search_run.retrieve``, which has the columns of both results.
-    counts has the number of searches too. The searches, which every list reads, are
-    written once to a table in ``folder``.
+    counts has the number of searches too. The searches, which every list reads, and
+    what they found are tables in ``folder``.
     """
-    spark, path = questions.sparkSession, f"{folder}/searches"
-    searches(questions, s=s).write.mode("overwrite").parquet(path)
-    wanted = spark.read.parquet(path)
-    found = S.best_score(hybrid(wanted, corpus, embed, s).select("query_id", "id", "score"))
+    wanted = saved(searches(questions, s=s), f"{folder}/searches")
+    found = saved(S.best_score(hybrid(wanted, corpus, embed, folder, s).select("query_id", "id", "score")), f"{folder}/found")
     info = questions.select("query_id", F.col("rewritten").alias("query_text"), "rerank_works")
     chunks, counts = refine(found, info, corpus, parents, scorer, near, s)
     return chunks, counts.join(wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("searches")), "query_id")

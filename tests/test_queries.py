@@ -5,6 +5,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,39 @@ def test_word_search_in_blocks_equals_one(spark, data):
     assert key(S.bm25_scores(asked, corpus, block=2)) == scores and len(scores) > 1000
 
 
+def test_word_search_in_many_small_groups_equals_one(spark, data, monkeypatch):
+    """Several blocks and shards, and a shard's rows in several steps; each row's words travel once."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id AS id", "text")
+    corpus = docs.unionByName(spark.createDataFrame([(-1, None), (-2, " "), (-3, "the of the The"), (-4, "the of the The")], docs.schema))
+    asked = spark.read.parquet(f"{data}/benchmark.parquet").selectExpr("item_id AS query_id", "text").unionByName(spark.createDataFrame([(-1, "nothingsuch"), (-2, None), (-3, "the the of")], "query_id long, text string"))
+    key = lambda found: sorted((r.query_id, r.id, round(r.score, 6)) for r in found.collect())
+    want, scores = key(S.bm25_top_k(asked, corpus, 7)), key(S.bm25_scores(asked, corpus))
+    for name, value in (("WORD_BLOCK", 5), ("WORD_SHARD", 80), ("WORD_ROWS", 9), ("CELLS", 50)):
+        monkeypatch.setattr(S, name, value)
+    assert S._grid(spark, 12, 200, 5, 80) == (3, 3) and S._grid(spark, 0, 0, 5, 80) == (1, spark.sparkContext.defaultParallelism)
+    assert key(S.bm25_top_k(asked, corpus, 7, block=2)) == want
+    assert key(S.bm25_scores(asked, corpus, block=2)) == scores
+
+
+def test_dense_search_in_many_small_groups_equals_one(spark, data, monkeypatch):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    asked, corpus = rows.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS qvec"), rows.selectExpr("vec_id AS id", "embedding AS vec")
+    key = lambda found: sorted(map(tuple, found.collect()))
+    want = key(S.dense_top_k(asked, corpus, 7))
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "SHARD", 150)
+    assert key(S.dense_top_k(asked, corpus, 7, block=3)) == want
+
+
+def test_first_of_each_row_equals_sorting():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 63, 64, 65, 500, 3000):
+        for score in (rng.integers(0, 9, (5, n)) / 7 - 0.5, rng.random((5, n)), np.zeros((2, n)), np.round(rng.random((5, n)), 5) + rng.integers(-4, 5, (5, n)) * 1e-7):
+            at, place, found = S._first(score, 7)
+            want = [(i, j, v) for i, row in enumerate(np.round(score, 6)) for v, j in sorted((-v, j) for j, v in enumerate(row))[:7]]
+            assert [(i, j, -v) for i, j, v in zip(at.tolist(), place.tolist(), found.tolist(), strict=True)] == want
+
+
 def test_word_search_shuffles_no_pairs(spark, data):
     """Only each query's best are shuffled, not what it shares a word with."""
     docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id AS id", "text")

@@ -108,5 +108,26 @@ def test_the_run_equals_loops(spark, data, tmp_path):
     assert sorted(tuple(r[n] for n in names) for r in counts.collect()) == want[1]
 
 
+def test_searches_in_rounds_equal_one(spark, data, tmp_path, monkeypatch):
+    """Each round's lists are tables; the counts score each candidate once and move no text behind the scorer."""
+    said = [(q, text, q != 3) for q, text in enumerate(("what of that home loan interest rate and also how to lodge a complaint", "the and of whtion in thor", "net banking of the thatly", "zzzzzz"))]
+    questions = spark.createDataFrame([*said, (9, None, True)], "query_id long, rewritten string, rerank_works boolean")
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("length(text) < 900").select(F.col("doc_id").alias("id"), "text")
+    vectors = M.embed_rows(docs).groupBy("id").agg(F.min("vec").alias("vec"))
+    corpus = docs.join(vectors, "id", "left").select("id", "vec", F.lit("grievance").alias("label"), "text", F.floor(F.col("id") / 4).alias("parent_id"))
+    parents = docs.where("floor(id / 4) % 7 <> 3").select(F.floor(F.col("id") / 4).cast("string").alias("id"), "text").dropDuplicates(["id"])
+    run = lambda folder: Q.answer_rows(questions, corpus, parents, M.embed, str(tmp_path / folder))
+    key = lambda found: sorted(tuple(r) for r in found.collect())
+    chunks, counts = run("one")
+    want = key(chunks), key(counts)
+    monkeypatch.setattr(Q, "ROUND", 3)
+    assert tuple(map(key, run("rounds"))) == want and len(want[1]) == 5
+    assert {p.name for p in (tmp_path / "rounds").iterdir()} > {"dense-0", "sparse-0", "dense-1", "sparse-1", "found"}
+    grown = {r.query_id: (r.n, r.top) for r in chunks.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top")).collect()}
+    assert {r.query_id: (r.expanded, r.top_score) for r in counts.collect()} == grown
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and not [x for x in plan.splitlines() if "collect_list" in x and "text" in x]
+
+
 def test_patterns_have_no_special_signs():
     assert all(re.fullmatch("[a-z ]+", x) for pair in Q.RESTATED for x in pair)

@@ -136,6 +136,13 @@ def test_files_from_parts(spark):
     assert got == want
 
 
+def test_vectors_in_place_equal_the_column(spark):
+    numbered = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "B  a\u00a0c a"), (5, "a b")], "id long, text string")
+    inplace = M.embed_rows(numbered)
+    assert "Exchange" not in inplace._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, tuple(r.vec)) for r in inplace.collect()} == {(r.id, tuple(r.v)) for r in numbered.select("id", M.hash_embedding(F.coalesce("text", F.lit(""))).alias("v")).collect()}
+
+
 def test_vectors_are_computed_once(spark, tmp_path):
     folder = str(tmp_path / "v")
     frame = lambda *texts: spark.createDataFrame([(t,) for t in texts], "text string")
